@@ -24,7 +24,7 @@ from .common import id_and_text
 
 MARK = "▁"
 #: The characters with Unicode's White_Space property, as the tokenizers library splits at them.
-WORDS = re.compile("[^\t-\r \x85\xa0  -     　]+")
+WORDS = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 UNKNOWN_PENALTY = 10.0
 CACHE = 300_000
 
