@@ -132,12 +132,11 @@ def _row(at: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(at, np.int32), np.frombuffer(x, np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = (), sample: int = SAMPLE, rounds: int = ROUNDS) -> Weights | None:
+def fit(docs: DataFrame, labels: DataFrame, meta: Column, sample: int = SAMPLE, rounds: int = ROUNDS) -> Weights | None:
     """`labels`: doc_id and quality of the rows to learn from. None without any."""
     spark = docs.sparkSession
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels["quality"].cast("double").alias("q")).dropna().groupBy("id").agg((F.avg("q") >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # at most `sample` pairs of numbers: broadcast
-    meta = F.array(*[F.coalesce(docs[m].cast("string"), F.lit("")) for m in metadata]).cast("array<string>")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), meta.alias("meta")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,20 +191,19 @@ def scorer(spark, weights: Weights | None):
     return score
 
 
-def quality(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ("n_chars",), test_modulus: int = TEST_MODULUS) -> Column:
-    """Learns from labels of rows with fold(test_modulus) > 0; a column over `docs` with the score of each row."""
-    train = labels.where(fold(test_modulus) > 0)
-    score = scorer(docs.sparkSession, fit(docs, train, metadata))
-    meta = F.array(*[F.coalesce(docs[m].cast("string"), F.lit("")) for m in metadata]).cast("array<string>")
-    return score(docs["text"].cast("string"), meta)
+def _meta(docs: DataFrame, metadata: Sequence[str], magnitudes: Sequence[str]) -> Column:
+    """Metadata as strings; of numbers in `magnitudes` the order of magnitude only."""
+    parts = [docs[m].cast("string") for m in metadata] + [F.floor(F.log2(docs[m].cast("double") + 1)).cast("string") for m in magnitudes]
+    return F.array(*[F.coalesce(p, F.lit("")) for p in parts]).cast("array<string>")
 
 
-def coarse(docs: DataFrame) -> DataFrame:
-    """n_chars as metadata by its order of magnitude only."""
-    return docs.withColumn("n_chars", F.floor(F.log2(F.col("n_chars") + 1)))
+def quality(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = (), magnitudes: Sequence[str] = ("n_chars",), test_modulus: int = TEST_MODULUS) -> Column:
+    """Learns from labels of rows with fold(test_modulus) > 0; a column over `docs` with the score of each row."""
+    meta = _meta(docs, metadata, magnitudes)
+    return scorer(docs.sparkSession, fit(docs, labels.where(fold(test_modulus) > 0), meta))(docs["text"].cast("string"), meta)
 
 
 def op2_quality_fm(spark, sf_dir: str) -> DataFrame:
-    docs = coarse(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
     out = docs.select("doc_id", (fold(TEST_MODULUS) == 0).alias("held_out"), quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).alias("score"))
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= KEEP, 1).otherwise(0).alias("predicted"))
