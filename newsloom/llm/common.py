@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Raw megabytes of text that one block holds, on average.
-BLOCK_MB = 24
+BLOCK_MB = 10
 
 
 def id_and_text(docs: DataFrame, text: str = "text") -> DataFrame:
