@@ -81,36 +81,17 @@ class Shares:
         return self.factor[np.minimum(counts, TRUSTED + 1)] * counts / self.divisor if self.total else np.zeros(len(counts))
 
 
-def _grouped(history: np.ndarray, word: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct pairs in order of history and word, their counts in training texts, and where each history begins."""
-    order = np.lexsort((word, history))
-    h, w, t = history[order], word[order], train[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-    at = np.flatnonzero(new)
-    counts = np.add.reduceat(t.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
-    return h[at], w[at], counts
-
-
 def _pairs_of(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     """A block's tokens by document, and whether each document is a training one."""
     return [tokens(x.as_py()) for x in rows.column("c1")], ~rows.column("c2").to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _all_pairs(docs: list[np.ndarray], train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    word = np.concatenate(docs) if docs else np.empty(0, U64)
-    history = np.empty_like(word)
-    history[1:] = word[:-1]
-    history[np.cumsum([0, *map(len, docs)])[:-1]] = START
-    return history, word, np.repeat(train, [len(d) for d in docs])
-
-
-def _distinct(docs: list[np.ndarray], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct words, START among them, in order, with their counts in training texts (START: the texts)."""
-    word = np.concatenate([*docs, np.full(len(docs), START, U64)])
-    weight = np.concatenate([np.repeat(train, [len(d) for d in docs]), train])
-    values, inverse = np.unique(word, return_inverse=True)
-    return values, np.bincount(inverse, weight, len(values)).astype(np.int64)
+def _distinct(docs: list[np.ndarray], train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct words, START among them, in order; their counts in training texts (START: the texts); tokens by place."""
+    sizes = [len(d) for d in docs]
+    values, inverse = np.unique(np.concatenate([*docs, np.full(len(docs), START, U64)]), return_inverse=True)
+    weight = np.concatenate([np.repeat(train, sizes), train])
+    return values, np.bincount(inverse, weight, len(values)).astype(np.int64), inverse
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -140,7 +121,7 @@ def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.T
 
 def _ask_words(targets: int):
     def ask(left: pa.Table) -> pa.Table:
-        values, counts = _distinct(*_pairs_of(unpacked(left.column("payload"))))
+        values, counts, _ = _distinct(*_pairs_of(unpacked(left.column("payload"))))
         at, block = cuts(values, targets), left.column("block")[0].as_py()
         return _rows(["target", "block", "words", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()], [(t, block, packed(values[a:b]), _narrow(counts[a:b])) for t, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a])
 
@@ -170,38 +151,36 @@ def _in_order(answers: pa.Table, column: str, by: str = "target") -> list[bytes]
     return [values[int(i)].as_py() for i in order]
 
 
-def _routes(history: np.ndarray, word: np.ndarray, h_count: np.ndarray, hot: float, targets: int) -> np.ndarray:
-    """The partition that keeps a pair: its history's, or its own if the history is hot."""
-    key = np.where(h_count > hot, mixed(history ^ mixed(word)), mixed(history))
-    return (key % U64(targets)).astype(np.int64)
-
-
-@dataclass
 class _Block:
     """What each step on a block works out anew from its texts and from the answers on words."""
 
-    ids: pa.ChunkedArray
-    docs: list[np.ndarray]
-    train: np.ndarray
-    words: np.ndarray
-    word_counts: np.ndarray
-
-    @staticmethod
-    def of(left: pa.Table, answers: pa.Table) -> _Block:
+    def __init__(self, left: pa.Table, answers: pa.Table, hot: float, targets: int):
         rows = unpacked(left.column("payload"))
-        docs, train = _pairs_of(rows)
-        values, _ = _distinct(docs, train)
-        return _Block(rows, docs, train, values, np.concatenate([_wide(x) for x in _in_order(answers, "counts")]))
-
-    def count(self, words: np.ndarray) -> np.ndarray:
-        return self.word_counts[np.searchsorted(self.words, words)]
-
-    def pairs(self, hot: float, targets: int):
-        """Distinct pairs with counts, and the order that has each partition's pairs together."""
-        h, w, t = _all_pairs(self.docs, self.train)
-        h, w, c = _grouped(h, w, t)
-        route = _routes(h, w, self.count(h), hot, targets)
-        return h, w, c, route
+        docs, self.train = _pairs_of(rows)
+        self.ids = rows.column("c0")
+        self.words, _, inverse = _distinct(docs, self.train)
+        self.starts = np.cumsum([0, *map(len, docs)])
+        self.token = inverse[: self.starts[-1]]
+        self.count = np.concatenate([_wide(x) for x in _in_order(answers, "counts")])
+        history = np.empty_like(self.token)
+        history[1:] = self.token[:-1]
+        history[self.starts[:-1]] = np.searchsorted(self.words, START)
+        # distinct pairs, in order of the hashes of history and word, as places among the words
+        keys, self.pair = np.unique(history * len(self.words) + self.token, return_inverse=True)
+        self.h, self.w = np.divmod(keys, len(self.words))
+        self.hot = self.count > hot
+        h, w = self.words[self.h], self.words[self.w]
+        route = np.where(self.hot[self.h], mixed(h ^ mixed(w)), mixed(h)) % U64(targets)
+        # the pairs of one table partition together: a pair is kept with its history, or by itself if the history is hot
+        self.order = np.argsort(route, kind="stable")
+        route = route[self.order].astype(np.int64)
+        self.at = np.searchsorted(route, np.arange(targets + 1))
+        own = self.h[self.order]
+        self.begins = np.ones(len(own), bool)
+        self.begins[1:] = (own[1:] != own[:-1]) | (route[1:] != route[:-1])
+
+    def pair_counts(self) -> np.ndarray:
+        return np.bincount(self.pair, np.repeat(self.train, np.diff(self.starts)), len(self.h)).astype(np.int64)
 
 
 def _ask_pairs(targets: int, hot: float):
@@ -209,19 +188,17 @@ def _ask_pairs(targets: int, hot: float):
         names, kinds = ["target", "block", "histories", "hot", "sizes", "words", "word_counts", "counts"], [pa.int32(), pa.int32()] + [pa.binary()] * 6
         if not left.num_rows:
             return _rows(names, kinds, [])
-        b = _Block.of(left, answers)
-        h, w, c, route = b.pairs(hot, targets)
-        order = np.argsort(route, kind="stable")
-        at = np.searchsorted(route[order], np.arange(targets + 1))
-        word_counts, out = b.count(w), []
+        b = _Block(left, answers, hot, targets)
+        counts, block, out = b.pair_counts(), left.column("block")[0].as_py(), []
         for t in range(targets):
-            own = order[at[t] : at[t + 1]]
+            own = b.order[b.at[t] : b.at[t + 1]]
             if not len(own):
                 continue
-            begins = np.flatnonzero(np.concatenate([[True], h[own][1:] != h[own][:-1]]))
+            begins = np.flatnonzero(b.begins[b.at[t] : b.at[t + 1]])
+            first = b.h[own[begins]]
             sizes = np.diff(np.append(begins, len(own)))
-            low = (w[own] & LOW48).view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits tell apart the successors of one history
-            out.append((t, left.column("block")[0].as_py(), packed(h[own][begins]), packed(b.count(h[own][begins]) > hot), _narrow(sizes), packed(low), _narrow(word_counts[own]), _narrow(c[own])))
+            low = (b.words[b.w[own]] & LOW48).view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits tell apart the successors of one history
+            out.append((t, block, packed(b.words[first]), packed(b.hot[first]), _narrow(sizes), packed(low), _narrow(b.count[b.w[own]]), _narrow(counts[own])))
         return _rows(names, kinds, out)
 
     return ask
@@ -282,37 +259,24 @@ def _score(shares: Shares, factor: np.ndarray, hot: float, hot_sums: dict[int, n
         return divisor, weight
 
     def score(left: pa.Table, words: pa.Table, pairs: pa.Table) -> pa.Table:
-        b = _Block.of(left, words)
-        h, w, _, route = b.pairs(hot, targets)
-        order = np.argsort(route, kind="stable")
-        count, sums = np.empty(len(h), np.int64), np.empty((len(h), TRUSTED + 3))
-        count[order] = np.concatenate([_wide(x) for x in _in_order(pairs, "counts")])
-        groups = np.concatenate([_unpack_sums(x) for x in _in_order(pairs, "sums")])
-        ho, ro = h[order], route[order]
-        begins = np.ones(len(ho), bool)
-        begins[1:] = (ho[1:] != ho[:-1]) | (ro[1:] != ro[:-1])
-        sums[order] = groups[np.cumsum(begins) - 1]
-        if hot_sums:
-            keys = np.array(sorted(hot_sums), U64)
-            found = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
-            salted = found & (b.count(h) > hot)
-            table = np.stack([hot_sums[int(k)] for k in keys])
-            sums[salted] = table[np.searchsorted(keys, h[salted])]
+        b = _Block(left, words, hot, targets)
+        count = np.concatenate([_wide(x) for x in _in_order(pairs, "counts")])
+        sums = np.concatenate([_unpack_sums(x) for x in _in_order(pairs, "sums")])
+        first = b.h[b.order[b.begins]]
+        for g in np.flatnonzero(b.hot[first]):
+            sums[g] = hot_sums[int(b.words[first[g]])]
         divisor, weight = backoff(sums)
-        n = b.count(w)
+        group = np.cumsum(b.begins) - 1
+        n = b.count
         lower = np.where(n > 0, shares.p(n), shares.unknown)
-        log_p = np.log10(np.where(count > 0, factor[np.minimum(count, TRUSTED + 1)] * count / np.maximum(divisor, 1e-300), weight * lower))
-        base = np.log10((b.word_counts + 0.1) / (shares.total + 0.1 * (shares.vocabulary + 1)))
-        history, word, _ = _all_pairs(b.docs, b.train)
-        # each token's place among the block's distinct pairs: by history, then word, as _grouped() has them
-        hi, wi = np.searchsorted(b.words, history).astype(np.int64), np.searchsorted(b.words, word).astype(np.int64)
-        keys = np.searchsorted(b.words, h).astype(np.int64) * len(b.words) + np.searchsorted(b.words, w)
-        by_token = log_p[np.searchsorted(keys, hi * len(b.words) + wi)]
-        at = np.cumsum([0, *map(len, b.docs)])[:-1]
-        known = (b.word_counts > 0)[wi]
-        fold_ = [not t for t in b.train.tolist()]
+        seen = factor[np.minimum(count, TRUSTED + 1)] * count / np.maximum(divisor, 1e-300)[group]
+        log_p = np.empty(len(b.h))
+        log_p[b.order] = np.log10(np.where(count > 0, seen, weight[group] * lower[b.w[b.order]]))
+        base = np.log10((n + 0.1) / (shares.total + 0.1 * (shares.vocabulary + 1)))
+        at = b.starts[:-1]
+        by_token, known = log_p[b.pair], (n > 0)[b.token]
         return pa.table(
-            [b.ids.column(0), pa.array(fold_, pa.bool_()), pa.array([len(d) for d in b.docs], pa.int64()), pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array([shares.total] * len(at), pa.int64()), pa.array(np.add.reduceat(base[wi], at)), pa.array(np.add.reduceat(by_token, at))],
+            [b.ids, pa.array(~b.train), pa.array(np.diff(b.starts)), pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array([shares.total] * len(at), pa.int64()), pa.array(np.add.reduceat(base[b.token], at)), pa.array(np.add.reduceat(by_token, at))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
@@ -322,8 +286,8 @@ def _score(shares: Shares, factor: np.ndarray, hot: float, hot_sums: dict[int, n
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def katz_scores(docs: DataFrame, train_modulus: int = TRAIN_MODULUS) -> DataFrame:
-    """Learns from the rows with fold(train_modulus) > 0 and scores all. See SCHEMA."""
+def katz_scores(docs: DataFrame, train_modulus: int = TRAIN_MODULUS, salt_over: float | None = None) -> DataFrame:
+    """Learns from the rows with fold(train_modulus) > 0 and scores all. Histories of more than `salt_over` tokens are salted. See SCHEMA."""
     plain = id_and_text(docs)
     plain = plain.withColumn("held_out", fold(train_modulus) == 0)
     targets = block_count(plain)
@@ -334,7 +298,7 @@ def katz_scores(docs: DataFrame, train_modulus: int = TRAIN_MODULUS) -> DataFram
     facts = words.where("block < 0").select("total", "distinct", "histogram").collect()
     of_counts = lambda rows: {r: int(sum(np.frombuffer(x.histogram, np.int64)[r] for x in rows)) for r in range(1, TRUSTED + 2)}
     shares = Shares.of(sum(x.total for x in facts), sum(x.distinct for x in facts), of_counts(facts))
-    hot = max(shares.total / (4 * targets), 1000)
+    hot = max(shares.total / (4 * targets), 1000) if salt_over is None else salt_over
     words = words.where("block >= 0").select("block", "target", "counts")
     asked = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_ask_pairs(targets, hot), "target int, block int, histories binary, hot binary, sizes binary, words binary, word_counts binary, counts binary")
     pairs = stored(asked.repartition(targets, "target").groupBy("target").applyInArrow(_answer_pairs(shares), "block int, target int, counts binary, sums binary, histogram binary"), "pairs")
