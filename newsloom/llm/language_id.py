@@ -86,6 +86,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge
     """`docs`: doc_id, text, lang of the rows to learn from. Ids and languages of the sample are chosen before texts are read."""
     spark = docs.sparkSession
     ids = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("at"))
+    # of a language with many rows about three samples' worth go on to be ranked, whatever the number of tasks
+    counts = ids.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.least(F.lit(1.0), F.lit(3.0 * sample) / F.col("rows"))
+    ids = ids.join(counts, "lang").where(F.pmod("at", F.lit(1 << 20)) <= share * (1 << 20)).select("doc_id", "lang", "at")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))
     chosen = ids.withColumn("n", rank).where(F.col("n") <= sample).orderBy("n", "lang").limit(sample).select("doc_id", "lang", "n").collect()
     langs = sorted({r.lang for r in chosen})
