@@ -6,8 +6,9 @@ The template writes a turn as `<turn ROLE>`, a line break, the text, `</turn>`,
 backslash and the angle brackets are written \\b, \\l and \\g, so no text can hold a control string and reading back is
 exact. The loss mask is the list of (start, length) spans, in code points, of assistants' texts in the formatted string.
 
-Null texts and roles are empty. Of nodes with one id in a tree the first by role and text stays. A node whose parent is
-missing, or null, is a root; nodes on a cycle have no root and are left out. Ties of score go to the lesser path of ids.
+Null texts and roles are empty; rows with a null tree or node are left out, except conversations, whose turns without
+order come first. Rows with one id in a tree are one node, with the least parent; the first by role and text gives the
+turn. A node whose parent is missing, null or itself is a root; nodes on a cycle have no root and are left out. Ties of score go to the lesser path of ids.
 A path's rows meet in one row of the result, as a conversation must.
 """
 
@@ -19,10 +20,6 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-#: Rounds of joins between writes of the frontier, so that plans stay short.
-ROUNDS = 4
-
-
 def escape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l")), F.lit(">"), F.lit("\\g"))
 
@@ -41,25 +38,31 @@ def linear_tree(turns: DataFrame) -> DataFrame:
 
 def paths(nodes: DataFrame) -> DataFrame:
     """
-    tree, path (ids from root to leaf), path_score. Each round joins the frontier's last nodes with their children;
-    texts take no part. Leaves leave the frontier; as many rounds as the deepest path has nodes, and one.
+    tree, path (ids from root to leaf), path_score. Round k joins what each leaf has reached with the table of ancestors
+    2^k steps up, and that table with itself, so a path of n nodes takes log2(n) rounds and n rows; texts take no part.
     """
-    links = stored(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "links")
-    parents = links.select(F.col("tree").alias("p_tree"), F.col("node").alias("p_node"))
-    is_root = links.join(parents, (F.col("tree").eqNullSafe(F.col("p_tree"))) & (F.col("parent") == F.col("p_node")), "left_anti")
-    children = links.where(F.col("parent").isNotNull()).select(F.col("tree").alias("c_tree"), F.col("parent").alias("c_parent"), F.col("node").alias("c_node"), F.col("score").alias("c_score"))
-    front = is_root.select("tree", F.col("node").alias("last"), F.array("node").alias("path"), F.col("score").alias("path_score"), F.lit(False).alias("done"))
-    while True:
-        for _ in range(ROUNDS):
-            # a null child means that the path ends here
-            on = ~F.col("done") & F.col("tree").eqNullSafe(F.col("c_tree")) & (F.col("last") == F.col("c_parent"))
-            front = front.join(children, on, "left").select(
-                "tree", F.coalesce("c_node", "last").alias("last"), F.when(F.col("c_node").isNull(), F.col("path")).otherwise(F.concat("path", F.array("c_node"))).alias("path"),
-                (F.col("path_score") + F.coalesce("c_score", F.lit(0.0))).alias("path_score"), F.col("c_node").isNull().alias("done"),
-            )
-        front = stored(front, "paths")
-        if front.where(~F.col("done")).isEmpty():
-            return front.select("tree", "path", "path_score")
+    links = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.min(F.coalesce("score", F.lit(0.0))).alias("score"))
+    links = stored(links, "nodes")
+    above = links.select(F.col("tree").alias("tree"), F.col("node").alias("parent"))
+    jumps = links.where(F.col("parent") != F.col("node")).select("tree", "node", "parent").join(above, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up"))
+    jumps = stored(jumps, "jumps")
+    inner = jumps.select("tree", F.col("up").alias("node")).distinct()
+    reached = stored(links.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("height")), "reached")
+    largest = links.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    step = 1
+    while step < largest:
+        further = reached.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + step).alias("height"))
+        reached = stored(reached.unionByName(further), "reached")
+        twice = jumps.select("tree", F.col("node").alias("low"), F.col("up").alias("node")).join(jumps, ["tree", "node"]).select("tree", F.col("low").alias("node"), "up")
+        jumps = stored(twice, "jumps")
+        step *= 2
+        if jumps.isEmpty():
+            break
+    # what still has ancestors so far up hangs on a cycle
+    endless = jumps.select("tree", F.col("node").alias("leaf")) if step >= largest else jumps.select("tree", F.col("node").alias("leaf")).limit(0)
+    rows = reached.join(endless, ["tree", "leaf"], "left_anti").join(links.select("tree", "node", "score"), ["tree", "node"])
+    found = rows.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("at"), "node"))).alias("steps"), F.sum("score").alias("path_score"))
+    return found.select("tree", F.transform("steps", lambda x: x["node"]).alias("path"), "path_score")
 
 
 def best_paths(all_paths: DataFrame, per_tree: int | None = 1) -> DataFrame:
@@ -72,7 +75,8 @@ def best_paths(all_paths: DataFrame, per_tree: int | None = 1) -> DataFrame:
 def formatted(nodes: DataFrame, chosen: DataFrame, trained: str = "assistant") -> DataFrame:
     """tree, rank, formatted string, loss array<struct<start,length>> (0-based code points)."""
     steps = chosen.select(F.col("tree").alias("s_tree"), "rank", F.posexplode("path").alias("at", "step"))
-    rows = steps.join(nodes, F.col("s_tree").eqNullSafe(F.col("tree")) & (F.col("step") == F.col("node")))
+    first = nodes.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("turn")).select("tree", "node", "turn.*")
+    rows = steps.join(first, (F.col("s_tree") == F.col("tree")) & (F.col("step") == F.col("node")))
     head, body = F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">\n")), escape(F.col("text"))
     turn = F.struct("at", head.alias("head"), body.alias("body"), (F.coalesce("role", F.lit("")) == trained).alias("loss"))
     turns = rows.groupBy("tree", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
