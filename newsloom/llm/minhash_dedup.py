@@ -1,14 +1,18 @@
 """
-MinHash near-dedup with odd sketches. SAMPLES MinHash values of a document's shingle set are folded into a parity bitmap
-of SKETCH_BITS bits; the population count of two bitmaps' XOR estimates their similarity and screens the pairs that
-bands of MinHash values propose. What passes is confirmed on the full sets.
-
-Documents with equal sets form a class, and only its least doc_id takes part. First each member of a bucket meets the
-bucket's least id only (a star). Then buckets that still hold several components compare members of different ones,
-in tiles of TILE members, so no task has more than two tiles and no pair inside a component is made: first each member's
-NEAREST partners by sketch, which settles most, then, with components found anew, all pairs that are left. A pair at the
-threshold of 0.8 misses all 24 bands of 3 values with probability 4e-8, and the screen, at an estimate of 0.6, lies over
-five standard deviations below it. Whole sets are requested from the packed blocks, by hub and chunk of partners.
+MinHash near-dedup with odd sketches. BINS MinHash samples of a document's shingle set (one-permutation hashing: the
+least hash of each range) are folded into a parity bitmap of SKETCH_BITS bits; the population count of two bitmaps' XOR
+estimates their similarity and screens the pairs that bands of MinHash values propose. What passes is confirmed exactly.
+
+Documents with equal sets form a class, and only its least doc_id takes part.
+1. Stars: each member of a bucket meets the bucket's least id, its hub. Where the screen passes, both full sets are asked
+   for from the packed blocks; the outcome is the link, and the set's difference from the hub's set.
+2. Hub tiles: members of one hub in different components are compared exactly from their differences, as
+   |x & y| = |h| - |h - x| - |h - y| + |(x ^ h) & (y ^ h)|. A tile of at most 2 x TILE members emits links that join
+   components, never all pairs.
+3. Bucket tiles: pairs of one bucket of which at least one member's screen with the hub failed, in different components,
+   are screened by sketches; the few that pass are confirmed on full sets.
+A pair at the threshold of 0.8 misses all 24 bands of 3 values with probability 4e-8; the screen leaves it five standard
+deviations of the estimate.
 
 A document without words, a null text or a null doc_id is linked with nothing. With fewer words than a shingle has, the
 whole sequence is one shingle. doc_id is a key: of several texts with one id any may stand for it; repeated rows are
@@ -25,22 +29,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, block_count, packed_blocks, stored, texts_of, unpacked, window_hashes
+from .common import U64, among, block_count, packed_blocks, stored, texts_of, unpacked, window_hashes
 from .components import components
 
-SAMPLES, BANDS, BAND_ROWS = 128, 24, 3
-SKETCH_BITS = 512
-SCREEN = 0.6
+BANDS, BAND_ROWS = 24, 3
+#: Samples of a sketch, and its bits; powers of two.
+BINS, SKETCH_BITS = 512, 1024
+#: Standard deviations of the estimate that the screen allows a pair at the threshold.
+DEVIATIONS = 5
 TILE = 512
 CHUNK = 64
-#: Partners of each member that the first round of tiles proposes.
-NEAREST = 2
 #: Similarity to reach, in hundredths.
 LIKE = 80
 
 _draw = np.random.default_rng(20)
-_FACTORS = _draw.integers(0, 2**63, SAMPLES).astype(U64) * U64(2) + U64(1)
-_TERMS = _draw.integers(0, 2**63, SAMPLES).astype(U64)
+_FACTORS = _draw.integers(0, 2**63, BANDS * BAND_ROWS).astype(U64) * U64(2) + U64(1)
+_TERMS = _draw.integers(0, 2**63, BANDS * BAND_ROWS).astype(U64)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -51,27 +55,45 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def samples(shingles: np.ndarray) -> np.ndarray:
-    """MinHash values, by multiply-add on hashes that are mixed already."""
-    out = np.full(SAMPLES, 2**64 - 1, U64)
+    """MinHash values for the bands, by multiply-add on hashes that are mixed already."""
+    out = np.full(len(_FACTORS), 2**64 - 1, U64)
     for a in range(0, len(shingles), 256):
         np.minimum(out, (shingles[a : a + 256, None] * _FACTORS + _TERMS).min(0), out=out)
     return out
 
 
-def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the bands, and the odd sketch, both as 64-bit integers."""
-    low = samples(shingles)
-    bands = low[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
+def odd_sketch(shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of the sorted hashes the least in each of BINS ranges is a sample; its parity bitmap, and the number of samples."""
+    at = shingles >> U64(65 - BINS.bit_length())
+    low = shingles[np.flatnonzero(np.append(True, at[1:] != at[:-1]))]
+    place = ((low ^ (low >> U64(29))) * U64(0xBF58476D1CE4E5B9)) >> U64(65 - SKETCH_BITS.bit_length())
+    odd = (np.bincount(place.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64), len(low)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """Keys of the bands, as 64-bit integers."""
+    bands = samples(shingles).reshape(BANDS, BAND_ROWS)
     keys = bands[:, 0] * U64(0x9E3779B97F4A7C15) ^ (bands[:, 1] * U64(0xBF58476D1CE4E5B9) >> U64(1)) ^ bands[:, 2] * U64(0x94D049BB133111EB)
-    keys = keys + np.arange(BANDS, dtype=U64) * U64(0xD6E8FEB86659FD93)
-    at = ((low ^ (np.arange(SAMPLES, dtype=U64) * U64(0x9E3779B97F4A7C15))) * U64(0xBF58476D1CE4E5B9)) >> U64(64 - SKETCH_BITS.bit_length() + 1)
-    odd = (np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return keys.view(np.int64), np.packbits(odd).view(np.int64)
+    return (keys + np.arange(BANDS, dtype=U64) * U64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def most_different(similarity: float = SCREEN) -> int:
-    """Bits that the sketches of sets of this similarity differ in, as expected of odd sketches."""
-    return int(SKETCH_BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - similarity) / SKETCH_BITS)))
+def most_different(n_a, n_b, s_a, s_b, like: int, f=np):
+    """
+    The most bits that sketches of two sets at the threshold differ in. `n_`: sizes of the sets, `s_`: of their samples;
+    numbers and arrays, or columns with f=F. At a similarity of J the union has (n_a + n_b) / (1 + J) shingles, which
+    reach BINS (1 - (1 - 1/BINS)^union) ranges, in a share J of which both have the same sample.
+    """
+    j = like / 100
+    union = (n_a + n_b) / (1 + j)
+    reached = (1 - f.exp(union * float(np.log1p(-1 / BINS)))) * BINS
+    spread = reached * (1 - reached / union) * (j * (1 - j))
+    differ = (s_a + s_b - reached * (2 * j)) * (2 / SKETCH_BITS)
+    differ = (differ + f.abs(differ)) / 2
+    kept = f.exp(-1 * differ)  # how much of a further difference shows in the bits
+    bits = (1 - kept) * (SKETCH_BITS / 2)
+    noise = (1 - kept * kept) * (SKETCH_BITS / 4) - differ * kept * kept * (SKETCH_BITS / 2)
+    return bits + f.sqrt(spread * kept * kept * 4 + (noise + f.abs(noise)) / 2) * DEVIATIONS + 2
 
 
 def _signed(width: int, column: str, id_: str):
@@ -81,11 +103,11 @@ def _signed(width: int, column: str, id_: str):
         for i, text in zip(ids, texts_of(left.column("payload"), column), strict=True):
             s = shingle_set(text, width)
             if i.as_py() is None or not len(s):
-                out.append((len(s), None, None, None))
+                out.append((len(s), None, None, None, None))
             else:
-                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), *signature(s)))
-        kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.table([ids, *[pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]], names=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(s), *odd_sketch(s)))
+        kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()]
+        return pa.table([ids, *[pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]], names=["doc_id", "n_shingles", "set_key", "bands", "sketch", "n_samples"])
 
     return sign
 
@@ -94,7 +116,7 @@ def _screened(a: str, b: str, like: int) -> Column:
     """Whether two classes can be alike by their sizes, and seem so by their sketches."""
     differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_BITS // 64)])
     sizes = F.least(f"{a}.n_shingles", f"{b}.n_shingles") * 100 >= F.greatest(f"{a}.n_shingles", f"{b}.n_shingles") * like
-    return sizes & (differ <= most_different())
+    return sizes & (differ <= most_different(*[F.col(f"{t}.{c}") for c in ("n_shingles", "n_samples") for t in (a, b)], like, F))
 
 
 class _Corpus:
@@ -110,10 +132,14 @@ class _Corpus:
         return F.pmod(F.xxhash64(c), F.lit(self.n_blocks)).cast("int").alias("block")
 
     def signed(self) -> DataFrame:
-        return stored(self.blocks.groupBy("block").applyInArrow(_signed(self.width, self.column, self.id), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"), "signatures")
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of distinct ids whose full sets are alike. A hub's partners are dealt in chunks."""
+        return stored(self.blocks.groupBy("block").applyInArrow(_signed(self.width, self.column, self.id), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, n_samples int"), "signatures")
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """
+        u, v, alike, n_hub, n_lost, difference: for the pairs (a, b) of distinct ids whether their full sets are alike,
+        the size of a's set, how many of its members b's lacks, and the symmetric difference. A hub's partners are dealt
+        in chunks.
+        """
         pairs = stored(pairs, "pairs")
         chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("n"))
         dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("chunk"))
@@ -135,79 +161,119 @@ class _Corpus:
         def confirm(rows: pa.Table) -> pa.Table:
             sets = {i: np.frombuffer(s, U64) for i, s in zip(rows.column("id").to_pylist(), rows.column("shingles").to_pylist(), strict=True)}
             a = rows.column("a")[0].as_py()
-            hub, good = sets.pop(a), []
+            hub, out = sets.pop(a), []
             for b, s in sets.items():
-                both = len(np.intersect1d(hub, s, assume_unique=True))
-                if 100 * both >= like * (len(hub) + len(s) - both):
-                    good.append(b)
-            return pa.table([pa.array([a] * len(good), pa.int64()), pa.array(good, pa.int64())], names=["u", "v"])
+                differ = np.setxor1d(hub, s, assume_unique=True)
+                both = (len(hub) + len(s) - len(differ)) // 2
+                out.append((a, b, 100 * both >= like * (both + len(differ)), len(hub), len(hub) - both, differ.tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["u", "v", "alike", "n_hub", "n_lost", "difference"])
 
         sets = self.blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(fetch, "a long, chunk int, id long, shingles binary")
-        return sets.groupBy("a", "chunk").applyInArrow(confirm, "u long, v long")
+        return sets.groupBy("a", "chunk").applyInArrow(confirm, "u long, v long, alike boolean, n_hub long, n_lost long, difference binary")
+
+
+def _tiled(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """
+    `rows` with a column `minor`, dealt to tiles (key, i, j) of at most about TILE members and TILE minor ones: each
+    minor member meets all members of its key, in copies marked by `minor`.
+    """
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.ceil(F.count_if("minor") / TILE).cast("int").alias("minor_tiles")).where("minor_tiles > 0")
+    rows = rows.join(sizes, key)
+    own, own_minor = (F.pmod(F.xxhash64("id"), F.col(n)).cast("int") for n in ("tiles", "minor_tiles"))
+    as_all = rows.select(key, *columns, F.lit(False).alias("minor"), own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("minor_tiles") - 1)).alias("j"))
+    as_minor = rows.where("minor").select(key, *columns, F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), own_minor.alias("j"))
+    return as_all.unionByName(as_minor)
 
 
-def _tiles(entries: DataFrame, like: int, nearest: int | None) -> DataFrame:
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    minor = t.column("minor").to_numpy(zero_copy_only=False).astype(bool)
+    return np.flatnonzero(minor), np.flatnonzero(~minor)
+
+
+def _hub_tiles(members: DataFrame, like: int) -> DataFrame:
+    """
+    Links (u, v) between components of one hub's members, compared by their differences from the hub. `members`: hub, id,
+    component, n_hub, n_lost, difference. In a hub's group those outside its least component meet all.
+    """
+    least = members.groupBy("hub").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") != F.col("most")).select("hub", "least")
+    rows = members.join(least, "hub").withColumn("minor", F.col("component") != F.col("least"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, comp, lost, n_hub = (t.column(c).to_numpy() for c in ("id", "component", "n_lost", "n_hub"))
+        comp = comp.copy()
+        differ = [np.frombuffer(d.as_buffer(), U64) for d in t.column("difference")]
+        size = n_hub + np.array(list(map(len, differ))) - 2 * lost
+        a, b = _sides(t)
+        owner = np.repeat(np.arange(len(b)), [len(differ[y]) for y in b])
+        values, place = np.unique(np.concatenate([differ[y] for y in b]) if len(b) else np.empty(0, U64), return_inverse=True)
+        marked, out = np.zeros(len(values) + 1, bool), []
+        for x in a:
+            at = np.searchsorted(values, differ[x])
+            at = at[among(differ[x], values)]
+            marked[at] = True
+            shared = np.bincount(owner, marked[place], len(b)).astype(np.int64)
+            marked[at] = False
+            both = n_hub[x] - lost[x] - lost[b] + shared
+            alike = np.flatnonzero((100 * both >= like * (size[x] + size[b] - both)) & (comp[b] != comp[x]))
+            found, first = np.unique(comp[b[alike]], return_index=True)
+            out += [(ids[x], ids[y]) for y in b[alike[first]]]
+            comp[np.isin(comp, found)] = comp[x]
+        return pa.table([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return _tiled(rows, "hub", ["id", "component", "n_hub", "n_lost", "difference"]).groupBy("hub", "i", "j").applyInArrow(compare, "u long, v long")
+
+
+def _bucket_tiles(entries: DataFrame, like: int) -> DataFrame:
     """
-    Pairs (a, b) from different components of one bucket that pass the screen. `entries`: key, id, component, n_shingles,
-    sketch, of buckets with several components. Members outside the bucket's least component meet all members; with
-    `nearest`, each keeps so many partners of a tile.
+    Pairs (a, b) of one bucket in different components that pass the screen, unless both are `near` the bucket's hub.
+    `entries`: key, id, component, near, n_shingles, sketch, n_samples.
     """
-    size = entries.groupBy("key").agg(F.min("component").alias("least"), F.count("*").alias("n_all"))
-    minor = entries.join(size, "key").withColumn("minor", F.col("component") != F.col("least"))
-    n_minor = minor.where("minor").groupBy("key").agg(F.count("*").alias("n_minor"))
-    rows = minor.join(n_minor, "key").withColumn("tiles", F.ceil(F.col("n_all") / TILE).cast("int")).withColumn("minor_tiles", F.ceil(F.col("n_minor") / TILE).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    own_minor = F.pmod(F.xxhash64("id"), F.col("minor_tiles")).cast("int")
-    base = ["key", "id", "component", "n_shingles", "sketch"]
-    as_all = rows.select(*base, F.lit(False).alias("minor"), own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("minor_tiles") - 1)).alias("j"))
-    as_minor = rows.where("minor").select(*base, F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), own_minor.alias("j"))
-    limit = most_different()
+    rows = entries.withColumn("minor", ~F.col("near"))
 
     def compare(t: pa.Table) -> pa.Table:
-        minor = t.column("minor").to_numpy(zero_copy_only=False).astype(bool)
-        ids, comp, n = (t.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
+        ids, comp, n, s = (t.column(c).to_numpy() for c in ("id", "component", "n_shingles", "n_samples"))
         sketch = np.array(t.column("sketch").to_pylist(), np.int64).view(U64).reshape(len(ids), -1)
-        a, b = np.flatnonzero(minor), np.flatnonzero(~minor)
+        a, b = _sides(t)
         out = []
         for x in a:
-            differ = np.bitwise_count(sketch[b] ^ sketch[x]).sum(1)
-            sizes = np.minimum(n[b], n[x]) * 100 >= np.maximum(n[b], n[x]) * like
-            near = np.flatnonzero((differ <= limit) & sizes & (comp[b] != comp[x]))
-            if nearest is not None and len(near) > nearest:
-                near = near[np.argsort(differ[near], kind="stable")[:nearest]]
-            for y in b[near]:
-                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-        return pa.table([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+            y = b[(np.minimum(n[b], n[x]) * 100 >= np.maximum(n[b], n[x]) * like) & (comp[b] != comp[x])]
+            differ = np.bitwise_count(sketch[y] ^ sketch[x]).sum(1)
+            out += [(min(ids[x], z), max(ids[x], z)) for z in ids[y[differ <= most_different(n[x], n[y], s[x], s[y], like)]]]
+        return pa.table([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return as_all.unionByName(as_minor).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return _tiled(rows, "key", ["id", "component", "n_shingles", "sketch", "n_samples"]).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _clusters(docs: DataFrame, width: int, like: int) -> tuple[_Corpus, DataFrame]:
     corpus = _Corpus(docs, width, like)
     signed = corpus.signed()
-    classes = signed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    facts = ["n_shingles", "sketch", "n_samples"]
+    classes = signed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("bands", *facts)])
     classes = stored(classes, "classes")
     entries = classes.select(F.explode("bands").alias("key"), "id")
-    facts = classes.select("id", "n_shingles", "sketch")
+    facts = classes.select("id", *facts)
     hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    entries = stored(entries.join(hubs, "key"), "buckets")  # only buckets with company
-    stars = entries.where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    near = stars.join(facts.alias("x"), F.col("a") == F.col("x.id")).join(facts.alias("y"), F.col("b") == F.col("y.id")).where(_screened("x", "y", like)).select("a", "b")
-    near = stored(near, "stars")
-    links = stored(corpus.linked(near), "links")
+    entries = stored(entries.join(hubs, "key").where(F.col("id") != F.col("hub")), "buckets")  # only buckets with company
+    stars = entries.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stars.join(facts.alias("x"), F.col("a") == F.col("x.id")).join(facts.alias("y"), F.col("b") == F.col("y.id")).where(_screened("x", "y", like)).select("a", "b")
+    compared = stored(corpus.compared(stars), "stars")
+    links = compared.where("alike").select("u", "v")
     comps = stored(components(links), "components")
-    for nearest in (NEAREST, None):
-        # members of one bucket whose links did not come out so far
-        labelled = stored(entries.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
-        several = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") != F.col("most")).select("key")
-        rest = labelled.join(several, "key").join(facts, "id").select("key", "id", "component", "n_shingles", "sketch")
-        fresh = stored(_tiles(rest, like, nearest).join(near, ["a", "b"], "left_anti"), "tiles")
-        more = stored(corpus.linked(fresh), "links")
-        if not more.isEmpty():
-            links = stored(links.unionByName(more), "links")
-            comps = stored(components(links), "components")
-        near = near.unionByName(fresh)
-    member = classes.select("set_key", "id").join(comps, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    component = F.coalesce("component", "id").alias("component")
+
+    members = compared.select(F.col("u").alias("hub"), F.col("v").alias("id"), "n_hub", "n_lost", "difference").join(comps, "id", "left").select("hub", "id", component, "n_hub", "n_lost", "difference")
+    links = stored(links.unionByName(_hub_tiles(members, like)), "links")
+    comps = stored(components(links), "components")
+
+    near = compared.select(F.col("u").alias("hub"), F.col("v").alias("id"), F.lit(True).alias("near"))
+    labelled = stored(entries.join(near, ["hub", "id"], "left").join(comps, "id", "left").select("key", "id", F.coalesce("near", F.lit(False)).alias("near"), component), "labelled")
+    several = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.bool_and("near").alias("near")).where((F.col("least") != F.col("most")) & ~F.col("near")).select("key")
+    rest = _bucket_tiles(labelled.join(several, "key").join(facts, "id"), like)
+    more = stored(corpus.compared(rest).where("alike").select("u", "v"), "links")
+    if not more.isEmpty():
+        comps = stored(components(stored(links.unionByName(more), "links")), "components")
+    member = classes.select("set_key", "id").join(comps, "id", "left").select("set_key", component)
     return corpus, signed.select("doc_id", "n_shingles", "set_key").join(member, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
