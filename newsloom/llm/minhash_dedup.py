@@ -183,7 +183,7 @@ def _tiled(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     own, own_minor = (F.pmod(F.xxhash64("id"), F.col(n)).cast("int") for n in ("tiles", "minor_tiles"))
     as_all = rows.select(key, *columns, F.lit(False).alias("minor"), own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("minor_tiles") - 1)).alias("j"))
     as_minor = rows.where("minor").select(key, *columns, F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), own_minor.alias("j"))
-    return as_all.unionByName(as_minor)
+    return as_all.unionByName(as_minor).repartition(key, "i", "j")  # else one key's tiles would stay where the join had them
 
 
 def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
