@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, release_memory
 
 CACHE = 300_000
 
@@ -139,6 +139,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 offsets = np.cumsum([0, *map(len, each)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([bpe.decode(x.tolist()) for x in each], pa.string())], names=["doc_id", "ids", "decoded"])
+        release_memory()
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -131,22 +132,33 @@ def packed_blocks(docs: DataFrame, n_blocks: int, keys: tuple[str, ...] = ("doc_
         for b in batches:
             kept.append(b)
             held += b.nbytes
-            if held > 64e6:
+            if held > 32e6:
                 yield flush(kept)
                 kept, held = [], 0
         if kept and sum(map(len, kept)):
             yield flush([b for b in kept if len(b)])
+        release_memory()
 
     packed = plain.select(key.alias("block"), "*").mapInArrow(pack, "block int, payload binary")
     return packed.repartition(n_blocks, "block").sortWithinPartitions("block").persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def release_memory() -> None:
+    """Gives back what earlier blocks left free in this worker, which is used again for others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def unpacked(payloads: pa.ChunkedArray) -> pa.Table:
+    release_memory()
     return pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in payloads])
 
 
 def texts_of(payloads: pa.ChunkedArray, column: str):
     """The texts of a block one by one, in the order of unpacked()."""
+    release_memory()
     for p in payloads:
         for batch in pa.ipc.open_stream(p.as_buffer()):
             for x in batch.column(column):

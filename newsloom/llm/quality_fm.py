@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stored
+from .common import fold, release_memory, stored
 
 WORD_PLACES = 1 << 14
 BINS = 10
@@ -187,6 +187,7 @@ def scorer(spark, weights: Weights | None):
                 raw, _, _ = own.raw(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), starts)
                 out[a : a + len(rows)] = 1 / (1 + np.exp(-np.clip(raw.astype(np.float64), -30, 30)))
             yield pa.array(out, pa.float64())
+        release_memory()
 
     return score
 
