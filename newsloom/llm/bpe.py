@@ -4,7 +4,8 @@ vocabulary strings.
 
 The file names the steps: added tokens are cut out of the raw text; the rest is normalised (NFC, lower case), split into
 words by the file's pattern, turned into byte symbols with the end mark on the last, and merged. White space is dropped,
-so replacing runs of it changes nothing. A word's ids are kept in a cache of bounded size. Each text is encoded whole.
+so replacing runs of it changes nothing. Letters that Unicode added after the library's tables were made may be split
+otherwise. A word's ids are kept in a cache of bounded size. Each text is encoded whole.
 
 Null and empty texts give no ids and an empty decoded text. Rows are independent, so ties, repeated rows, empty tables
 and further columns need no care.

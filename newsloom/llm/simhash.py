@@ -55,8 +55,12 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), docs["text"].cast("string").alias("text"))
     inner = sorted(set(rows.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    cut = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="at", outputCol="part")
-    rows = cut.transform(rows.withColumn("at", F.col("doc_id").cast("double"))).select(F.col("part").cast("int").alias("part"), "doc_id", "text")
+    if inner:
+        cut = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="at", outputCol="part")
+        rows = cut.transform(rows.withColumn("at", F.col("doc_id").cast("double")))
+    else:  # an empty table, or one part
+        rows = rows.withColumn("part", F.lit(0))
+    rows = rows.select(F.col("part").cast("int").alias("part"), "doc_id", "text")
     first = {r.part: r.first for r in rows.groupBy("part").agg(F.min("doc_id").alias("first")).collect()}
     order = sorted(first)
     before = {first[p]: q for p, q in zip(order, [*order[-1:], *order[:-1]], strict=True)}
