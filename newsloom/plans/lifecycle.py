@@ -128,8 +128,8 @@ def json_path(spark, sf):
 
 
 @query("m4_subtitle_timing", """
-SELECT conv_id, turn, least(100.0, c - d) AS begins, least(100.0, c) AS ends FROM (SELECT conv_id, turn, d, sum(d) OVER (PARTITION BY conv_id ORDER BY turn) AS c
-FROM (SELECT conv_id, turn, greatest(1.5, length(text) * 0.25) AS d FROM conversations))""")
+SELECT conv_id, turn, least(100::DOUBLE, c - d) AS begins, least(100::DOUBLE, c) AS ends FROM (SELECT conv_id, turn, d, sum(d) OVER (PARTITION BY conv_id ORDER BY turn) AS c
+FROM (SELECT conv_id, turn, greatest(1.5::DOUBLE, length(text) * 0.25::DOUBLE) AS d FROM conversations))""")
 def subtitle_timing(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.greatest(F.lit(1.5), F.length("text") * F.lit(0.25)).alias("d"))
     c = c.withColumn("c", F.sum("d").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
