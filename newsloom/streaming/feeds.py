@@ -34,10 +34,11 @@ def ingest(spark: SparkSession, drops: str, target: str, checkpoint: str, per_ca
 
 def rolling_inventory(events: DataFrame, by: str, width: str = "24 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Counts by sliding window; works on streams (with a watermark) and tables alike."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need times with a zone
+    rows = rows.withWatermark("ts", late) if events.isStreaming else rows
     return rows.groupBy(F.window("ts", width, slide), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), by, "n")
 
 
 def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """The first row of each key that the stream shows while its watermark lasts."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
