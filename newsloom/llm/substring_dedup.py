@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, among, block_count, cuts, packed, packed_blocks, sliding, stored, texts_of, unpacked, window_hashes, word_hashes
+from .common import U64, among, block_count, cuts, mixed, packed, packed_blocks, sliding, stored, texts_of, unpacked, window_hashes, word_hashes
 
 WINDOW = 35
 LEAST = 8
@@ -35,20 +35,23 @@ def lengths(window: int) -> list[int]:
     return out[::-1]
 
 
-def anchors(h: np.ndarray, window: int, length: int, alive: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the anchor positions of the windows that are alive; for each window, its anchor's hash."""
+def anchors(h: np.ndarray, window: int, length: int, alive: np.ndarray | None) -> np.ndarray:
+    """
+    Hashes of the anchor positions of the windows that are alive, mixed anew: anchors are least hashes, so equal ranges of
+    the hash space would be far from equally full.
+    """
     each = window_hashes(h, length, length)
     span = window - length + 1
     least = sliding(each, span)
     most = least if alive is None else np.where(alive, least, U64(0))
     edge = np.zeros(span - 1, U64)
     best = sliding(np.concatenate([edge, most, edge]), span, np.maximum)
-    return each[(best == each) & (each > 0)], least
+    return mixed(each[(best == each) & (each > 0)])
 
 
 def survivors(h: np.ndarray, window: int, length: int, repeated: np.ndarray) -> np.ndarray:
     """For each window of a document whether its anchor at this length repeats."""
-    return among(sliding(window_hashes(h, length, length), window - length + 1), repeated)
+    return among(mixed(sliding(window_hashes(h, length, length), window - length + 1)), repeated)
 
 
 def _repeated(right: pa.Table | None) -> np.ndarray:
@@ -66,7 +69,7 @@ def _requests(window: int, length: int, before: int | None, targets: int, column
                 continue
             alive = None if before is None else survivors(h, window, before, known)
             if alive is None or alive.any():
-                found.append(anchors(h, window, length, alive)[0])
+                found.append(anchors(h, window, length, alive))
         values, counts = np.unique(np.concatenate(found) if found else np.empty(0, U64), return_counts=True)
         at = cuts(values, targets)
         rows = [(t, values[a:b], counts[a:b] > 1) for t, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
