@@ -45,17 +45,37 @@ def tokens(text: str | None) -> np.ndarray:
     return out
 
 
+def falling_law(of_counts: dict[int, int]) -> float:
+    """
+    Slope of the log-linear fit of counts of counts over all r (simple Good-Turing): n(r) is spread over half the way
+    between the counts next to r, so that gaps among large counts weigh as much as they should.
+    """
+    r = np.array(sorted(of_counts), np.float64)
+    n = np.array([of_counts[int(x)] for x in r], np.float64)
+    below, above = np.append(0, r[:-1]), np.append(r[1:], 2 * r[-1] - (r[-2] if len(r) > 1 else 0))
+    return float(np.polyfit(np.log(r), np.log(2 * n / (above - below)), 1)[0])
+
+
 def discounts(of_counts: dict[int, int], trusted: int = TRUSTED) -> np.ndarray:
     """
     Good-Turing factors by count, 0 to `trusted` + 1 (the last is 1, for all larger counts). From the published formula
-    (r*/r - c) / (1 - c) with r* = (r+1) n(r+1) / n(r) and c = (k+1) n(k+1) / n(1). Where few data make a factor leave
-    (0, 1], absolute discounting by n(1) / (n(1) + 2 n(2)) takes the place of them all.
+    (r*/r - c) / (1 - c) with r* = (r+1) n(r+1) / n(r) and c = (k+1) n(k+1) / n(1). Groups of copies swell single n(r) and
+    make factors leave (0, 1]; then all n(r) in the formula come from the fit of falling_law(), which keeps every factor
+    in (0, 1) as long as its slope is below -1. Only where counts of counts follow no falling law (not n(1) > n(2) > 0, or
+    a slope of -1 or more) does absolute discounting by n(1) / (n(1) + 2 n(2)) take the place of them all.
     """
     n = [of_counts.get(r, 0) for r in range(trusted + 2)]
     out = np.ones(trusted + 2)
-    if n[1]:
+
+    def good_turing(n) -> list[float]:
         c = (trusted + 1) * n[trusted + 1] / n[1]
-        good = [((r + 1) * n[r + 1] / n[r] / r - c) / (1 - c) if n[r] and c < 1 else -1.0 for r in range(1, trusted + 1)]
+        return [((r + 1) * n[r + 1] / n[r] / r - c) / (1 - c) if n[r] and c < 1 else -1.0 for r in range(1, trusted + 1)]
+
+    if n[1]:
+        good = good_turing(n)
+        if not all(0 < d <= 1 for d in good) and n[1] > n[2] > 0:
+            slope = falling_law(of_counts)
+            good = good_turing([0.0, *[r**slope for r in range(1, trusted + 2)]])
         out[1:-1] = good if all(0 < d <= 1 for d in good) else [(r - n[1] / (n[1] + 2 * n[2])) / r if n[2] else (r - 0.5) / r for r in range(1, trusted + 1)]
     return out
 
@@ -129,7 +149,8 @@ def _ask_words(targets: int):
 
 
 def _histogram(counts: np.ndarray) -> bytes:
-    return packed(np.bincount(np.minimum(counts, TRUSTED + 2), minlength=TRUSTED + 3)[: TRUSTED + 2].astype(np.int64))
+    """The distinct counts, then how many have each."""
+    return packed(np.stack(np.unique(counts, return_counts=True)).astype(np.int64))
 
 
 def _answer_words(asked: pa.Table) -> pa.Table:
@@ -295,15 +316,14 @@ def katz_scores(docs: DataFrame, train_modulus: int = TRAIN_MODULUS, salt_over:
     asked = blocks.groupBy("block").applyInArrow(_ask_words(targets), "target int, block int, words binary, counts binary")
     words = stored(asked.repartition(targets, "target").groupBy("target").applyInArrow(_answer_words, "block int, target int, counts binary, total long, distinct long, histogram binary"), "words")
     # one row of a few numbers from each partition
-    facts = words.where("block < 0").select("total", "distinct", "histogram").collect()
-    of_counts = lambda rows: {r: int(sum(np.frombuffer(x.histogram, np.int64)[r] for x in rows)) for r in range(1, TRUSTED + 2)}
-    shares = Shares.of(sum(x.total for x in facts), sum(x.distinct for x in facts), of_counts(facts))
+    facts = words.where("block < 0").select("total", "distinct").collect()
+    shares = Shares.of(sum(x.total for x in facts), sum(x.distinct for x in facts), _of_counts(words.where("block < 0")))
     hot = max(shares.total / (4 * targets), 1000) if salt_over is None else salt_over
     words = words.where("block >= 0").select("block", "target", "counts")
     asked = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_ask_pairs(targets, hot), "target int, block int, histories binary, hot binary, sizes binary, words binary, word_counts binary, counts binary")
     pairs = stored(asked.repartition(targets, "target").groupBy("target").applyInArrow(_answer_pairs(shares), "block int, target int, counts binary, sums binary, histogram binary"), "pairs")
     own = pairs.where("block < 0")
-    factor = discounts(of_counts(own.select("histogram").collect()))
+    factor = discounts(_of_counts(own))
     hot_sums = _hot_sums(own)
     answers = words.select("block", F.lit(0).alias("kind"), "target", "counts", F.lit(None).cast("binary").alias("sums")).unionByName(pairs.where("block >= 0").select("block", F.lit(1).alias("kind"), "target", "counts", "sums"))
     score = _score(shares, factor, hot, hot_sums, targets)
@@ -317,6 +337,19 @@ def katz_scores(docs: DataFrame, train_modulus: int = TRAIN_MODULUS, salt_over:
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, SCHEMA)
 
 
+def _of_counts(own: DataFrame) -> dict[int, int]:
+    """Counts of counts over all partitions. N tokens have less than sqrt(2N) distinct counts."""
+
+    def parts(batches):
+        for b in batches:
+            for x in b.column("histogram"):
+                r, n = np.frombuffer(x.as_py(), np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(n)], names=["r", "n"])
+
+    found = own.select("histogram").mapInArrow(parts, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()
+    return {x.r: x.n for x in found}
+
+
 def _hot_sums(own: DataFrame) -> dict[int, np.ndarray]:
     """Sums of the salted histories over all partitions. There are at most total / hot of them, which is 4 a partition."""
 
