@@ -24,6 +24,12 @@ def slug(spark, sf):
     return _docs(spark, sf).select("doc_id", T.slug(F.substring("text", 1, 80)).alias("slug"))
 
 
+@query("t1_slug_text", "SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
+def slug_text(spark, sf):
+    """t1_slug over whole texts."""
+    return _docs(spark, sf).select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
 @query("t2_raw_slug", "SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g')[1:60] AS slug FROM documents")
 def raw_slug(spark, sf):
     return _docs(spark, sf).select("doc_id", T.raw_slug(F.col("text")).alias("slug"))
@@ -88,6 +94,12 @@ def category(spark, sf):
     return _docs(spark, sf).select("doc_id", T.category(F.substring("text", 1, 60), F.col("source")).alias("category"))
 
 
+@query("t15_category_text", "SELECT doc_id, " + _sql_rules(T.CATEGORY_RULES, T.DEFAULT_CATEGORY) + " AS category FROM (SELECT doc_id, lower(text || ' ' || source) AS t FROM documents)")
+def category_text(spark, sf):
+    """t15_category over whole texts."""
+    return _docs(spark, sf).select("doc_id", T.category(F.col("text"), F.col("source")).alias("category"))
+
+
 @query("t16_source_language", "SELECT s_suppkey AS id, " + _sql_rules({k: "|".join(v) for k, v in T.SOURCE_LANGUAGES.items()}, "en") + " AS language FROM (SELECT s_suppkey, lower(CASE s_suppkey % 4 WHEN 0 THEN 'ABP Ananda ' WHEN 1 THEN 'Le Monde ' WHEN 2 THEN 'Geo Urdu Jang ' ELSE '' END || s_name) AS t FROM supplier)")
 def source_language(spark, sf):
     prefix = F.when(F.col("s_suppkey") % 4 == 0, "ABP Ananda ").when(F.col("s_suppkey") % 4 == 1, "Le Monde ").when(F.col("s_suppkey") % 4 == 2, "Geo Urdu Jang ").otherwise("")
