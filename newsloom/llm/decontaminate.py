@@ -10,7 +10,7 @@ The windows are broadcast only while the benchmark has at most BROADCAST_BYTES o
 are joined by shuffles, whose hot words Spark's skew join splits, and candidates meet the texts by their key.
 
 Words are runs of a-z, 0-9 and characters beyond ASCII, A-Z in lower case. Null and empty texts have none and are clean;
-repeated rows (equal doc_id and text) give one row; items with equal windows all count.
+repeated rows (equal doc_id and text) are searched as one and give a row each; items with equal windows all count.
 """
 
 from __future__ import annotations
@@ -53,14 +53,14 @@ def with_prefix(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
 
 def hits(docs: DataFrame, bench: DataFrame, width: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """
-    doc_id, text_hash, n_words, found array<struct<start,length,items>>: one row for each distinct (doc_id, text), and
-    the places (from 1) where windows occur.
+    doc_id, text_hash, n_words, copies, found array<struct<start,length,items>>: one row for each distinct (doc_id, text),
+    how many rows have it, and the places (from 1) where windows occur.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     small = (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= broadcast_bytes
     windows = stored(with_prefix(windows_of(bench, width), docs, small), "windows")
     key = F.xxhash64("text").alias("text_hash")
-    # the empty word stands at each text's end, so that every document has a row
+    # the empty word stands at each text's end, so that every document has a row, and counts repeated rows
     end = windows.sparkSession.range(1).select(F.lit("").alias("prefix"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items"))
     wanted = windows.unionByName(end)
     texts = docs.select("doc_id", key, words_of(F.col("text")).alias("w"))
@@ -69,18 +69,20 @@ def hits(docs: DataFrame, bench: DataFrame, width: int = WINDOW, broadcast_bytes
     place = F.when(F.col("window").isNotNull(), F.struct(start.alias("start"), F.size("window").alias("length"), "items"))
     if small:
         spoken = texts.select("doc_id", "text_hash", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("at", "word"))
-        found = spoken.join(F.broadcast(wanted), (F.col("word") == F.col("prefix")) & fits).select("doc_id", "text_hash", F.size("w").alias("n_words"), place.alias("place"))
+        found = spoken.join(F.broadcast(wanted), (F.col("word") == F.col("prefix")) & fits).select("doc_id", "text_hash", F.size("w").alias("n_words"), F.lit(1).alias("n"), place.alias("place"))
     else:
+        texts = texts.groupBy("doc_id", "text_hash").agg(F.first("w").alias("w"), F.count("*").alias("copies"))
         spoken = texts.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode(F.concat("w", F.array(F.lit("")))).alias("at", "word"))
         bounds = F.col("window").isNull() | ((start >= 1) & (start + F.size("window") - 1 <= F.col("n")))
         candidates = spoken.join(wanted, (F.col("word") == F.col("prefix")) & bounds).select("doc_id", "text_hash", "at", "offset", "window", "items")
-        found = candidates.join(texts.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "w"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).where(fits)
-        found = found.select("doc_id", "text_hash", F.size("w").alias("n_words"), place.alias("place"))
-    return found.groupBy("doc_id", "text_hash").agg(F.max("n_words").cast("long").alias("n_words"), F.collect_set("place").alias("found"))
+        found = candidates.join(texts.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "w", "copies"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).where(fits)
+        found = found.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.col("copies").alias("n"), place.alias("place"))
+    copies = F.sum(F.when(F.col("place").isNull(), F.col("n"))).cast("long").alias("copies")
+    return found.groupBy("doc_id", "text_hash").agg(F.max("n_words").cast("long").alias("n_words"), copies, F.collect_set("place").alias("found"))
 
 
 def report(found: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words, n_hit, n_items, items, contaminated."""
+    """doc_id, text_hash, n_words, n_hit, n_items, items, contaminated: a row for each row of the documents."""
     spans = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))))
     grown = lambda acc, x: F.struct(
         F.greatest(acc["to"], x["start"] + x["length"]).alias("to"),
@@ -88,7 +90,8 @@ def report(found: DataFrame) -> DataFrame:
     )
     n_hit = F.aggregate(spans, F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")), grown)["n"].cast("long")
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"]))))
-    out = found.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), items.alias("items"))
+    out = found.select("doc_id", "text_hash", "n_words", "copies", n_hit.alias("n_hit"), items.alias("items"))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select("doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 

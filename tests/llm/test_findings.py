@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from newsloom.llm import katz_lm
+from newsloom.llm import decontaminate, katz_lm
 
 from . import katz_brute
 from .test_text_operators import SF, docs_of
@@ -43,3 +43,11 @@ def test_discounts_of_clean_and_of_few_counts():
     c = 6 * 30 / 1000
     assert raw[1] == pytest.approx((2 * 300 / 1000 - c) / (1 - c))  # valid factors are not smoothed
     assert katz_lm.discounts({1: 2, 3: 2})[1] == 0.5 and list(katz_lm.discounts({})) == [1.0] * 7
+
+
+def test_decontamination_keeps_repeated_rows(spark):
+    bench = spark.createDataFrame([(2, "Short item")], "item_id long, text string")
+    rows = [(1, "a short item"), (1, "a short item"), (1, "other"), (None, "short item"), (None, "short item"), (None, None), (None, None), (None, ""), (3, "x")]
+    for most in (decontaminate.BROADCAST_BYTES, 0):
+        got = decontaminate.report(decontaminate.hits(docs_of(spark, rows), bench, broadcast_bytes=most)).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_hit, *r["items"]) for r in got) == {(1, 3, 2, "2"): 2, (1, 1, 0): 1, (None, 2, 2, "2"): 2, (None, 0, 0): 3, (3, 1, 0): 1}
