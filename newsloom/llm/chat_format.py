@@ -6,8 +6,8 @@ The template writes a turn as `<turn ROLE>`, a line break, the text, `</turn>`,
 backslash and the angle brackets are written \\b, \\l and \\g, so no text can hold a control string and reading back is
 exact. The loss mask is the list of (start, length) spans, in code points, of assistants' texts in the formatted string.
 
-Null texts and roles are empty; rows with a null tree or node are left out, except conversations, whose turns without
-order come first. Rows with one id in a tree are one node, with the least parent; the first by role and text gives the
+Null texts and roles are empty; rows with a null node are left out, and rows with a null tree are one tree. Of a
+conversation, turns without order come first. Rows with one id in a tree are one node, with the least parent; the first by role and text gives the
 turn. A node whose parent is missing, null or itself is a root; nodes on a cycle have no root and are left out. Ties of score go to the lesser path of ids.
 A path's rows meet in one row of the result, as a conversation must.
 """
@@ -40,9 +40,10 @@ def paths(nodes: DataFrame) -> DataFrame:
     """
     tree, path (ids from root to leaf), path_score. Round k joins what each leaf has reached with the table of ancestors
     2^k steps up, and that table with itself, so a path of n nodes takes log2(n) rounds and n rows; texts take no part.
+    Inside, trees are wrapped in structs, which are never null, so that rows without a tree's name are one tree.
     """
     links = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.min(F.coalesce("score", F.lit(0.0))).alias("score"))
-    links = stored(links, "nodes")
+    links = stored(links.withColumn("tree", F.struct("tree")), "nodes")
     above = links.select(F.col("tree").alias("tree"), F.col("node").alias("parent"))
     jumps = links.where(F.col("parent") != F.col("node")).select("tree", "node", "parent").join(above, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up"))
     jumps = stored(jumps, "jumps")
@@ -62,7 +63,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     endless = jumps.select("tree", F.col("node").alias("leaf")) if step >= largest else jumps.select("tree", F.col("node").alias("leaf")).limit(0)
     rows = reached.join(endless, ["tree", "leaf"], "left_anti").join(links.select("tree", "node", "score"), ["tree", "node"])
     found = rows.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("at"), "node"))).alias("steps"), F.sum("score").alias("path_score"))
-    return found.select("tree", F.transform("steps", lambda x: x["node"]).alias("path"), "path_score")
+    return found.select("tree.tree", F.transform("steps", lambda x: x["node"]).alias("path"), "path_score")
 
 
 def best_paths(all_paths: DataFrame, per_tree: int | None = 1) -> DataFrame:
@@ -76,7 +77,7 @@ def formatted(nodes: DataFrame, chosen: DataFrame, trained: str = "assistant") -
     """tree, rank, formatted string, loss array<struct<start,length>> (0-based code points)."""
     steps = chosen.select(F.col("tree").alias("s_tree"), "rank", F.posexplode("path").alias("at", "step"))
     first = nodes.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("turn")).select("tree", "node", "turn.*")
-    rows = steps.join(first, (F.col("s_tree") == F.col("tree")) & (F.col("step") == F.col("node")))
+    rows = steps.join(first, F.col("s_tree").eqNullSafe(F.col("tree")) & (F.col("step") == F.col("node")))
     head, body = F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">\n")), escape(F.col("text"))
     turn = F.struct("at", head.alias("head"), body.alias("body"), (F.coalesce("role", F.lit("")) == trained).alias("loss"))
     turns = rows.groupBy("tree", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))

@@ -3,10 +3,11 @@
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
-from newsloom.llm import decontaminate, katz_lm
+from newsloom.llm import chat_format, decontaminate, katz_lm, registry
 
 from . import katz_brute
 from .test_text_operators import SF, docs_of
@@ -51,3 +52,16 @@ def test_decontamination_keeps_repeated_rows(spark):
     for most in (decontaminate.BROADCAST_BYTES, 0):
         got = decontaminate.report(decontaminate.hits(docs_of(spark, rows), bench, broadcast_bytes=most)).collect()
         assert Counter((r.doc_id, r.n_words, r.n_hit, *r["items"]) for r in got) == {(1, 3, 2, "2"): 2, (1, 1, 0): 1, (None, 2, 2, "2"): 2, (None, 0, 0): 3, (3, 1, 0): 1}
+
+
+def test_turns_without_conversation(spark, tmp_path):
+    """Rows of null conv_id are one conversation, as in the SQL."""
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a<b"), (0, 0, "user", "x"), (0, 1, "assistant", "y"), (None, 2, "user", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = chat_format.op7_chat_format(spark, str(tmp_path))
+    want = con.execute(registry.oracle_sql()["op7_chat_format"])
+    names = [c[0] for c in want.description]
+    assert sorted(map(tuple, got.select(names).collect()), key=str) == sorted(want.fetchall(), key=str) and got.count() == 3
