@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from newsloom.llm import chat_format, decontaminate, katz_lm, registry
+from newsloom.llm import chat_format, decontaminate, katz_lm, registry, unigram_counts
 
 from . import katz_brute
 from .test_text_operators import SF, docs_of
@@ -65,3 +65,15 @@ def test_turns_without_conversation(spark, tmp_path):
     want = con.execute(registry.oracle_sql()["op7_chat_format"])
     names = [c[0] for c in want.description]
     assert sorted(map(tuple, got.select(names).collect()), key=str) == sorted(want.fetchall(), key=str) and got.count() == 3
+
+
+def test_unigram_counts_like_the_library(spark):
+    from tokenizers import Tokenizer, models
+
+    pieces = unigram_counts.vocabulary(unigram_counts.piece_path())
+    least = min(s for _, s in pieces)
+    theirs = Tokenizer(models.Unigram([("<unk>", least), *pieces, *[(f"<0x{i:02X}>", least) for i in range(256)]], 0, True))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in unigram_counts.op9_unigram_counts(spark, SF).collect():
+        words = unigram_counts.WORDS.findall(texts[r.doc_id] or "")
+        assert (r.n_words, r.n_tokens) == (len(words), sum(len(theirs.encode(unigram_counts.MARK + w).ids) for w in words))
