@@ -54,6 +54,14 @@ LOCALE_COUNTRIES = {
     "en-US": "US", "en-GB": "GB", "en-AU": "AU", "en-CA": "CA",
 }
 DEFAULT_COUNTRY = "IN"
+APP_LANGUAGES = ["en", "hi", "mr", "bn", "te", "ta", "gu", "kn", "pa", "ur", "ar", "fr", "de", "es", "pt", "ru", "zh", "ja", "ko", "id", "tr", "it"]
+DEFAULT_LANGUAGE = "en"
+RATE_LIMITED = ["429", "quota", "Too Many"]
+QUOTA_BLOCKED = ["limit: 0", "Quota exceeded for metric", "free_tier"]
+UNIQUE_VIOLATION = "P2002"
+EMPTY_BODY = "(No body text in feed item.)"
+IMAGE_SIZES = {"hero": "1200/630", "thumb": "120/80", "card": "800/450"}
+IMAGE_HOST = "https://picsum.photos/seed/"
 # --- end of fixed values ---
 
 #: White space as browsers have it: Unicode's, and the byte order mark.
@@ -107,6 +115,10 @@ def packed_sentences(text: Column, over: int = 6000, most: int = 4500) -> Column
     return F.when((F.size(parts) <= 1) & (F.length(text) > over), F.aggregate(sentences(text), start, add, end)).otherwise(parts)
 
 
+def or_placeholder(parts: Column, otherwise: str = EMPTY_BODY) -> Column:
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(otherwise)))
+
+
 def paragraph_key(p: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(F.lower(p), r"(?U)\s+", " "), r"(?U)[^\p{L}\p{N}\s]", ""))
 
@@ -134,7 +146,17 @@ def uncontained_paragraphs(parts: Column) -> Column:
 def enriched_body(long: Column, medium: Column, short: Column, summary: Column, enough: int = 2400) -> Column:
     each = [trimmed(F.coalesce(c, F.lit(""))) for c in (long, medium, short, summary)]
     parts = F.when(F.length(each[0]) >= enough, F.array(each[0])).otherwise(F.array(each[1], each[0], each[2], each[3]))
-    return F.array_join(uncontained_paragraphs(F.flatten(F.transform(parts, paragraphs))), "\n\n")
+    return F.array_join(uncontained_paragraphs(F.flatten(F.transform(parts, lambda p: paragraphs(p)))), "\n\n")  # paragraphs alone would be given places as its second argument
+
+
+def article_paragraphs(body: Column, medium: Column, short: Column, excerpt_: Column, enough: int = 900) -> Column:
+    """The body's paragraphs; where they are short or none, those of the other texts follow. Each key once."""
+    none = F.array().cast("array<string>")
+    body = F.coalesce(F.filter(body, lambda p: p != ""), none)
+    texts = F.filter(F.array(medium, short, excerpt_), lambda t: trimmed(F.coalesce(t, F.lit(""))) != "")
+    rest = F.coalesce(paragraphs(F.array_join(texts, "\n\n"), r"\n(?U)\s*\n|(?U)(?<=[.!?।])\s+(?=[A-Z0-9])"), none)
+    joined = F.when((F.size(body) == 0) | (F.length(F.array_join(body, " ")) < enough), F.concat(body, rest)).otherwise(body)
+    return distinct_paragraphs(joined)
 
 
 def first_image(html: Column) -> Column:
@@ -142,8 +164,37 @@ def first_image(html: Column) -> Column:
 
 
 def video_url(mime: Column, media: Column, link: Column) -> Column:
-    return F.when(F.startswith(mime, F.lit("video")), media).when(link.rlike("(?i)youtube|youtu\\.be|vimeo"), link)
+    """The medium itself where its type is a video's, else a link to a video site."""
+    own = F.when(F.startswith(mime, F.lit("video")), F.nullif(media, F.lit("")))
+    return F.coalesce(own, F.when(link.rlike(r"(?i)youtube\.com|youtu\.be|vimeo\.com"), link))
+
+
+def storage_key(url: Column, bucket: str) -> Column:
+    """What follows the bucket in a URL; the URL itself where it names another."""
+    mark = f"/{bucket}/"
+    at = F.instr(url, mark)
+    return F.when(at > 0, F.substr(url, at + len(mark))).otherwise(url)
+
+
+def preferred_image(assets: Column, body_image: Column, slug_: Column, size: str = "card") -> Column:
+    """The first image asset with a URL, else the body's image, else a placeholder by slug. `assets`: array<struct<type,url>>."""
+    own = F.try_element_at(F.filter(assets, lambda m: (m["type"] == "IMAGE") & (F.coalesce(m["url"], F.lit("")) != "")), F.lit(1))["url"]
+    return F.coalesce(own, F.nullif(body_image, F.lit("")), F.concat(F.lit(IMAGE_HOST), uri_part(slug_), F.lit("/" + IMAGE_SIZES[size])))
+
 
+def uri_part(c: Column) -> Column:
+    """Percent-encoded as a part of a URI: all but letters, digits and -_.!~*'()."""
+    return _percent(c, "!~'()")
+
+
+def uri(c: Column) -> Column:
+    """Percent-encoded as a whole URI: its delimiters stay."""
+    return _percent(c, "!~'();,/?:@&=+$#")
+
+
+def _percent(c: Column, plain: str) -> Column:
+    encoded = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    return reduce(lambda out, x: F.replace(out, F.lit(f"%{ord(x):02X}"), F.lit(x)), plain, encoded)
 
 def is_playable(url: Column) -> Column:
     low = F.lower(url)
@@ -206,6 +257,51 @@ def public_url(base: str, slug_: Column) -> Column:
     return F.concat(F.lit(base.rstrip("/")), F.lit("/article/"), slug_)
 
 
+def or_else(*parts: Column) -> Column:
+    """The first that is neither null nor empty, else the empty string."""
+    return F.coalesce(*[F.nullif(p, F.lit("")) for p in parts], F.lit(""))
+
+
+def platform_text(platform: Column, title: Column, excerpt_: Column, caption: Column, url: Column) -> Column:
+    """What is posted, by platform; null where the platform takes no plain text."""
+    said, line = or_else(caption, title), F.lit("\n")
+    link = F.concat(F.lit('<a href="'), uri(url), F.lit('">Read more</a>'))
+    return (
+        F.when(platform == "FACEBOOK", F.concat(said, line, line, url))
+        .when(platform.isin("LINKEDIN", "THREADS"), F.concat(said, line, url))
+        .when(platform == "WHATSAPP", F.concat(F.lit("*"), title, F.lit("*"), line, line, or_else(excerpt_, caption), line, line, url))
+        .when(platform == "TELEGRAM", F.concat(F.lit("<b>"), escaped_html(title), F.lit("</b>"), line, line, escaped_html(excerpt_), line, line, link))
+    )
+
+
+def channel_target(explicit: Column, channel_url: Column) -> Column:
+    """The channel's id, else the last part of its URL's path; null where there is neither."""
+    parts = F.filter(F.split(F.coalesce(F.try_parse_url(channel_url, F.lit("PATH")), F.lit("")), "/"), lambda x: x != "")
+    return F.coalesce(F.nullif(explicit, F.lit("")), F.try_element_at(parts, F.lit(-1)))
+
+
+def slug_title(slug_: Column) -> Column:
+    """A title from a slug: fallback numbers go, hyphens become spaces, each word's first letter becomes a capital."""
+    clean = trimmed(F.replace(F.regexp_replace(slug_, r"(?i)-fallback-\d+$", ""), F.lit("-"), F.lit(" ")))
+    words = F.transform(F.split(clean, r"(?<=[^A-Za-z0-9_])(?=[A-Za-z0-9_])"), capitalised)
+    return F.when(clean == "", F.lit("Preview Article")).otherwise(F.array_join(words, ""))
+
+
+def capitalised(c: Column) -> Column:
+    """The first letter as a capital, the rest as it is."""
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
+
+
+def _has_any(c: Column, marks: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(F.coalesce(c, F.lit("")), F.lit(m)) for m in marks])
+
+
+def error_class(message: Column, code: Column) -> Column:
+    """What to do about an error: a known row, a hard quota, a passing rate limit, or anything else."""
+    limited = _has_any(message, RATE_LIMITED)
+    return F.when(code == UNIQUE_VIOLATION, "known").when(limited & _has_any(message, QUOTA_BLOCKED), "quota").when(limited, "rate_limit").otherwise("other")
+
+
 def unfenced(c: Column) -> Column:
     return F.regexp_replace(c, "```json\\n?|\\n?```", "")
 
@@ -236,10 +332,35 @@ def locale_country(locale: Column) -> Column:
     return F.coalesce(F.try_element_at(known, locale), F.try_element_at(known, F.split(locale, "-")[0]), F.lit(DEFAULT_COUNTRY))
 
 
-def age_label(ts: Column, as_of: Column) -> Column:
+def locale_language(locale: Column, chosen: Column | None = None) -> Column:
+    """A stored choice if it is supported, else the locale's language if that is, else the default."""
+    supported = lambda c: F.when(c.isin(APP_LANGUAGES), c)
+    return F.coalesce(*([supported(chosen)] if chosen is not None else []), supported(F.lower(F.split(locale, "-")[0])), F.lit(DEFAULT_LANGUAGE))
+
+
+def country_languages(own: Column, extra: Column) -> Column:
+    """The default language, the country's own and its further ones, as far as they are supported, each once."""
+    codes = F.array_union(F.array(F.lit(DEFAULT_LANGUAGE), own), F.coalesce(extra, F.array().cast("array<string>")))
+    return F.filter(codes, lambda c: c.isin(APP_LANGUAGES))
+
+
+def default_language(own: Column, own_available: Column, default_available: Column) -> Column:
+    """The country's language if it is supported; the default where that alone has articles."""
+    preferred = F.when(own.isin(APP_LANGUAGES), own).otherwise(DEFAULT_LANGUAGE)
+    return F.when(F.coalesce(own_available, F.lit(False)), preferred).when(F.coalesce(default_available, F.lit(False)), DEFAULT_LANGUAGE).otherwise(preferred)
+
+
+def is_uuid(c: Column) -> Column:
+    return F.coalesce(c.rlike(r"\A[0-9a-f-]{36}\z"), F.lit(False))
+
+
+def age_label(ts: Column, as_of: Column, just_now: int = 2, days: int = 0) -> Column:
+    """Minutes, hours and, up to `days`, days of age, then the date. Under `just_now` minutes there is no number."""
     minutes = F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(ts)) / 60)
     hours = F.floor(minutes / 60)
-    return F.when(minutes < 2, "Just now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago"))).when(hours < 24, F.concat(hours.cast("string"), F.lit("h ago"))).otherwise(F.date_format(ts, "d MMM yyyy"))
+    number = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    out = F.when(minutes < just_now, "Just now").when(minutes < 60, number(minutes, "m")).when(hours < 24, number(hours, "h"))
+    return out.when(F.floor(hours / 24) < days, number(F.floor(hours / 24), "d")).otherwise(F.date_format(ts, "d MMM"))
 
 
 def date_label(ts: Column) -> Column:
@@ -264,8 +385,9 @@ def is_transition(old: Column, new: Column) -> Column:
     return F.coalesce(F.array_contains(F.try_element_at(known, old), new), F.lit(False))
 
 
+VIDEO = "struct<title:string,narration:string,summary:string,language:string,status:string,script:string,generatedAt:string,videoUrl:string>"
 #: Schema of an article's body.
-BODY = "struct<type:string,imageUrl:string,imageCredit:string,content:array<struct<type:string,content:array<struct<type:string,text:string>>>>,aiVideo:struct<title:string,narration:string,summary:string,language:string,status:string,script:string,generatedAt:string,videoUrl:string>>"
+BODY = f"struct<type:string,imageUrl:string,imageCredit:string,content:array<struct<type:string,content:array<struct<type:string,text:string>>>>,aiVideo:{VIDEO}>"
 
 
 def body_json(parts: Column) -> Column:
@@ -273,6 +395,14 @@ def body_json(parts: Column) -> Column:
     return F.to_json(F.struct(F.lit("doc").alias("type"), F.transform(parts, node).alias("content")))
 
 
+def with_video(body: Column, script: Column, generated_at: Column, url: Column) -> Column:
+    """The body's JSON with what a finished video adds to its `aiVideo`; all other fields stay."""
+    doc = F.from_json(body, BODY)
+    video = F.when(doc["aiVideo"].isNull(), F.from_json(F.lit("{}"), VIDEO)).otherwise(doc["aiVideo"])
+    made = {"status": F.lit("generated"), "script": script, "generatedAt": generated_at, "videoUrl": url}
+    return F.to_json(doc.withField("aiVideo", reduce(lambda v, name: v.withField(name, made[name]), made, video)))
+
+
 def body_paragraphs(body: Column) -> Column:
     nodes = F.filter(F.from_json(body, BODY)["content"], lambda n: n["type"] == "paragraph")
     return F.filter(F.transform(nodes, lambda n: trimmed(F.array_join(F.transform(n["content"], lambda t: F.coalesce(t["text"], F.lit(""))), ""))), lambda p: p != "")

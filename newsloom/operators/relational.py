@@ -73,8 +73,33 @@ def auto_approved(risks: DataFrame, rules: DataFrame) -> DataFrame:
     return risks.join(r, on, "left_semi")
 
 
-def after_attempt(jobs: DataFrame, failure: Column, success: Column, most: int = 3) -> DataFrame:
-    """Jobs after one attempt: a failure counts a retry, and `most` of them end in the dead letters."""
+def publishable(risks: DataFrame, rules: DataFrame, key: str, forced: Column, flag: bool) -> DataFrame:
+    """`risks` with `approved`: forced, or by a rule, or because a flag approves all."""
+    by_rule = auto_approved(risks, rules).select(key).distinct().withColumn("by_rule", F.lit(True))
+    return risks.join(by_rule, key, "left").withColumn("approved", forced | F.coalesce("by_rule", F.lit(False)) | F.lit(flag)).drop("by_rule")
+
+
+def after_attempt(jobs: DataFrame, failure: Column, success: Column, platform: Column | None = None, connectors: Sequence[str] = (), most: int = 3) -> DataFrame:
+    """
+    Jobs after one attempt: a failure counts a retry, and `most` of them end in the dead letters. With `platform`, jobs for
+    the site itself succeed at once, and those for a platform without a connector go to the dead letters untried.
+    """
     tries = F.col("retries") + 1
-    status = F.when(failure, F.when(tries >= most, "DEAD_LETTERED").otherwise("FAILED")).when(success, "SUCCESS").otherwise("FAILED")
-    return jobs.withColumns({"status": status, "retries": F.when(failure, tries).otherwise(F.col("retries"))})
+    tried = F.when(failure, F.when(tries >= most, "DEAD_LETTERED").otherwise("FAILED")).when(success, "SUCCESS").otherwise("FAILED")
+    counted = F.when(failure, tries).otherwise(F.col("retries"))
+    if platform is not None:
+        site, none = platform == "WEB", ~platform.isin(list(connectors))
+        tried = F.when(site, "SUCCESS").when(none, "DEAD_LETTERED").otherwise(tried)
+        counted = F.when(site | none, F.col("retries")).otherwise(counted)
+    return jobs.withColumns({"status": tried, "retries": counted})
+
+
+def requeued(jobs: DataFrame, condition: Column) -> DataFrame:
+    """A retry by hand: the jobs wait again, with no attempts counted."""
+    return updated(jobs, condition, status="QUEUED", retries=0)
+
+
+def prefix_taken(bases: DataFrame, slugs: DataFrame) -> DataFrame:
+    """`bases` (column base) for which some of `slugs` (column slug) starts with it. Each slug is spread to its prefixes, so the join is on equal keys."""
+    prefixes = slugs.where(F.length("slug") > 0).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("slug")), lambda n: F.substr("slug", F.lit(1), n))).alias("base")).distinct()
+    return bases.join(prefixes, "base", "left_semi")

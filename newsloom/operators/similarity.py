@@ -1,77 +1,115 @@
-"""Token-set similarity: a prefix-filtered join between classes of equal sets, and greedy acceptance in order of arrival."""
+"""Token-set similarity: a prefix-filtered join between classes of equal sets, greedy acceptance, and a look-back in time."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom.functions import text as T
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that spark.checkpoint.dir names; sets one of its own only where none is."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-"))
-    return df.checkpoint()
+from .storage import spread, stored
 
 
-def token_classes(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class_id) and (class_id, tokens, n_rows): equal token sets share a class, named by its least id; empty sets have none."""
-    rows = docs.select(F.col(id_).alias("doc_id"), F.array_sort(T.tokens(F.coalesce(text, F.lit("")))).alias("tokens")).where(F.size("tokens") > 0)
-    key = F.sha2(F.array_join("tokens", " "), 256).alias("key")
-    rows = checkpointed(rows.select("doc_id", key, "tokens"))
-    classes = rows.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("tokens").alias("tokens"), F.count("*").alias("n_rows"))
-    classes = checkpointed(classes)
-    return rows.select("doc_id", "key").join(classes.select("key", "class_id"), "key").select("doc_id", "class_id"), classes.select("class_id", "tokens", "n_rows")
+def token_classes(docs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """
+    (doc_id, class_id, *more) of the rows with tokens and (class_id, tokens, n_rows): rows of equal token sets share a
+    class, named by its least id. Tokens are 64-bit hashes, sorted; classes are told apart by a digest of the words.
+    `docs` has doc_id, text and the columns `more`.
+    """
+    words = T.tokens(F.coalesce("text", F.lit("")))
+    rows = spread(docs.select("doc_id", "text", *more)).select("doc_id", *more, F.array_sort(words).alias("words")).where(F.size("words") > 0)
+    hashes = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
+    rows = stored(rows.select("doc_id", *more, F.sha2(F.array_join("words", " "), 256).alias("key"), hashes.alias("tokens")), "tokens")
+    classes = rows.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_rows"), F.first("tokens").alias("tokens"))
+    classes = stored(classes, "classes")
+    member = rows.select("doc_id", *more, "key").join(classes.select("key", "class_id"), "key").drop("key")
+    return member, classes.select("class_id", "tokens", "n_rows")
 
 
 def similar_classes(classes: DataFrame, hundredths: int = 70) -> DataFrame:
     """
     (a, b), a < b: classes whose sets are alike. Tokens are ranked rare first; two such sets share one of their first
-    n - ceil(n * hundredths / 100) + 1 tokens, and their sizes are as near. Candidates are confirmed on the whole sets.
+    n - ceil(n * hundredths / 100) + 1 tokens, their sizes are as near, and behind the first token they share enough others
+    follow in both (positional bound). Candidates are confirmed on the whole sets. Both joins on a token read stored tables, so
+    that Spark splits the tokens which many sets have.
     """
     each = classes.select("class_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    frequency = each.groupBy("token").agg(F.count("*").alias("f"))
+    frequency = stored(each.groupBy("token").agg(F.count("*").alias("f")), "frequency")
     ranked = each.join(frequency, "token").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("ranked"))
     first = F.slice("ranked", F.lit(1), F.col("n") - F.ceil(F.col("n") * hundredths / 100).cast("int") + 1)
-    index = checkpointed(ranked.select("class_id", "n", F.explode(first).alias("e")).select("class_id", "n", F.col("e.token").alias("token")))
-    a, b = index.select("token", F.col("class_id").alias("a"), F.col("n").alias("n_a")), index.select("token", F.col("class_id").alias("b"), F.col("n").alias("n_b"))
-    sizes = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * hundredths) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, "token").where(sizes).select("a", "b").distinct()
+    index = stored(ranked.select("class_id", "n", F.posexplode(first).alias("at", "e")).select("class_id", "n", "at", F.col("e.token").alias("token")), "prefixes")
+    side = lambda s: index.select("token", F.col("class_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("at").alias(f"at_{s}"))
+    sizes = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * hundredths)
+    follow = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (100 + hundredths) >= (F.col("n_a") + F.col("n_b")) * hundredths
+    pairs = side("a").join(side("b"), "token").where(sizes & follow).select("a", "b").distinct()
     x, y = classes.select(F.col("class_id").alias("a"), F.col("tokens").alias("x")), classes.select(F.col("class_id").alias("b"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(x, "a").join(y, "b").where(both * 100 >= (F.size("x") + F.size("y") - both) * hundredths).select("a", "b")
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, hundredths: int = 70) -> DataFrame:
     """doc_id, class_id (null without tokens), n_links: how many other rows are alike, copies among them."""
     member, classes = token_classes(docs)
-    pairs = checkpointed(similar_classes(classes, hundredths))
+    pairs = stored(similar_classes(classes, hundredths), "pairs")
     size = classes.select("class_id", "n_rows")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = both.join(size.withColumnRenamed("class_id", "b"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n_rows").alias("others"))
+    links = _both_ways(pairs).join(size.withColumnRenamed("class_id", "b"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n_rows").alias("others"))
     total = size.join(links, "class_id", "left").select("class_id", (F.col("n_rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     return docs.select("doc_id").join(member, "doc_id", "left").join(total, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def accepted(docs: DataFrame, hundredths: int = 70) -> DataFrame:
+def accepted(docs: DataFrame, hundredths: int = 70, standing: Column | None = None) -> DataFrame:
     """
-    doc_id, is_accepted: in order of doc_id a row is taken unless one taken before is alike. Of a class only the first
-    row can be. Each round decides the classes whose earlier neighbours are all decided, until none is open.
+    doc_id, is_accepted: in order of doc_id a row is taken unless one taken before is alike. Rows that are `standing` were
+    taken before all others. Of a class only the first row can be taken. Each round takes the classes without open earlier
+    neighbours and settles theirs; what is settled leaves the links, and when none is left the rest is taken.
     """
-    member, classes = token_classes(docs)
-    pairs = checkpointed(similar_classes(classes, hundredths))
-    state = checkpointed(classes.select("class_id", F.lit(None).cast("boolean").alias("taken")))
-    while True:
-        earlier = pairs.join(state.select(F.col("class_id").alias("a"), F.col("taken").alias("before")), "a").groupBy(F.col("b").alias("class_id")).agg(
-            F.bool_or(F.coalesce("before", F.lit(False))).alias("any_taken"), F.bool_or(F.col("before").isNull()).alias("any_open"))
-        now = F.when(F.coalesce("any_taken", F.lit(False)), False).when(~F.coalesce("any_open", F.lit(False)), True)
-        state = checkpointed(state.join(earlier, "class_id", "left").select("class_id", F.coalesce("taken", now).alias("taken")))
-        if state.where(F.col("taken").isNull()).isEmpty():
-            break
-    of_class = member.join(state, "class_id").select("doc_id", (F.col("taken") & (F.col("doc_id") == F.col("class_id"))).alias("is_accepted"))
+    rows = docs.select("doc_id", "text", (F.coalesce(standing, F.lit(False)) if standing is not None else F.lit(False)).alias("standing"))
+    member, classes = token_classes(rows, "standing")
+    pairs = stored(similar_classes(classes, hundredths), "pairs")
+    kept = member.where("standing").select("class_id").distinct()
+    own = kept.select(F.col("class_id").alias("kept_id"), F.lit(True).alias("kept"))
+    links = pairs
+    for side in ("a", "b"):
+        links = links.join(own.withColumnsRenamed({"kept_id": side, "kept": f"kept_{side}"}), side, "left").na.fill(False, [f"kept_{side}"])
+    links = stored(links, "links")
+    # standing classes settle their neighbours, whatever the order of ids
+    gone = links.where("kept_a AND NOT kept_b").select(F.col("b").alias("class_id")).unionByName(links.where("kept_b AND NOT kept_a").select(F.col("a").alias("class_id")))
+    rejected = stored(gone.distinct(), "rejected")
+    out, open_ = rejected, _without(links.where("NOT kept_a AND NOT kept_b").select("a", "b"), rejected)
+    while not (open_ := stored(open_, "open")).isEmpty():
+        first = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        rejected = stored(open_.join(first, "a").select(F.col("b").alias("class_id")).distinct(), "rejected")
+        out, open_ = out.unionByName(rejected), _without(open_, rejected)
+    settled = classes.select("class_id").join(out.distinct(), "class_id", "left_anti").join(kept, "class_id", "left_anti").select("class_id", F.lit(True).alias("free"))
+    of_class = member.join(settled, "class_id", "left").select("doc_id", (F.col("standing") | (F.coalesce("free", F.lit(False)) & (F.col("doc_id") == F.col("class_id")))).alias("is_accepted"))
     return docs.select("doc_id").join(of_class, "doc_id", "left").select("doc_id", F.coalesce("is_accepted", F.lit(True)).alias("is_accepted"))
+
+
+def _without(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    for side in ("a", "b"):
+        links = links.join(nodes.withColumnRenamed("class_id", side), side, "left_anti")
+    return links
+
+
+def recent_duplicates(docs: DataFrame, days: int = 7, hundredths: int = 70) -> DataFrame:
+    """
+    doc_id, is_duplicate: whether a row that came up to `days` days before is alike. `docs`: doc_id, ts, text. Instead of
+    pairing rows, each class receives the times of its neighbours, dealt by spans of `days`, and a window looks back for the
+    last of them; so its partitions hold no more than what one class and its neighbours had in two spans.
+    """
+    member, classes = token_classes(docs.select("doc_id", "text", F.col("ts").cast("timestamp").alias("ts")), "ts")
+    member = stored(member, "members")
+    pairs = stored(_both_ways(similar_classes(classes, hundredths)), "pairs")
+    span = days * 86_400 * 1_000_000
+    at, before = F.unix_micros("ts"), member.groupBy("class_id", F.unix_micros("ts").alias("at")).agg(F.count("*").alias("n"))
+    near = before.select(F.col("class_id").alias("b"), "at").join(pairs, "b").select(F.col("a").alias("class_id"), "at").unionByName(before.select("class_id", "at")).distinct()
+    events = near.select("class_id", F.explode(F.array(F.floor(F.col("at") / span), F.floor(F.col("at") / span) + 1)).alias("span"), "at", F.lit(None).cast("long").alias("doc_id"))
+    probes = member.select("class_id", F.floor(at / span).alias("span"), at.alias("at"), "doc_id")
+    seen = F.max(F.when(F.col("doc_id").isNull(), F.col("at"))).over(Window.partitionBy("class_id", "span").orderBy("at").rangeBetween(-span, -1))
+    found = events.unionByName(probes).withColumn("last", seen).where(F.col("doc_id").isNotNull()).select("doc_id", F.col("last").isNotNull().alias("is_duplicate"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))

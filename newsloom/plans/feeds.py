@@ -11,9 +11,6 @@ from newsloom.sources.tables import table
 from .crosswalk import AS_OF, articles, categories, categorised, day, jobs, users
 from .registry import query
 
-LATEST = [F.desc_nulls_first, F.asc]
-
-
 def newest(ts: str = "published_at", key: str = "id"):
     return [F.col(ts).desc_nulls_first(), F.col(key)]
 
@@ -48,13 +45,13 @@ def latest_one(spark, sf):
 
 
 _FEED = """
-WITH b AS (SELECT o_orderkey AS id, o_orderdate AS ts, o_orderpriority AS language FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' AND n_name IN ('INDIA', 'CHINA')),
+WITH b AS (SELECT o_orderkey AS id, o_orderdate AS ts, o_orderpriority AS language FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' AND n_name IN ('NATION_3', 'NATION_8')),
 l AS (SELECT id, ts, 0 AS part FROM b WHERE language = '2-HIGH' ORDER BY ts DESC NULLS FIRST, id LIMIT 20),
 g AS (SELECT id, ts, 1 AS part FROM (SELECT * FROM b WHERE language IN ('1-URGENT', '2-HIGH') ORDER BY ts DESC NULLS FIRST, id LIMIT 60) WHERE id NOT IN (SELECT id FROM l) ORDER BY ts DESC NULLS FIRST, id LIMIT 20)
 """
 
 
-def _country_feed(spark, sf, local="2-HIGH", world="1-URGENT", limit=20, names=("INDIA", "CHINA")):
+def _country_feed(spark, sf, local="2-HIGH", world="1-URGENT", limit=20, names=("NATION_3", "NATION_8")):
     wanted = categories(spark, sf).where(F.col("category").isin(*names)).select("category_id")
     own = users(spark, sf).join(F.broadcast(wanted), "category_id", "left_semi").select(F.col("id").alias("author_id"))  # at most as many as the names
     base = articles(spark, sf).where(F.col("status") == "F").join(own, "author_id", "left_semi").select("id", "published_at", "language")
@@ -78,9 +75,9 @@ def global_minus_local(spark, sf):
     return _country_feed(spark, sf)[1].select("id")
 
 
-@query("j10_category_semi", "SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('INDIA', 'CHINA'))")
+@query("j10_category_semi", "SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('NATION_3', 'NATION_8'))")
 def category_semi(spark, sf):
-    own = users(spark, sf).join(categories(spark, sf).where(F.col("category").isin("INDIA", "CHINA")), "category_id", "left_semi")
+    own = users(spark, sf).join(categories(spark, sf).where(F.col("category").isin("NATION_3", "NATION_8")), "category_id", "left_semi")
     return articles(spark, sf).join(own.select(F.col("id").alias("author_id")), "author_id", "left_semi").select("id")
 
 
@@ -233,7 +230,7 @@ def auto_approve(spark, sf):
     return auto_approved(risks, rules).select("doc_id")
 
 
-_TOKENS = """
+TOKENS_SQL = """
 WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: length(x) > 4))) AS t FROM documents),
 c AS (SELECT t, min(doc_id) AS id, count(*) AS n FROM t WHERE len(t) > 0 GROUP BY t),
 e AS (SELECT id, len(t) AS n, unnest(t) AS w FROM c),
@@ -241,7 +238,7 @@ l AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.w = b.w AND a.id <> b.i
 """
 
 
-@query("j14_near_duplicates", _TOKENS + "SELECT doc_id, c.id AS class_id, coalesce(c.n - 1 + coalesce(o.n, 0), 0)::BIGINT AS n_links FROM t LEFT JOIN c USING (t) LEFT JOIN (SELECT l.a AS id, sum(c.n) AS n FROM l JOIN c ON c.id = l.b GROUP BY l.a) o ON o.id = c.id")
+@query("j14_near_duplicates", TOKENS_SQL + "SELECT doc_id, c.id AS class_id, coalesce(c.n - 1 + coalesce(o.n, 0), 0)::BIGINT AS n_links FROM t LEFT JOIN c USING (t) LEFT JOIN (SELECT l.a AS id, sum(c.n) AS n FROM l JOIN c ON c.id = l.b GROUP BY l.a) o ON o.id = c.id")
 def near_duplicate_links(spark, sf):
     return near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
 

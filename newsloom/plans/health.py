@@ -13,7 +13,6 @@ from .crosswalk import AS_OF, EVENTS_AS_OF, articles, categorised, categories, d
 from .registry import query
 
 LANGUAGES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-SOCIAL = ["F", "O"]
 
 
 def _languages(spark):
@@ -31,7 +30,7 @@ def overview(spark, sf):
     return a.crossJoin(j).crossJoin(s)  # one row each
 
 
-_HEALTH = """
+HEALTH_SQL = """
 WITH a AS (SELECT n_name AS category, o_orderpriority AS language, o_orderdate AS ts FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F'),
 c AS (SELECT category, language, count(*) FILTER (WHERE ts >= TIMESTAMP '2001-08-02' - INTERVAL 720 HOUR) AS r, count(*) AS t FROM a GROUP BY ALL),
 g AS (SELECT n_name AS category, language FROM nation, (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')) v(language)),
@@ -39,45 +38,39 @@ h AS (SELECT category, language, coalesce(r, 0) AS count_recent, coalesce(t, 0)
 """
 
 
-@query("a2_content_health", _HEALTH + "SELECT * FROM h")
+@query("a2_content_health", HEALTH_SQL + "SELECT * FROM h")
 def content_health(spark, sf, hours: int = 720, least: int = 20):
     since = F.lit(AS_OF) - F.make_dt_interval(hours=F.lit(hours))
     return dense_counts(categorised(spark, sf).where(F.col("status") == "F"), categories(spark, sf).select("category"), _languages(spark), since, least)
 
 
-@query("a15_low_inventory", _HEALTH + "SELECT category, count(*) FILTER (WHERE below_min) AS n_low, count(*) AS n_pairs FROM h GROUP BY category")
+@query("a15_low_inventory", HEALTH_SQL + "SELECT category, count(*) FILTER (WHERE below_min) AS n_low, count(*) AS n_pairs FROM h GROUP BY category")
 def low_inventory(spark, sf):
     return content_health(spark, sf).groupBy("category").agg(F.count_if("below_min").alias("n_low"), F.count("*").alias("n_pairs"))
 
 
-@query("k12_csv_projection", _HEALTH + """SELECT '"' || replace(category, '"', '""') || '","' || replace(language, '"', '""') || '","' || count_recent || '","' || count_total || '","20","' || CASE WHEN below_min THEN 'below_target' ELSE 'healthy' END || '"' AS line FROM h""")
+@query("k12_csv_projection", HEALTH_SQL + """SELECT '"' || replace(category, '"', '""') || '","' || replace(language, '"', '""') || '","' || count_recent || '","' || count_total || '","20","' || CASE WHEN below_min THEN 'below_target' ELSE 'healthy' END || '"' AS line FROM h""")
 def csv_lines(spark, sf, least: int = 20):
     cells = content_health(spark, sf, least=least).select(F.array("category", "language", F.col("count_recent").cast("string"), F.col("count_total").cast("string"), F.lit(str(least)), F.when(F.col("below_min"), "below_target").otherwise("healthy")).alias("cells"))
     return cells.select(F.array_join(F.transform("cells", lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))), ",").alias("line"))
 
 
-def write_csv(health, path: str) -> None:
-    """The same rows as files, by Spark's own writer."""
-    out = health.select(F.col("category").alias("category_slug"), "language", F.col("count_recent").alias("count_24h"), "count_total", F.when(F.col("below_min"), "below_target").otherwise("healthy").alias("status"))
-    out.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
-
-
 @query("a4_last_ingestion", "SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_fetched, count(*) AS n FROM events")
 def last_ingestion(spark, sf):
     return table(spark, sf, "events").agg(moment(F.max("ts")).alias("last_fetched"), F.count("*").alias("n"))
 
 
 @query("f5_stale_sources", """
-SELECT s_suppkey AS source_id, strftime(max(l_shipdate), '%Y-%m-%d') AS last_fetched FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey AND l_returnflag = 'R'
+SELECT s_suppkey AS source_id, strftime(max(l_shipdate), '%Y-%m-%d') AS last_fetched FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey AND l_returnflag = 'R' AND l_quantity > 45
 WHERE s_acctbal > 0 GROUP BY s_suppkey HAVING max(l_shipdate) IS NULL OR max(l_shipdate) < TIMESTAMP '2001-07-01'""")
 def stale_sources(spark, sf):
-    last = jobs(spark, sf).where(F.col("status") == "R").groupBy("source_id").agg(F.max("executed_at").alias("last"))
+    last = jobs(spark, sf).where("status = 'R' AND quantity > 45").groupBy("source_id").agg(F.max("executed_at").alias("last"))
     s = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("source_id")).join(last, "source_id", "left")
     return s.where(F.col("last").isNull() | (F.col("last") < F.lit("2001-07-01").cast("timestamp"))).select("source_id", day("last").alias("last_fetched"))
 
 
 @query("m3_readiness", """
-WITH s AS (SELECT s_suppkey, max(l_shipdate) AS last FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey AND l_returnflag = 'R' WHERE s_acctbal > 0 GROUP BY s_suppkey)
+WITH s AS (SELECT s_suppkey, max(l_shipdate) AS last FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey AND l_returnflag = 'R' AND l_quantity > 45 WHERE s_acctbal > 0 GROUP BY s_suppkey)
 SELECT count(*) AS active_sources, count(*) FILTER (WHERE last IS NULL OR last < TIMESTAMP '2001-07-01') AS stale, CASE WHEN count(*) FILTER (WHERE last IS NULL OR last < TIMESTAMP '2001-07-01') = 0 THEN 'ok' ELSE 'degraded' END AS status FROM s""")
 def readiness(spark, sf):
     stale = stale_sources(spark, sf).agg(F.count("*").alias("stale"))

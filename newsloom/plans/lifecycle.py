@@ -24,17 +24,17 @@ def bulk_update(spark, sf):
     return updated(e, (F.col("user_id") == 8) & (F.col("event_type") == "view"), is_read=True).select("event_id", "is_read")
 
 
-@query("k5_upsert", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey + 1400 FROM supplier) UNION ALL SELECT s_suppkey + 1400, s_name FROM supplier")
+@query("k5_upsert", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey * 20 - 7 FROM supplier) UNION ALL SELECT s_suppkey * 20 - 7, s_name FROM supplier")
 def upsert(spark, sf):
     old = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    new = table(spark, sf, "supplier").select((F.col("s_suppkey") + 1400).alias("id"), F.col("s_name").alias("name"))
+    new = table(spark, sf, "supplier").select((F.col("s_suppkey") * 20 - 7).alias("id"), F.col("s_name").alias("name"))
     return upserted(old, new, "id")
 
 
-@query("k5_insert_absent", "SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey + 1400, s_name FROM supplier WHERE s_suppkey + 1400 NOT IN (SELECT c_custkey FROM customer)")
+@query("k5_insert_absent", "SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey * 20 - 7, s_name FROM supplier WHERE s_suppkey * 20 - 7 NOT IN (SELECT c_custkey FROM customer)")
 def insert_absent(spark, sf):
     old = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    new = table(spark, sf, "supplier").select((F.col("s_suppkey") + 1400).alias("id"), F.col("s_name").alias("name"))
+    new = table(spark, sf, "supplier").select((F.col("s_suppkey") * 20 - 7).alias("id"), F.col("s_name").alias("name"))
     return upserted(old, new, "id", update=False)
 
 
@@ -127,10 +127,18 @@ def json_path(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.none").alias("absent"))
 
 
-@query("m4_subtitle_timing", """
-SELECT conv_id, turn, least(100::DOUBLE, c - d) AS begins, least(100::DOUBLE, c) AS ends FROM (SELECT conv_id, turn, d, sum(d) OVER (PARTITION BY conv_id ORDER BY turn) AS c
-FROM (SELECT conv_id, turn, greatest(1.5::DOUBLE, length(text) * 0.25::DOUBLE) AS d FROM conversations))""")
-def subtitle_timing(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.greatest(F.lit(1.5), F.length("text") * F.lit(0.25)).alias("d"))
-    c = c.withColumn("c", F.sum("d").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return c.select("conv_id", "turn", F.least(F.lit(100.0), F.col("c") - F.col("d")).alias("begins"), F.least(F.lit(100.0), F.col("c")).alias("ends"))
+@query("m4_subtitle_timing", r"""
+WITH w AS (SELECT conv_id, turn, greatest(1, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) AS n FROM conversations),
+p AS (SELECT conv_id, turn, n, sum(n) OVER (PARTITION BY conv_id) AS words FROM w),
+d AS (SELECT conv_id, turn, greatest(1500000, floor(n * 60000000 / words))::BIGINT AS d FROM p),
+c AS (SELECT conv_id, turn, d, (sum(d) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS c FROM d)
+SELECT conv_id, turn, least(60000000, c - d)::BIGINT AS begins_us, least(60000000, c)::BIGINT AS ends_us FROM c""")
+def subtitle_timing(spark, sf, total: int = 60):
+    """A line takes its share of the total by words, 1.5 seconds at least; microseconds, so that sums are exact."""
+    words = F.greatest(F.lit(1), F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")))
+    all_ = Window.partitionBy("conv_id")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", words.alias("n"))
+    c = c.withColumn("d", F.greatest(F.lit(1_500_000), F.floor(F.col("n").cast("long") * (total * 1_000_000) / F.sum("n").over(all_))).cast("long"))
+    c = c.withColumn("c", F.sum("d").over(all_.orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    end = F.lit(total * 1_000_000)
+    return c.select("conv_id", "turn", F.least(end, F.col("c") - F.col("d")).cast("long").alias("begins_us"), F.least(end, F.col("c")).cast("long").alias("ends_us"))

@@ -19,14 +19,22 @@ def _docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-@query("t1_slug", "SELECT doc_id, regexp_replace(regexp_replace(lower(text[1:80]), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+
+
+def _title():
+    return F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+
+
+@query("t1_slug", f"SELECT page_id, regexp_replace(regexp_replace(lower({_TITLE}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM pages")
 def slug(spark, sf):
-    return _docs(spark, sf).select("doc_id", T.slug(F.substring("text", 1, 80)).alias("slug"))
+    """Slugs of the titles of pages."""
+    return table(spark, sf, "pages").select("page_id", T.slug(_title()).alias("slug"))
 
 
 @query("t1_slug_text", "SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
 def slug_text(spark, sf):
-    """t1_slug over whole texts."""
+    """The same of whole texts."""
     return _docs(spark, sf).select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
@@ -79,24 +87,20 @@ def first_link(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.first_image(F.col("html")).alias("image"), link.alias("link"))
 
 
-@query("t13_video_url", "SELECT page_id, CASE WHEN regexp_matches(url, '(?i)youtube|youtu\\.be|vimeo') THEN url END AS video FROM pages")
-def video_url(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.video_url(F.lit("text/html"), F.col("url"), F.col("url")).alias("video"))
-
-
 @query("t14_parse_url", "SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([^&]*)', 1), '') AS page FROM pages")
 def parse_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"), F.try_parse_url("url", F.lit("QUERY"), F.lit("page")).alias("page"))
 
 
-@query("t15_category", "SELECT doc_id, " + _sql_rules(T.CATEGORY_RULES, T.DEFAULT_CATEGORY) + " AS category FROM (SELECT doc_id, lower(text[1:60] || ' ' || source) AS t FROM documents)")
+@query("t15_category", "SELECT page_id, " + _sql_rules(T.CATEGORY_RULES, T.DEFAULT_CATEGORY) + f" AS category FROM (SELECT page_id, lower({_TITLE} || ' ' || regexp_extract(url, '^https?://([^/?#]+)', 1)) AS t FROM pages)")
 def category(spark, sf):
-    return _docs(spark, sf).select("doc_id", T.category(F.substring("text", 1, 60), F.col("source")).alias("category"))
+    """Categories by the titles of pages and their hosts."""
+    return table(spark, sf, "pages").select("page_id", T.category(_title(), F.try_parse_url("url", F.lit("HOST"))).alias("category"))
 
 
 @query("t15_category_text", "SELECT doc_id, " + _sql_rules(T.CATEGORY_RULES, T.DEFAULT_CATEGORY) + " AS category FROM (SELECT doc_id, lower(text || ' ' || source) AS t FROM documents)")
 def category_text(spark, sf):
-    """t15_category over whole texts."""
+    """The same of whole texts."""
     return _docs(spark, sf).select("doc_id", T.category(F.col("text"), F.col("source")).alias("category"))
 
 
@@ -183,7 +187,7 @@ def locale_country(spark, sf):
     return _docs(spark, sf).select("doc_id", T.locale_country(locale).alias("country"))
 
 
-@query("d2_relative_age", "SELECT o_orderkey AS id, CASE WHEN m < 2 THEN 'Just now' WHEN m < 60 THEN m || 'm ago' WHEN m // 60 < 24 THEN (m // 60) || 'h ago' ELSE trim(strftime(o_orderdate, '%-d %b %Y')) END AS age FROM (SELECT *, date_diff('minute', o_orderdate + to_minutes((o_orderkey % 1440)::INT), TIMESTAMP '2001-08-02') AS m FROM orders)")
+@query("d2_relative_age", "SELECT o_orderkey AS id, CASE WHEN m < 2 THEN 'Just now' WHEN m < 60 THEN m || 'm ago' WHEN m // 60 < 24 THEN (m // 60) || 'h ago' ELSE trim(strftime(o_orderdate, '%-d %b')) END AS age FROM (SELECT *, date_diff('minute', o_orderdate + to_minutes((o_orderkey % 1440)::INT), TIMESTAMP '2001-08-02') AS m FROM orders)")
 def relative_age(spark, sf):
     ts = F.col("published_at") + F.make_dt_interval(mins=(F.col("id") % 1440).cast("int"))
     return articles(spark, sf).select("id", T.age_label(ts, F.lit(AS_OF)).alias("age"))

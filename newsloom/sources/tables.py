@@ -17,9 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def feed_items(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Items dropped as JSON lines; malformed lines come as rows of nulls and go."""
+    """Items dropped as JSON lines, and the file of each (`drop`); malformed lines come as rows of nulls and go."""
     reader = spark.readStream if stream else spark.read
-    return reader.schema(FEED_ITEM).option("mode", "PERMISSIVE").json(path).where(F.col("title").isNotNull() | F.col("link").isNotNull())
+    items = reader.schema(FEED_ITEM).option("mode", "PERMISSIVE").json(path).withColumn("drop", F.col("_metadata.file_path"))
+    return items.where(F.col("title").isNotNull() | F.col("link").isNotNull())
 
 
 def ingested(items: DataFrame) -> DataFrame:

@@ -1,44 +1,100 @@
-"""Structured Streaming: incremental ingestion that takes each item once, and rolling inventory."""
+"""Structured Streaming: incremental ingestion that takes each item once and keeps what a quota defers, and rolling inventory."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators.relational import first_by_key
+from newsloom.operators.similarity import accepted
+from newsloom.operators.storage import deleted, discard, exists, folders, stored
 from newsloom.sources.tables import feed_items, ingested
 
+ORDER = ["batch_rank", "source_id", "item_pos", "content_hash"]
+
 
-def ingest(spark: SparkSession, drops: str, target: str, checkpoint: str, per_category: int | None = 20) -> None:
+def ingest(
+    spark: SparkSession, drops: str, target: str, checkpoint: str, per_category: int | None = 20, scan: int | None = None,
+    as_of: datetime | None = None, look_back_days: int | None = 7, sources: DataFrame | None = None,
+) -> None:
     """
-    Takes the drops that came since the last run and appends the items whose hash and link are new, at most
-    `per_category` of each category in a batch. A batch run again adds nothing, as its items are known by then.
+    Takes the drops that came since the last run: of each source's drop the first `scan` items (None: all), of active
+    `sources` (id, is_active) only. Items whose hash or link is known go, and items alike to one taken in the last
+    `look_back_days` or to an earlier one of this run. Of the rest each run takes `per_category` of each category; what is
+    over waits in `<target>-waiting` and comes first in the next run, even if no drop came by then.
+
+    Each micro-batch writes a folder of its own, named by its number, in both tables. A batch run again writes the same
+    folders again, so no item is lost or taken twice.
     """
+    done: list[str] = []
+
+    def take(batch: DataFrame, number: int) -> None:
+        _take(batch.sparkSession, _arrived(batch, scan, sources), f"{number:012d}-0000", target, per_category, as_of, look_back_days)
+        done.append(f"{number:012d}-0000")
 
-    def append(batch: DataFrame, _: int) -> None:
-        fresh = first_by_key(ingested(batch), ["content_hash"], [F.col("source_id"), F.col("item_pos")])
-        fresh = first_by_key(fresh, ["source_url"], [F.col("source_id"), F.col("item_pos")])
-        try:
-            known = batch.sparkSession.read.parquet(target)
-            fresh = fresh.join(known.select("content_hash"), "content_hash", "left_anti").join(known.select("source_url"), "source_url", "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        if per_category is not None:
-            fresh = first_by_key(fresh, ["category"], [F.col("source_id"), F.col("item_pos")], per_category)
-        fresh.write.mode("append").parquet(target)
-
-    stream = feed_items(spark, drops, stream=True).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    stream = feed_items(spark, drops, stream=True).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     stream.start().awaitTermination()
+    if not done and (last := _last(spark, f"{target}-waiting")):
+        number, again = last.split("-")
+        nothing = _arrived(feed_items(spark, drops).limit(0), None, None)
+        _take(spark, nothing, f"{number}-{int(again) + 1:04d}", target, per_category, as_of, look_back_days)
 
 
-def rolling_inventory(events: DataFrame, by: str, width: str = "24 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Counts by sliding window; works on streams (with a watermark) and tables alike."""
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need times with a zone
-    rows = rows.withWatermark("ts", late) if events.isStreaming else rows
-    return rows.groupBy(F.window("ts", width, slide), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), by, "n")
+def _arrived(items: DataFrame, scan: int | None, sources: DataFrame | None) -> DataFrame:
+    if sources is not None:
+        items = items.join(sources.where("is_active").select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    return ingested(first_by_key(items, ["source_id", "drop"], ["item_pos"], scan) if scan else items).withColumn("batch_rank", F.lit(1))
+
 
+def _last(spark: SparkSession, table: str, before: str | None = None) -> str | None:
+    """The last of a table's finished folders, of those before `before`."""
+    names = [n.removeprefix("batch=") for n in folders(spark, table) if n.startswith("batch=")]
+    return max((n for n in names if (before is None or n < before) and exists(spark, f"{table}/batch={n}/_SUCCESS")), default=None)
 
-def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """The first row of each key that the stream shows while its watermark lasts."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+def _take(spark: SparkSession, items: DataFrame, name: str, target: str, per_category: int | None, as_of: datetime | None, look_back_days: int | None) -> None:
+    waiting = f"{target}-waiting"
+    if (before := _last(spark, waiting, name)) is not None:
+        items = items.unionByName(spark.read.schema(items.schema).parquet(f"{waiting}/batch={before}").withColumn("batch_rank", F.lit(0)))
+    fresh = first_by_key(items, ["content_hash"], ORDER)
+    fresh = first_by_key(fresh, ["source_url"], ORDER)
+    known = None
+    if _last(spark, target, name) is not None:
+        known = spark.read.option("basePath", target).parquet(target).where(F.col("batch") < name)
+        # two narrow columns of the history, each read once
+        for key in ("content_hash", "source_url"):
+            fresh = fresh.join(known.select(key), key, "left_anti")
+    fresh = stored(fresh.orderBy(*ORDER).withColumn("at", F.monotonically_increasing_id()), "fresh")
+    used = [fresh]
+    now = F.lit(as_of) if as_of else F.current_timestamp()
+    if look_back_days is not None:
+        rows = fresh.select(F.col("at").alias("doc_id"), F.col("body").alias("text"), F.lit(False).alias("standing"))
+        if known is not None:
+            recent = known.where(F.col("fetched_at") >= now - F.make_dt_interval(days=F.lit(look_back_days)))
+            rows = rows.unionByName(recent.select((-1 - F.monotonically_increasing_id()).alias("doc_id"), F.col("body").alias("text"), F.lit(True).alias("standing")))
+        rows = stored(rows, "compared")  # the ids must be the same whenever the rows are read
+        kept = accepted(rows, standing=F.col("standing")).where("is_accepted").select(F.col("doc_id").alias("at"))
+        fresh = stored(fresh.join(kept, "at", "left_semi"), "fresh")
+        used += [rows, fresh]
+    chosen = stored(fresh if per_category is None else first_by_key(fresh, ["category"], ["at"], per_category), "chosen")
+    chosen.drop("at", "batch_rank").withColumn("fetched_at", now.cast("timestamp")).write.mode("overwrite").parquet(f"{target}/batch={name}")
+    fresh.join(chosen.select("at"), "at", "left_anti").drop("at").write.mode("overwrite").parquet(f"{waiting}/batch={name}")
+    discard(*used, chosen)
+    while before is not None and (old := _last(spark, waiting, before)) is not None:  # the one before stays, in case this batch runs again
+        deleted(spark, f"{waiting}/batch={old}")
+
+
+def rolling_inventory(events: DataFrame, by: str, width: str = "24 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """
+    Counts by sliding window; works on streams (with a watermark) and tables alike. On a table rows are counted by slide
+    first, so that counts are copied to the windows they fall into and not rows.
+    """
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need times with a zone
+    if rows.isStreaming:
+        return rows.withWatermark("ts", late).groupBy(F.window("ts", width, slide), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), by, "n")
+    counts = rows.groupBy(F.window("ts", slide).alias("slot"), by).agg(F.count("*").alias("n"))
+    start, step = F.col("slot.start"), F.expr(f"INTERVAL {slide}")
+    windows = F.explode(F.sequence(start - F.expr(f"INTERVAL {width}") + step, start, step))
+    return counts.select(windows.alias("window_start"), by, "n").groupBy("window_start", by).agg(F.sum("n").alias("n"))

@@ -61,7 +61,7 @@ def test_times(spark):
     got = values(spark, ["Tue, 02 Jan 2024 03:04:05 GMT", "2024-01-02T03:04:05Z", "soon", None], lambda c: F.date_format(T.feed_time(c), "yyyy-MM-dd HH:mm:ss"))
     assert got == ["2024-01-02 03:04:05", "2024-01-02 03:04:05", None, None]
     minutes = values(spark, [1, 59, 60, 1439, 1440], lambda c: T.age_label(F.lit("2024-01-03").cast("timestamp") - F.make_dt_interval(mins=c), F.lit("2024-01-03").cast("timestamp")), "int")
-    assert minutes == ["Just now", "59m ago", "1h ago", "23h ago", "2 Jan 2024"]
+    assert minutes == ["Just now", "59m ago", "1h ago", "23h ago", "2 Jan"]
 
 
 def test_conditions(spark):
