@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
+import math
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +13,13 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.operators.storage import discard, shared_dir, stored  # noqa: F401  the operators take them from here
+
 U64 = np.uint64
-#: Raw megabytes of text that one block holds, on average.
-BLOCK_MB = 10
+#: Raw megabytes of text that one block holds, on average, while texts have up to GROWS_MB in all.
+BLOCK_MB, GROWS_MB = 10, 10_000
+#: Blocks whose requests one target answers.
+PER_TARGET = 2
 
 
 def id_and_text(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -28,25 +32,6 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one of our own only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not found:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="newsloom-"))
-        found = sc._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes `df` to the shared folder as Parquet and reads it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/newsloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+`: bytes.split() splits at just these six bytes."""
     words = text.encode().split() if text else []
@@ -97,17 +82,31 @@ def cuts(ordered: np.ndarray, targets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(ordered, edges), [len(ordered)]])
 
 
+def block_mb(total_mb: float) -> float:
+    """
+    Each block sends a row to each target, so rows would grow with the square of the input and shrink to nothing. From
+    10 GB on, where a row has some 25 KB, blocks grow with the square root of the input instead (100 MB at 1 TB, 1 GB at
+    100 TB): rows keep their size, and their number grows in proportion to the input.
+    """
+    return BLOCK_MB * math.sqrt(max(total_mb / GROWS_MB, 1))
+
+
 def block_count(texts: DataFrame, text: str = "text") -> int:
-    """Blocks of about BLOCK_MB of text each; one pass over the text column, one number to the driver."""
-    total = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2, int(total / (BLOCK_MB * 1e6)), 1)
+    """Blocks of about block_mb() of text each; one pass over the text column, one number to the driver."""
+    total = (texts.agg(F.sum(F.octet_length(text))).first()[0] or 0) / 1e6
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2, int(total / block_mb(total)), 1)
+
+
+def target_count(n_blocks: int) -> int:
+    """Parts of a table of hashes; fewer than blocks, as counts are added up there."""
+    return max(n_blocks // PER_TARGET, 1)
 
 
 def packed_blocks(docs: DataFrame, n_blocks: int, keys: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """
     (block, payload): each row of `docs`, with all its columns, goes to the block that the hash of `keys` names. A payload is a
     compressed Arrow stream, so that the one shuffle of the texts moves few and small rows. The result is dealt by
-    block and persisted: the levels that follow meet it there without moving texts again.
+    block and persisted: the levels that follow meet it there without moving texts again. release() lets go of it.
     """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -140,7 +139,18 @@ def packed_blocks(docs: DataFrame, n_blocks: int, keys: tuple[str, ...] = ("doc_
         release_memory()
 
     packed = plain.select(key.alias("block"), "*").mapInArrow(pack, "block int, payload binary")
-    return packed.repartition(n_blocks, "block").sortWithinPartitions("block").persist(StorageLevel.MEMORY_AND_DISK)
+    out = packed.repartition(n_blocks, "block").sortWithinPartitions("block").persist(StorageLevel.MEMORY_AND_DISK)
+    _PACKED.setdefault(out.sparkSession, []).append(out)
+    return out
+
+
+_PACKED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of all packed blocks of a session. For when results that read them have been written."""
+    for blocks in _PACKED.pop(spark, []):
+        blocks.unpersist()
 
 
 def release_memory() -> None:

@@ -6,22 +6,22 @@ whose normal equations are summed up on the executors. A text's scores are one m
 with the landmarks, the landmarks' whitening and the ridge weights multiplied out, as all three are linear.
 
 N-grams are of the text in lower case, hashed to 2**14 places for each length. Languages are those of the sample. A null
-text, or one without letters, is `und` with score 0. With no labelled rows every text is `und`. Rows are independent;
-of ties between languages the first in alphabetical order stays.
+text, or one without letters (characters of category L), is `und` with score 0. With no labelled rows every text is `und`.
+Rows are scored one by one; of ties between languages the first in alphabetical order stays. A doc_id is learnt from once:
+of repeated rows, or of several with one id, its least language and the least text with that count. Null ids are held out.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import fold
+from .common import discard, fold, stored
 
 ORDERS = (1, 2, 3, 4)
 #: Weight of each length's shared n-grams in the blend.
@@ -31,7 +31,11 @@ SAMPLE = 6000
 LANDMARKS = 256
 RIDGE = 1e-3
 TEST_MODULUS = 5
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+#: Texts of one matrix product.
+BATCH = 64
+#: Tasks that sum up the normal equations of the sample.
+PARTS = 8
 
 
 def presence(text: str) -> np.ndarray:
@@ -50,14 +54,21 @@ def presence(text: str) -> np.ndarray:
 WEIGHTS = np.repeat(np.array(BLEND, np.float32), PLACES)
 
 
-def vectors(texts: list[str]) -> np.ndarray:
-    """Rows whose inner products are the normalised kernel."""
-    out = np.zeros((len(texts), len(WEIGHTS)), np.float32)
-    for row, text in zip(out, texts, strict=True):
-        at = presence(text)
-        row[at] = np.sqrt(WEIGHTS[at])
-        row /= max(float(np.sqrt(WEIGHTS[at].sum())), 1e-9)
-    return out
+class Presence:
+    """A matrix of at most BATCH rows, used again for each batch: only what a batch has set is cleared."""
+
+    def __init__(self, rows: int = BATCH):
+        self.matrix = np.zeros((rows, len(WEIGHTS)), np.float32)
+
+    def times(self, places: list[np.ndarray], right: np.ndarray) -> np.ndarray:
+        """The product of the texts' presence vectors, each divided by its norm in the kernel, with `right`."""
+        row = np.repeat(np.arange(len(places)), [len(p) for p in places])
+        at = np.concatenate(places)
+        self.matrix[row, at] = 1
+        out = self.matrix[: len(places)] @ right
+        self.matrix[row, at] = 0
+        norms = np.sqrt(np.bincount(row, WEIGHTS[at], len(places)))
+        return out / np.maximum(norms, 1e-9)[:, None]
 
 
 class Model:
@@ -67,80 +78,91 @@ class Model:
         self.langs, self.matrix = langs, matrix
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        lang, score = [], []
-        for text in texts:
-            if not self.langs or not text or not LETTER.search(text):
-                lang.append("und")
-                score.append(0.0)
-                continue
-            at = presence(text)
-            raw = self.matrix[at].sum(0) / float(np.sqrt(WEIGHTS[at].sum()))
-            share = np.exp(4 * (raw - raw.max()))
-            best = int(raw.argmax())
-            lang.append(self.langs[best])
-            score.append(float(share[best] / share.sum()))
+        lang, score = ["und"] * len(texts), [0.0] * len(texts)
+        known = [i for i, t in enumerate(texts) if self.langs and t and LETTER.search(t)]
+        buffer = Presence() if known else None
+        for a in range(0, len(known), BATCH):
+            own = known[a : a + BATCH]
+            raw = buffer.times([presence(texts[i]) for i in own], self.matrix)
+            share = np.exp(4 * (raw - raw.max(1, keepdims=True)))
+            best = raw.argmax(1)
+            for i, k, x in zip(own, best.tolist(), (share[np.arange(len(own)), best] / share.sum(1)).tolist(), strict=True):
+                lang[i], score[i] = self.langs[k], x
         return lang, score
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """`docs`: doc_id, text, lang of the rows to learn from. Ids and languages of the sample are chosen before texts are read."""
+def chosen_rows(docs: DataFrame, sample: int) -> list:
+    """
+    doc_id and lang of at most `sample` rows to learn from, with all languages alike: a row's hash, as a share of its
+    language's number of ids, is the place it would have among them, and the first places of all languages are taken.
+    Texts are not read.
+    """
+    ids = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
+    counts = stored(ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")), "languages")
+    sized = F.broadcast(counts) if counts.count() <= sample else counts
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    placed = ids.join(sized, "lang").select("doc_id", "lang", (share * F.col("ids")).alias("place")).where(F.col("place") <= 3.0 * sample)
+    first = placed.groupBy("doc_id").agg(F.min(F.struct("lang", "place")).alias("x")).select("doc_id", "x.*")
+    return first.orderBy("place", "lang", "doc_id").limit(sample).collect()
+
+
+def places_of(docs: DataFrame, chosen: list, landmarks: int) -> DataFrame:
+    """(doc_id, own, places, mark) of the chosen rows, a row for each id; `own` is the place of its language in order."""
     spark = docs.sparkSession
-    ids = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("at"))
-    # of a language with many rows about three samples' worth go on to be ranked, whatever the number of tasks
-    counts = ids.groupBy("lang").agg(F.count("*").alias("rows"))
-    share = F.least(F.lit(1.0), F.lit(3.0 * sample) / F.col("rows"))
-    ids = ids.join(counts, "lang").where(F.pmod("at", F.lit(1 << 20)) <= share * (1 << 20)).select("doc_id", "lang", "at")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))
-    chosen = ids.withColumn("n", rank).where(F.col("n") <= sample).orderBy("n", "lang").limit(sample).select("doc_id", "lang", "n").collect()
     langs = sorted({r.lang for r in chosen})
-    if not langs:
-        return Model([], np.zeros((0, 0)))
-    own = {r.doc_id: langs.index(r.lang) for r in chosen}
-    marks = {r.doc_id for r in sorted(chosen, key=lambda r: (r.n, r.lang))[:landmarks]}
-    rows = docs.join(F.broadcast(spark.createDataFrame([(r.doc_id, r.doc_id in marks) for r in chosen], "id long, mark boolean")), F.col("doc_id") == F.col("id")).select("doc_id", "text", "mark")
+    wanted = spark.createDataFrame([(r.doc_id, r.lang, langs.index(r.lang), n < landmarks) for n, r in enumerate(chosen)], "id long, own_lang string, own int, mark boolean")
+    rows = docs.join(F.broadcast(wanted), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("own_lang"))).where(F.col("text").isNotNull())
+    rows = rows.groupBy("doc_id", "own", "mark").agg(F.min("text").alias("text"))
 
     def places(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([presence(x.as_py()).astype(np.int32).tobytes() for x in b.column(1)], pa.binary()), b.column(2)], names=["doc_id", "places", "mark"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([presence(x.as_py()).astype(np.int32).tobytes() for x in b.column(3)], pa.binary()), b.column(2)], names=["doc_id", "own", "places", "mark"])
+
+    # at most `sample` rows of a bit for each place: bounded whatever the texts' lengths
+    made = rows.mapInArrow(places, "doc_id long, own int, places binary, mark boolean")
+    return stored(made.repartition(PARTS, "doc_id"), "places")
 
-    # SAMPLE rows of at most a bit for each place: bounded whatever the texts' lengths
-    rows = rows.mapInArrow(places, "doc_id long, places binary, mark boolean").persist()
+
+def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """`docs`: doc_id, text, lang of the rows to learn from."""
+    spark = docs.sparkSession
+    chosen = chosen_rows(docs, sample)
+    langs = sorted({r.lang for r in chosen})
+    if not langs:
+        return Model([], np.zeros((0, 0)))
+    rows = places_of(docs, chosen, landmarks)
+    marks = sorted(rows.where("mark").select("doc_id", "places").collect())
     land = np.zeros((len(marks), len(WEIGHTS)), np.float32)
-    for row, r in zip(land, sorted(rows.where("mark").select("doc_id", "places").collect()), strict=False):
+    for row, r in zip(land, marks, strict=True):
         at = np.frombuffer(r.places, np.int32)
-        row[at] = np.sqrt(WEIGHTS[at])
-        row /= max(float(np.sqrt(WEIGHTS[at].sum())), 1e-9)
+        row[at] = np.sqrt(WEIGHTS[at]) / max(float(np.sqrt(WEIGHTS[at].sum())), 1e-9)
     values, basis = np.linalg.eigh((land @ land.T).astype(np.float64))
-    white = basis / np.sqrt(np.maximum(values, 1e-6))  # K^-1/2 up to a rotation
-    shared = spark.sparkContext.broadcast((land, white.astype(np.float32)))
-    width = len(marks)
+    white = (basis / np.sqrt(np.maximum(values, 1e-6))).astype(np.float32)  # K^-1/2 up to a rotation
+    shared = spark.sparkContext.broadcast(np.sqrt(WEIGHTS)[:, None] * (land.T @ white))
+    width, n_langs = len(marks), len(langs)
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        land, white = shared.value
-        gram, right = np.zeros((width, width)), np.zeros((width, len(langs)))
+        features, buffer = shared.value, Presence()
+        gram, right = np.zeros((width, width)), np.zeros((width, n_langs))
         for b in batches:
-            for at in range(0, len(b), 128):
-                part = b.slice(at, 128)
-                x = np.zeros((len(part), len(WEIGHTS)), np.float32)
-                for row, p in zip(x, part.column(1), strict=True):
-                    where = np.frombuffer(p.as_buffer(), np.int32)
-                    row[where] = np.sqrt(WEIGHTS[where])
-                    row /= max(float(np.sqrt(WEIGHTS[where].sum())), 1e-9)
-                phi = ((x @ land.T) @ white).astype(np.float64)
-                y = -np.ones((len(part), len(langs)))
-                y[np.arange(len(part)), [own[i] for i in part.column(0).to_pylist()]] = 1
+            for at in range(0, len(b), BATCH):
+                part = b.slice(at, BATCH)
+                phi = buffer.times([np.frombuffer(p.as_buffer(), np.int32) for p in part.column(0)], features).astype(np.float64)
+                y = -np.ones((len(part), n_langs))
+                y[np.arange(len(part)), part.column(1).to_numpy()] = 1
                 gram += phi.T @ phi
                 right += phi.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["gram", "right"])
 
-    gram, right = np.zeros((width, width)), np.zeros((width, len(langs)))
-    for r in rows.coalesce(8).mapInArrow(equations, "gram binary, right binary").collect():  # a matrix of fixed size from each of at most 8 tasks
+    gram, right = np.zeros((width, width)), np.zeros((width, n_langs))
+    for r in rows.select("places", "own").mapInArrow(equations, "gram binary, right binary").collect():  # matrices of fixed size from each of PARTS files
         gram += np.frombuffer(r.gram).reshape(gram.shape)
         right += np.frombuffer(r.right).reshape(right.shape)
-    rows.unpersist()
-    shared.unpersist()
     solved = np.linalg.solve(gram + ridge * len(chosen) * np.eye(width), right)
-    return Model(langs, np.sqrt(WEIGHTS)[:, None] * (land.T @ (white @ solved)).astype(np.float32))
+    model = Model(langs, (shared.value @ solved).astype(np.float32))
+    shared.unpersist()
+    discard(rows)
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
