@@ -59,26 +59,40 @@ def hits(docs: DataFrame, bench: DataFrame, width: int = WINDOW, broadcast_bytes
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     small = (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= broadcast_bytes
     windows = stored(with_prefix(windows_of(bench, width), docs, small), "windows")
-    key = F.xxhash64("text").alias("text_hash")
-    # the empty word stands at each text's end, so that every document has a row, and counts repeated rows
-    end = windows.sparkSession.range(1).select(F.lit("").alias("prefix"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items"))
-    wanted = windows.unionByName(end)
-    texts = docs.select("doc_id", key, words_of(F.col("text")).alias("w"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
     start = F.col("at") - F.col("offset") + 1
-    fits = F.col("window").isNull() | ((start >= 1) & (start + F.size("window") - 1 <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(1)), F.size("window")) == F.col("window")))
-    place = F.when(F.col("window").isNotNull(), F.struct(start.alias("start"), F.size("window").alias("length"), "items"))
+    bounds = (start >= 1) & (start + F.size("window") - 1 <= F.col("n_words"))
+    same = F.slice("w", F.greatest(start, F.lit(1)), F.size("window")) == F.col("window")
+    place = F.struct(start.alias("start"), F.size("window").alias("length"), "items")
+    key = ["doc_id", "text_hash"]
     if small:
-        spoken = texts.select("doc_id", "text_hash", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("at", "word"))
-        found = spoken.join(F.broadcast(wanted), (F.col("word") == F.col("prefix")) & fits).select("doc_id", "text_hash", F.size("w").alias("n_words"), F.lit(1).alias("n"), place.alias("place"))
-    else:
-        texts = texts.groupBy("doc_id", "text_hash").agg(F.first("w").alias("w"), F.count("*").alias("copies"))
-        spoken = texts.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode(F.concat("w", F.array(F.lit("")))).alias("at", "word"))
-        bounds = F.col("window").isNull() | ((start >= 1) & (start + F.size("window") - 1 <= F.col("n")))
-        candidates = spoken.join(wanted, (F.col("word") == F.col("prefix")) & bounds).select("doc_id", "text_hash", "at", "offset", "window", "items")
-        found = candidates.join(texts.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "w", "copies"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).where(fits)
-        found = found.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.col("copies").alias("n"), place.alias("place"))
-    copies = F.sum(F.when(F.col("place").isNull(), F.col("n"))).cast("long").alias("copies")
-    return found.groupBy("doc_id", "text_hash").agg(F.max("n_words").cast("long").alias("n_words"), copies, F.collect_set("place").alias("found"))
+        # the empty word stands at each text's end, so that every document has a row, and counts repeated rows
+        end = windows.sparkSession.range(1).select(F.lit("").alias("prefix"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items"))
+        spoken = texts.select(*key, "w", F.size("w").alias("n_words"), F.posexplode(F.concat("w", F.array(F.lit("")))).alias("at", "word"))
+        found = spoken.join(F.broadcast(windows.unionByName(end)), (F.col("word") == F.col("prefix")) & (F.col("window").isNull() | (bounds & same)))
+        found = found.select(*key, "n_words", F.when(F.col("window").isNotNull(), place).alias("place"))
+        copies = F.count_if(F.col("place").isNull()).alias("copies")
+        return found.groupBy(*key).agg(F.max("n_words").cast("long").alias("n_words"), copies, F.collect_set("place").alias("found"))
+    texts = texts.groupBy(*key).agg(F.first("w").alias("w"), F.count("*").alias("copies")).withColumn("n_words", F.size("w"))
+    spoken = texts.select(*key, "n_words", F.posexplode("w").alias("at", "word"))
+    candidates = spoken.join(windows, (F.col("word") == F.col("prefix")) & bounds).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "at", "offset", "window", "items")
+    own = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
+    found = texts.join(candidates, own).where(same).select(*key, place.alias("place"))
+    found = found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set("place").alias("found"))
+    none = F.array().cast(found.schema["found"].dataType)
+    return texts.join(found, own, "left").select(*key, F.col("n_words").cast("long").alias("n_words"), "copies", F.coalesce("found", none).alias("found"))
+
+
+def contaminated_keys(found: DataFrame) -> DataFrame:
+    """contaminated_id, contaminated_hash of the texts with hits, once each. A row has them by its doc_id and the hash of its text."""
+    return found.where(F.size("found") > 0).select(F.col("doc_id").alias("contaminated_id"), F.col("text_hash").alias("contaminated_hash"))
+
+
+def without_contaminated(docs: DataFrame, bench: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of `docs`, all columns, whose texts hold no window of an item; a row's own text counts, whatever its id."""
+    gone = contaminated_keys(hits(docs, bench, width))
+    own = docs["doc_id"].cast("long").eqNullSafe(gone["contaminated_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["contaminated_hash"])
+    return docs.join(gone, own, "left_anti")
 
 
 def report(found: DataFrame) -> DataFrame:
