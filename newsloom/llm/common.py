@@ -102,15 +102,15 @@ def target_count(n_blocks: int) -> int:
     return max(n_blocks // PER_TARGET, 1)
 
 
-def packed_blocks(docs: DataFrame, n_blocks: int, keys: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+def packed_blocks(docs: DataFrame, n_blocks: int, keys: tuple[str | int, ...] = ("doc_id", "text")) -> DataFrame:
     """
-    (block, payload): each row of `docs`, with all its columns, goes to the block that the hash of `keys` names. A payload is a
+    (block, payload): each row of `docs`, with all its columns, goes to the block that the hash of `keys` (names or places) names. A payload is a
     compressed Arrow stream, so that the one shuffle of the texts moves few and small rows. The result is dealt by
     block and persisted: the levels that follow meet it there without moving texts again. release() lets go of it.
     """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    key = F.pmod(F.xxhash64(*[F.col(f"c{names.index(n)}") for n in keys]), F.lit(n_blocks)).cast("int")
+    key = F.pmod(F.xxhash64(*[F.col(f"c{n if isinstance(n, int) else names.index(n)}") for n in keys]), F.lit(n_blocks)).cast("int")
 
     def pack(batches):
         def flush(kept):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
     links = stored(links.where(F.col("u") != F.col("v")).select("u", "v").distinct(), "links")
     seen = None
     while True:
-        links = stored(_stars(_stars(links, True), False), "stars")
+        before, links = links, stored(_stars(_stars(links, True), False), "stars")
+        discard(before)
         # two numbers tell whether anything changed
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:

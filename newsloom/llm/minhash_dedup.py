@@ -3,7 +3,8 @@ MinHash near-dedup with odd sketches. BINS MinHash samples of a document's shing
 least hash of each range) are folded into a parity bitmap of SKETCH_BITS bits; the population count of two bitmaps' XOR
 estimates their similarity and screens the pairs that bands of MinHash values propose. What passes is confirmed exactly.
 
-Documents with equal sets form a class, and only its least doc_id takes part.
+Documents with equal sets form a class, and only one of them takes part: the least by doc_id (nulls last), then by the row's
+hash, which is its id in all that follows.
 1. Stars: each member of a bucket meets the bucket's least id, its hub. Where the screen passes, both full sets are asked
    for from the packed blocks; the outcome is the link, and the set's difference from the hub's set.
 2. Hub tiles: members of one hub in different components are compared exactly from their differences, as
@@ -14,9 +15,10 @@ Documents with equal sets form a class, and only its least doc_id takes part.
 A pair at the threshold of 0.8 misses all 24 bands of 3 values with probability 4e-8; the screen leaves it five standard
 deviations of the estimate.
 
-A document without words, a null text or a null doc_id is linked with nothing. With fewer words than a shingle has, the
-whole sequence is one shingle. doc_id is a key: of several texts with one id any may stand for it; repeated rows are
-given equal results. Extra columns are not read.
+A document without words or with a null text is linked with nothing. With fewer words than a shingle has, the whole
+sequence is one shingle. Rows are told apart by a 64-bit hash of doc_id and text: several texts with one id are rows of
+their own, each linked by its text; repeated rows are given equal results. A null doc_id is linked like any, but names a
+component only where all its ids are null. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -96,18 +98,15 @@ def most_different(n_a, n_b, s_a, s_b, like: int, f=np):
     return bits + f.sqrt(spread * kept * kept * 4 + (noise + f.abs(noise)) / 2) * DEVIATIONS + 2
 
 
-def _signed(width: int, column: str, id_: str):
+def _signed(width: int, text: str, doc_id: str, id_: str):
     def sign(left: pa.Table) -> pa.Table:
-        ids = unpacked(left.column("payload")).column(id_).cast(pa.int64())
-        out = []
-        for i, text in zip(ids, texts_of(left.column("payload"), column), strict=True):
-            s = shingle_set(text, width)
-            if i.as_py() is None or not len(s):
-                out.append((len(s), None, None, None, None))
-            else:
-                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(s), *odd_sketch(s)))
+        rows, out = unpacked(left.column("payload")), []
+        for t in texts_of(left.column("payload"), text):
+            s = shingle_set(t, width)
+            out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(s), *odd_sketch(s)) if len(s) else (0, None, None, None, None))
         kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()]
-        return pa.table([ids, *[pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]], names=["doc_id", "n_shingles", "set_key", "bands", "sketch", "n_samples"])
+        columns = [rows.column(doc_id).cast(pa.int64()), rows.column(id_), *[pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]]
+        return pa.table(columns, names=["doc_id", "id", "n_shingles", "set_key", "bands", "sketch", "n_samples"])
 
     return sign
 
@@ -120,29 +119,32 @@ def _screened(a: str, b: str, like: int) -> Column:
 
 
 class _Corpus:
-    """Packed blocks keyed by doc_id, and the check of pairs on full sets."""
+    """Packed blocks of rows with their ids, and the check of pairs on full sets."""
 
     def __init__(self, docs: DataFrame, width: int, like: int):
+        names = docs.columns
         self.docs, self.width, self.like = docs, width, like
-        self.column, self.id = f"c{docs.columns.index('text')}", f"c{docs.columns.index('doc_id')}"
+        self.column, self.doc_id, self.id = f"c{names.index('text')}", f"c{names.index('doc_id')}", f"c{len(names)}"
         self.n_blocks = block_count(docs)
-        self.blocks = packed_blocks(docs, self.n_blocks, ("doc_id",))
+        rows = docs.select("*", F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")).alias("row"))
+        self.blocks = packed_blocks(rows, self.n_blocks, (len(names),))
 
     def block(self, c: str) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(self.n_blocks)).cast("int").alias("block")
 
     def signed(self) -> DataFrame:
-        return stored(self.blocks.groupBy("block").applyInArrow(_signed(self.width, self.column, self.id), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, n_samples int"), "signatures")
+        return stored(self.blocks.groupBy("block").applyInArrow(_signed(self.width, self.column, self.doc_id, self.id), "doc_id long, id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, n_samples int"), "signatures")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """
-        u, v, alike, n_hub, n_lost, difference: for the pairs (a, b) of distinct ids whether their full sets are alike,
-        the size of a's set, how many of its members b's lacks, and the symmetric difference. A hub's partners are dealt
-        in chunks.
+        u, v, chunk, alike, n_hub, n_lost, difference: for the pairs (a, b) of distinct ids whether their full sets are
+        alike, the size of a's set, how many of its members b's lacks, and the symmetric difference. A hub's partners are
+        dealt in chunks.
         """
         pairs = stored(pairs, "pairs")
-        chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("n"))
-        dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("chunk"))
+        chunks = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("n")).where("n > 1"), "chunks")
+        chunk = F.pmod(F.xxhash64("b"), F.coalesce("n", F.lit(1))).cast("int").alias("chunk")
+        dealt = pairs.join(chunks, "a", "left").select("a", "b", chunk)
         asked = dealt.select("a", "chunk", F.col("b").alias("id")).unionByName(dealt.select("a", "chunk", F.col("a").alias("id")).distinct())
         asked = asked.select(self.block("id"), "a", "chunk", "id")
         width, like, column, id_ = self.width, self.like, self.column, self.id
@@ -160,26 +162,28 @@ class _Corpus:
 
         def confirm(rows: pa.Table) -> pa.Table:
             sets = {i: np.frombuffer(s, U64) for i, s in zip(rows.column("id").to_pylist(), rows.column("shingles").to_pylist(), strict=True)}
-            a = rows.column("a")[0].as_py()
+            a, chunk = rows.column("a")[0].as_py(), rows.column("chunk")[0].as_py()
             hub, out = sets.pop(a), []
             for b, s in sets.items():
                 differ = np.setxor1d(hub, s, assume_unique=True)
                 both = (len(hub) + len(s) - len(differ)) // 2
-                out.append((a, b, 100 * both >= like * (both + len(differ)), len(hub), len(hub) - both, differ.tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["u", "v", "alike", "n_hub", "n_lost", "difference"])
+                out.append((a, b, chunk, 100 * both >= like * (both + len(differ)), len(hub), len(hub) - both, differ.tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["u", "v", "chunk", "alike", "n_hub", "n_lost", "difference"])
 
         sets = self.blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(fetch, "a long, chunk int, id long, shingles binary")
-        return sets.groupBy("a", "chunk").applyInArrow(confirm, "u long, v long, alike boolean, n_hub long, n_lost long, difference binary")
+        return sets.groupBy("a", "chunk").applyInArrow(confirm, "u long, v long, chunk int, alike boolean, n_hub long, n_lost long, difference binary")
+
+
+#: How many tiles a key needs, by its members and by those of them that are minor.
+_TILES = lambda members, minor: [F.ceil(members / TILE).cast("int").alias("tiles"), F.ceil(minor / TILE).cast("int").alias("minor_tiles")]
 
 
 def _tiled(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """
-    `rows` with a column `minor`, dealt to tiles (key, i, j) of at most about TILE members and TILE minor ones: each
-    minor member meets all members of its key, in copies marked by `minor`.
+    `rows` with the columns `minor`, tiles and minor_tiles, dealt to tiles (key, i, j) of at most about TILE members and
+    TILE minor ones: each minor member meets all members of its key, in copies marked by `minor`.
     """
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.ceil(F.count_if("minor") / TILE).cast("int").alias("minor_tiles")).where("minor_tiles > 0")
-    rows = rows.join(sizes, key)
     own, own_minor = (F.pmod(F.xxhash64("id"), F.col(n)).cast("int") for n in ("tiles", "minor_tiles"))
     as_all = rows.select(key, *columns, F.lit(False).alias("minor"), own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("minor_tiles") - 1)).alias("j"))
     as_minor = rows.where("minor").select(key, *columns, F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), own_minor.alias("j"))
@@ -193,11 +197,14 @@ def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _hub_tiles(members: DataFrame, like: int) -> DataFrame:
     """
-    Links (u, v) between components of one hub's members, compared by their differences from the hub. `members`: hub, id,
-    component, n_hub, n_lost, difference. In a hub's group those outside its least component meet all.
+    Links (u, v) between components of one hub's members, compared by their differences from the hub. `members`: hub,
+    chunk, id, component, n_hub, n_lost, difference. In a hub's group those outside its least component meet all. What is
+    known of a hub reaches its members chunk by chunk.
     """
-    least = members.groupBy("hub").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") != F.col("most")).select("hub", "least")
-    rows = members.join(least, "hub").withColumn("minor", F.col("component") != F.col("least"))
+    each = members.groupBy("hub", "component").agg(F.count("*").alias("n"), F.max("chunk").alias("last"))
+    hubs = each.groupBy("hub").agg(F.min("component").alias("least"), F.sum("n").alias("n"), F.min_by("n", "component").alias("n_least"), F.max("last").alias("last"), F.count("*").alias("components")).where("components > 1")
+    hubs = hubs.select("hub", "least", *_TILES(F.col("n"), F.col("n") - F.col("n_least")), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("chunk"))
+    rows = members.join(hubs, ["hub", "chunk"]).withColumn("minor", F.col("component") != F.col("least"))
 
     def compare(t: pa.Table) -> pa.Table:
         ids, comp, lost, n_hub = (t.column(c).to_numpy() for c in ("id", "component", "n_lost", "n_hub"))
@@ -227,7 +234,7 @@ def _hub_tiles(members: DataFrame, like: int) -> DataFrame:
 def _bucket_tiles(entries: DataFrame, like: int) -> DataFrame:
     """
     Pairs (a, b) of one bucket in different components that pass the screen, unless both are `near` the bucket's hub.
-    `entries`: key, id, component, near, n_shingles, sketch, n_samples.
+    `entries`: key, id, component, near, tiles, minor_tiles, n_shingles, sketch, n_samples.
     """
     rows = entries.withColumn("minor", ~F.col("near"))
 
@@ -246,14 +253,17 @@ def _bucket_tiles(entries: DataFrame, like: int) -> DataFrame:
 
 
 def _clusters(docs: DataFrame, width: int, like: int) -> tuple[_Corpus, DataFrame]:
+    """The corpus; doc_id, id, n_shingles, head (of the row's component: doc_id and id; null without words)."""
     corpus = _Corpus(docs, width, like)
     signed = corpus.signed()
     facts = ["n_shingles", "sketch", "n_samples"]
-    classes = signed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("bands", *facts)])
-    classes = stored(classes, "classes")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "id")
+    classes = signed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min(first).alias("head"), *[F.first(c).alias(c) for c in ("bands", *facts)])
+    classes = stored(classes.select("set_key", "head", F.col("head.id").alias("id"), "bands", *facts), "classes")
     entries = classes.select(F.explode("bands").alias("key"), "id")
     facts = classes.select("id", *facts)
-    hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    # tables of what is known of a key are stored, so that joins with them split keys that many rows have
+    hubs = stored(entries.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "hubs")
     entries = stored(entries.join(hubs, "key").where(F.col("id") != F.col("hub")), "buckets")  # only buckets with company
     stars = entries.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     stars = stars.join(facts.alias("x"), F.col("a") == F.col("x.id")).join(facts.alias("y"), F.col("b") == F.col("y.id")).where(_screened("x", "y", like)).select("a", "b")
@@ -262,33 +272,39 @@ def _clusters(docs: DataFrame, width: int, like: int) -> tuple[_Corpus, DataFram
     comps = stored(components(links), "components")
     component = F.coalesce("component", "id").alias("component")
 
-    members = compared.select(F.col("u").alias("hub"), F.col("v").alias("id"), "n_hub", "n_lost", "difference").join(comps, "id", "left").select("hub", "id", component, "n_hub", "n_lost", "difference")
+    members = compared.select(F.col("u").alias("hub"), "chunk", F.col("v").alias("id"), "n_hub", "n_lost", "difference").join(comps, "id", "left").select("hub", "chunk", "id", component, "n_hub", "n_lost", "difference")
     links = stored(links.unionByName(_hub_tiles(members, like)), "links")
     comps = stored(components(links), "components")
 
     near = compared.select(F.col("u").alias("hub"), F.col("v").alias("id"), F.lit(True).alias("near"))
     labelled = stored(entries.join(near, ["hub", "id"], "left").join(comps, "id", "left").select("key", "id", F.coalesce("near", F.lit(False)).alias("near"), component), "labelled")
-    several = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.bool_and("near").alias("near")).where((F.col("least") != F.col("most")) & ~F.col("near")).select("key")
-    rest = _bucket_tiles(labelled.join(several, "key").join(facts, "id"), like)
+    several = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), *_TILES(F.count("*"), F.count_if(~F.col("near")))).where("least <> most AND minor_tiles > 0").select("key", "tiles", "minor_tiles")
+    rest = _bucket_tiles(labelled.join(stored(several, "several"), "key").join(facts, "id"), like)
     more = stored(corpus.compared(rest).where("alike").select("u", "v"), "links")
     if not more.isEmpty():
         comps = stored(components(stored(links.unionByName(more), "links")), "components")
-    member = classes.select("set_key", "id").join(comps, "id", "left").select("set_key", component)
-    return corpus, signed.select("doc_id", "n_shingles", "set_key").join(member, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    member = classes.select("set_key", "head", "id").join(comps, "id", "left").select("set_key", "head", component)
+    heads = stored(member.groupBy("component").agg(F.min("head").alias("head")), "heads")
+    member = member.select("set_key", "component").join(heads, "component").select("set_key", "head")
+    return corpus, signed.select("doc_id", "id", "n_shingles", "set_key").join(member, "set_key", "left").select("doc_id", "id", "n_shingles", "head")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, like: int = LIKE) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), kept."""
     _, out = _clusters(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), width, like)
+    out = out.select("doc_id", "n_shingles", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, like: int = LIKE) -> DataFrame:
-    """The rows of `docs`, all columns, that are kept. Ids travel to the packed blocks, texts stay there."""
+    """
+    The rows of `docs`, all columns, less near duplicates: of each component one row stays, the first of its head's
+    repeated rows; rows without words all stay. Ids travel to the packed blocks, texts stay there.
+    """
     names = docs.columns
     corpus, out = _clusters(docs, width, like)
-    gone = out.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(corpus.block("doc_id"), "doc_id")
-    id_ = corpus.id
+    gone = out.where(F.col("id") != F.col("head.id")).select(corpus.block("id"), "id")
+    text, id_ = corpus.column, corpus.id
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -298,8 +314,13 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, like: int = LIKE) -
         if not left.num_rows:
             return schema.empty_table()
         rows = unpacked(left.column("payload"))
-        drop = pa.compute.is_in(rows.column(id_).cast(pa.int64()), value_set=right.column("doc_id").combine_chunks())
-        return rows.filter(pa.compute.invert(drop))
+        stay = ~pa.compute.is_in(rows.column(id_), value_set=right.column("id").combine_chunks()).to_numpy(zero_copy_only=False).astype(bool)
+        again = np.ones(rows.num_rows, bool)
+        again[np.unique(rows.column(id_).to_numpy(), return_index=True)[1]] = False
+        for i in np.flatnonzero(again & stay):
+            t = rows.column(text)[int(i)].as_py()
+            stay[i] = not (t and t.encode().split())
+        return rows.filter(pa.array(stay)).select(schema.names)
 
     return corpus.blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(keep, plain.schema).toDF(*names)
 
