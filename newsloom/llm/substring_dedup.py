@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, among, block_count, cuts, mixed, packed, packed_blocks, sliding, stored, texts_of, unpacked, window_hashes, word_hashes
+from .common import U64, among, block_count, cuts, mixed, packed, packed_blocks, sliding, stored, target_count, texts_of, unpacked, window_hashes, word_hashes
 
 WINDOW = 35
 LEAST = 8
@@ -104,16 +104,17 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, edit: bool = False) -> Da
     names = full.columns
     column = f"c{names.index('text')}"
     n_blocks = block_count(full)
+    targets = target_count(n_blocks)
     blocks = packed_blocks(full, n_blocks)
     before, found = None, None
     for length in lengths(window):
-        ask = _requests(window, length, before, n_blocks, column)
+        ask = _requests(window, length, before, targets, column)
         schema = "target int, block int, hashes binary, many binary"
         if found is None:
             asked = blocks.groupBy("block").applyInArrow(_alone(ask), schema)
         else:
             asked = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(ask, schema)
-        found = stored(asked.repartition(n_blocks, "target").groupBy("target").applyInArrow(_answers, "block int, hashes binary"), f"repeats-{length}")
+        found = stored(asked.repartition(targets, "target").groupBy("target").applyInArrow(_answers, "block int, hashes binary"), f"repeats-{length}")
         before = length
         if found.isEmpty():
             break
