@@ -5,13 +5,11 @@ kept, and is written as Parquet and read again; all but the last return the colu
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm.bpe import digests, encode, word_bpe_path
-from newsloom.llm.common import shared_dir
-from newsloom.llm.decontaminate import hits, report
+from newsloom.llm.common import discard, release, stored
+from newsloom.llm.decontaminate import without_contaminated
 from newsloom.llm.minhash_dedup import without_near_duplicates
 from newsloom.llm.quality_fm import KEEP, quality
 from newsloom.llm.substring_dedup import cut_repeats
@@ -35,9 +33,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = report(hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))).where("contaminated").select("doc_id")
-    found = found.withColumnRenamed("doc_id", "contaminated_id")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["contaminated_id"]), "left_anti")
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages' tables go once the next one is written, and with them the blocks that stages have cached."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/newsloom-stage-{k}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        release(spark)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
