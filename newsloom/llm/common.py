@@ -97,9 +97,9 @@ def block_count(texts: DataFrame, text: str = "text") -> int:
     return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2, int(total / block_mb(total)), 1)
 
 
-def target_count(n_blocks: int) -> int:
-    """Parts of a table of hashes; fewer than blocks, as counts are added up there."""
-    return max(n_blocks // PER_TARGET, 1)
+def target_count(n_blocks: int, per_target: int = PER_TARGET) -> int:
+    """Parts of a table of hashes: each answers as many blocks' worth of requests as its memory allows."""
+    return max(n_blocks // per_target, 1)
 
 
 def packed_blocks(docs: DataFrame, n_blocks: int, keys: tuple[str | int, ...] = ("doc_id", "text")) -> DataFrame:

@@ -5,7 +5,9 @@ make each history's probabilities sum to one exactly.
 Counts live in tables partitioned by hash. Texts are dealt once, as packed blocks. A block asks each table partition for
 the counts of its own distinct words, then of its distinct pairs, and gets its answers in the order it asked, so nothing
 but hashes and counts moves. A history with more than a 4T-th of all tokens (T partitions, hence at most 4T such
-histories) is salted over all partitions by its successors; its sums are added up from those.
+histories) is salted by its successors, over as many partitions as it has such shares; its sums are added up from those in
+a table, which is joined with the histories that each block asked about. Successors of one history are told apart by 48
+bits: of a million of them two are taken for one with a probability of 0.2 %.
 
 The vocabulary is the training words, the end, and one class for every other word. P(w) is the discounted share of w;
 what discounting frees is the unknown class's. P(w|h) is the discounted share of (h, w) among the pairs from h, or
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, block_count, cuts, id_and_text, fold, mixed, packed, packed_blocks, stored, unpacked
+from .common import U64, block_count, cuts, fold, id_and_text, mixed, packed, packed_blocks, stored, target_count, unpacked
 
 #: Counts above this are not discounted.
 TRUSTED = 5
@@ -176,6 +178,7 @@ class _Block:
     """What each step on a block works out anew from its texts and from the answers on words."""
 
     def __init__(self, left: pa.Table, answers: pa.Table, hot: float, targets: int):
+        """A history of more than `hot` tokens is salted."""
         rows = unpacked(left.column("payload"))
         docs, self.train = _pairs_of(rows)
         self.ids = rows.column("c0")
@@ -191,7 +194,8 @@ class _Block:
         self.h, self.w = np.divmod(keys, len(self.words))
         self.hot = self.count > hot
         h, w = self.words[self.h], self.words[self.w]
-        route = np.where(self.hot[self.h], mixed(h ^ mixed(w)), mixed(h)) % U64(targets)
+        salts = np.maximum(np.ceil(self.count / hot), 1).astype(U64)[self.h]
+        route = mixed(h + mixed(w) % salts * U64(0x9E3779B97F4A7C15)) % U64(targets)
         # the pairs of one table partition together: a pair is kept with its history, or by itself if the history is hot
         self.order = np.argsort(route, kind="stable")
         route = route[self.order].astype(np.int64)
@@ -229,7 +233,8 @@ def _answer_pairs(shares: Shares):
     def answer(asked: pa.Table) -> pa.Table:
         """
         To each block the counts of its pairs, and for each history it asked about: the successors' training total, by
-        count up to TRUSTED the number of successors (what discounts need), and the sum of their P(w).
+        count up to TRUSTED the number of successors (what discounts need), and the sum of their P(w); of salted ones only
+        this partition's part, and which they are. In the row of block -1: the parts of all salted histories.
         """
         histories, words, word_counts, counts, lengths, groups, hot = [], [], [], [], [], [], []
         for i in range(asked.num_rows):
@@ -260,15 +265,15 @@ def _answer_pairs(shares: Shares):
         sums = np.stack(cols, 1)
         ends = np.cumsum(lengths)[:-1]
         target = asked.column("target")[0].as_py()
-        rows = [(b.as_py(), target, _narrow(p), _pack_sums(sums[np.searchsorted(own, g)]), b"") for b, p, g in zip(asked.column("block"), np.split(back, ends), groups, strict=True)]
+        rows = [(b.as_py(), target, _narrow(p), _pack_sums(sums[np.searchsorted(own, g)]), packed(s), b"") for b, p, g, s in zip(asked.column("block"), np.split(back, ends), groups, hot, strict=True)]
         salted = np.unique(np.concatenate(hot))
-        rows.append((-1, target, packed(salted), _pack_sums(sums[np.searchsorted(own, salted)]), _histogram(total[seen])))
-        return _rows(["block", "target", "counts", "sums", "histogram"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], rows)
+        rows.append((-1, target, b"", _pack_sums(sums[np.searchsorted(own, salted)]), packed(salted), _histogram(total[seen])))
+        return _rows(["block", "target", "counts", "sums", "salted", "histogram"], [pa.int32(), pa.int32(), *[pa.binary()] * 4], rows)
 
     return answer
 
 
-def _score(shares: Shares, factor: np.ndarray, hot: float, hot_sums: dict[int, np.ndarray], targets: int):
+def _score(shares: Shares, factor: np.ndarray, hot: float, targets: int):
     def backoff(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Divisor of each history's counts, and its backoff weight."""
         total, lower, by_count, successors = sums[:, 0], sums[:, 1], sums[:, 2 : 2 + TRUSTED], sums[:, -1]
@@ -279,13 +284,17 @@ def _score(shares: Shares, factor: np.ndarray, hot: float, hot_sums: dict[int, n
             weight = np.where(successors > 0, rest / divisor / np.maximum(1 - lower, 1e-300), 1.0)
         return divisor, weight
 
-    def score(left: pa.Table, words: pa.Table, pairs: pa.Table) -> pa.Table:
+    def score(left: pa.Table, words: pa.Table, pairs: pa.Table, salted: pa.Table) -> pa.Table:
         b = _Block(left, words, hot, targets)
         count = np.concatenate([_wide(x) for x in _in_order(pairs, "counts")])
         sums = np.concatenate([_unpack_sums(x) for x in _in_order(pairs, "sums")])
         first = b.h[b.order[b.begins]]
-        for g in np.flatnonzero(b.hot[first]):
-            sums[g] = hot_sums[int(b.words[first[g]])]
+        own = np.flatnonzero(b.hot[first])
+        if len(own):
+            h = salted.column("h").to_numpy().view(U64)
+            order = np.argsort(h)
+            parts = np.stack(salted.column("s").to_pylist())
+            sums[own] = parts[order[np.searchsorted(h[order], b.words[first[own]])]]
         divisor, weight = backoff(sums)
         group = np.cumsum(b.begins) - 1
         n = b.count
@@ -311,28 +320,30 @@ def katz_scores(docs: DataFrame, train_modulus: int = TRAIN_MODULUS, salt_over:
     """Learns from the rows with fold(train_modulus) > 0 and scores all. Histories of more than `salt_over` tokens are salted. See SCHEMA."""
     plain = id_and_text(docs)
     plain = plain.withColumn("held_out", fold(train_modulus) == 0)
-    targets = block_count(plain)
-    blocks = packed_blocks(plain, targets)
+    n_blocks = block_count(plain)
+    targets = target_count(n_blocks, 1)
+    blocks = packed_blocks(plain, n_blocks)
     asked = blocks.groupBy("block").applyInArrow(_ask_words(targets), "target int, block int, words binary, counts binary")
     words = stored(asked.repartition(targets, "target").groupBy("target").applyInArrow(_answer_words, "block int, target int, counts binary, total long, distinct long, histogram binary"), "words")
-    # one row of a few numbers from each partition
-    facts = words.where("block < 0").select("total", "distinct").collect()
-    shares = Shares.of(sum(x.total for x in facts), sum(x.distinct for x in facts), _of_counts(words.where("block < 0")))
+    facts = words.where("block < 0")
+    total, distinct = facts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    shares = Shares.of(total, distinct, _of_counts(facts))
     hot = max(shares.total / (4 * targets), 1000) if salt_over is None else salt_over
     words = words.where("block >= 0").select("block", "target", "counts")
     asked = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_ask_pairs(targets, hot), "target int, block int, histories binary, hot binary, sizes binary, words binary, word_counts binary, counts binary")
-    pairs = stored(asked.repartition(targets, "target").groupBy("target").applyInArrow(_answer_pairs(shares), "block int, target int, counts binary, sums binary, histogram binary"), "pairs")
-    own = pairs.where("block < 0")
-    factor = discounts(_of_counts(own))
-    hot_sums = _hot_sums(own)
-    answers = words.select("block", F.lit(0).alias("kind"), "target", "counts", F.lit(None).cast("binary").alias("sums")).unionByName(pairs.where("block >= 0").select("block", F.lit(1).alias("kind"), "target", "counts", "sums"))
-    score = _score(shares, factor, hot, hot_sums, targets)
+    pairs = stored(asked.repartition(targets, "target").groupBy("target").applyInArrow(_answer_pairs(shares), "block int, target int, counts binary, sums binary, salted binary, histogram binary"), "pairs")
+    factor = discounts(_of_counts(pairs.where("block < 0")))
+    salted = _histories(pairs.where("block >= 0")).join(stored(_salted_sums(pairs.where("block < 0")), "salted"), "h")
+    none = lambda *names: [F.lit(None).cast(kind).alias(n) for n, kind in names]
+    answers = words.select("block", F.lit(0).alias("kind"), "target", "counts", *none(("sums", "binary"), ("h", "long"), ("s", "array<double>")))
+    answers = answers.unionByName(pairs.where("block >= 0").select("block", F.lit(1).alias("kind"), "target", "counts", "sums", *none(("h", "long"), ("s", "array<double>"))))
+    answers = answers.unionByName(salted.select("block", F.lit(2).alias("kind"), *none(("target", "int"), ("counts", "binary"), ("sums", "binary")), "h", "s"))
+    score = _score(shares, factor, hot, targets)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
-        kind = right.column("kind")
-        return score(left, right.filter(pa.compute.equal(kind, 0)), right.filter(pa.compute.equal(kind, 1)))
+        return score(left, *[right.filter(pa.compute.equal(right.column("kind"), k)) for k in range(3)])
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, SCHEMA)
 
@@ -350,19 +361,29 @@ def _of_counts(own: DataFrame) -> dict[int, int]:
     return {x.r: x.n for x in found}
 
 
-def _hot_sums(own: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of the salted histories over all partitions. There are at most total / hot of them, which is 4 a partition."""
+def _histories(answers: DataFrame) -> DataFrame:
+    """(block, h): the salted histories that each block asked about."""
 
     def parts(batches):
         for b in batches:
-            for counts, sums in zip(b.column("counts"), b.column("sums"), strict=True):
-                h, s = np.frombuffer(counts.as_buffer(), U64), _unpack_sums(sums.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *[pa.array(s[:, i]) for i in range(s.shape[1])]], names=["h", *[f"s{i}" for i in range(s.shape[1])]])
+            h = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) for x in h])), pa.array(np.concatenate(h))], names=["block", "h"])
+
+    return answers.where(F.octet_length("salted") > 0).select("block", "salted").mapInArrow(parts, "block int, h long").distinct()
+
+
+def _salted_sums(own: DataFrame) -> DataFrame:
+    """(h, s): sums of the salted histories, added up over the partitions that had parts of them."""
+
+    def parts(batches):
+        for b in batches:
+            for salted, sums in zip(b.column(0), b.column(1), strict=True):
+                h, s = np.frombuffer(salted.as_buffer(), np.int64), _unpack_sums(sums.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(h), *[pa.array(s[:, i]) for i in range(s.shape[1])]], names=["h", *names])
 
     names = [f"s{i}" for i in range(TRUSTED + 3)]
-    rows = own.select("counts", "sums").mapInArrow(parts, "h long, " + ", ".join(f"{n} double" for n in names))
-    found = rows.groupBy("h").agg(*[F.sum(n).alias(n) for n in names]).collect()
-    return {int(np.int64(r.h).view(U64)): np.array([r[n] for n in names]) for r in found}
+    rows = own.where(F.octet_length("salted") > 0).select("salted", "sums").mapInArrow(parts, "h long, " + ", ".join(f"{n} double" for n in names))
+    return rows.groupBy("h").agg(F.array(*[F.sum(n) for n in names]).alias("s"))
 
 
 def op3_katz_lm(spark, sf_dir: str) -> DataFrame:
