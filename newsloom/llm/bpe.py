@@ -5,7 +5,8 @@ vocabulary strings.
 The file names the steps: added tokens are cut out of the raw text; the rest is normalised (NFC, lower case), split into
 words by the file's pattern, turned into byte symbols with the end mark on the last, and merged. White space is dropped,
 so replacing runs of it changes nothing. Letters that Unicode added after the library's tables were made may be split
-otherwise. A word's ids are kept in a cache of bounded size. Each text is encoded whole.
+otherwise. The ids of words of up to CACHED_LENGTH characters are kept in a cache of bounded size. Each text is encoded
+whole.
 
 Null and empty texts give no ids and an empty decoded text. Rows are independent, so ties, repeated rows, empty tables
 and further columns need no care.
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, release_memory
 
-CACHE = 300_000
+#: Words in each of two caches, and the most characters of a word that is kept there.
+CACHE, CACHED_LENGTH = 300_000, 32
 
 
 def byte_symbols() -> list[str]:
@@ -91,6 +93,8 @@ class WordBpe:
             out = self.old.get(word)
             if out is None:
                 out = np.array(self.merged(word.encode()), np.int32).tobytes()
+            if len(word) > CACHED_LENGTH:
+                return out
             if len(self.young) >= CACHE:
                 self.old, self.young = self.young, {}
             self.young[word] = out

@@ -26,7 +26,8 @@ MARK = "▁"
 #: The characters with Unicode's White_Space property, as the tokenizers library splits at them.
 WORDS = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 UNKNOWN_PENALTY = 10.0
-CACHE = 300_000
+#: Words in each of two caches, and the most characters of a word that is kept there.
+CACHE, CACHED_LENGTH = 300_000, 32
 
 
 class UnigramCounter:
@@ -47,6 +48,8 @@ class UnigramCounter:
         out = self.young.get(word)
         if out is None:
             out = self.old.get(word) or self.counted(MARK + word)
+            if len(word) > CACHED_LENGTH:
+                return out
             if len(self.young) >= CACHE:
                 self.old, self.young = self.young, {}
             self.young[word] = out
