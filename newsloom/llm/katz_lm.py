@@ -1,18 +1,19 @@
 """
-Language-model scoring by Katz backoff: Good-Turing discounted counts of words and word pairs, with backoff weights that
+Language-model scoring by Katz backoff: Good-Turing discounted counts of n-grams up to an order, with backoff weights that
 make each history's probabilities sum to one exactly.
 
 Counts live in tables partitioned by hash. Texts are dealt once, as packed blocks. A block asks each table partition for
-the counts of its own distinct words, then of its distinct pairs, and gets its answers in the order it asked, so nothing
-but hashes and counts moves. A history with more than a 4T-th of all tokens (T partitions, hence at most 4T such
+the counts of its own distinct words, then of its distinct pairs, and so on up to the order, and gets its answers in the
+order it asked, so nothing but hashes, counts and the probabilities of shorter histories moves. A history with more than a 4T-th of all tokens (T partitions, hence at most 4T such
 histories) is salted by its successors, over as many partitions as it has such shares; its sums are added up from those in
 a table, which is joined with the histories that each block asked about. Successors of one history are told apart by 48
 bits: of a million of them two are taken for one with a probability of 0.2 %.
 
 The vocabulary is the training words, the end, and one class for every other word. P(w) is the discounted share of w;
-what discounting frees is the unknown class's. P(w|h) is the discounted share of (h, w) among the pairs from h, or
-a(h) P(w) for a pair not seen, with a(h) = (1 - sum of seen P(.|h)) / (1 - sum of P(.) of those successors). Where a
-history frees nothing (no successor counted rarely enough), one pretended token is kept back for its unseen successors.
+what discounting frees is the unknown class's. P(w|h) is the discounted share of (h, w) among the n-grams from h, or
+a(h) P(w|h') for one not seen, h' being h without its first word, with a(h) = (1 - sum of seen P(.|h)) / (1 - sum of P(.|h')
+of those successors). Where a history frees nothing (no successor counted rarely enough), one pretended token is kept back
+for its unseen successors. Before a text stand as many start marks as a history has words.
 
 Nulls and empty texts have the end only. Rows are scored one by one, so repeated rows get equal scores and count as often
 as they stand in the training rows. An empty table, or no training rows, gives N = 0: every token is of the unknown class.
@@ -35,6 +36,7 @@ from .common import U64, block_count, cuts, fold, id_and_text, mixed, packed, pa
 TRUSTED = 5
 TRAIN_MODULUS = 10
 END, START = U64(1), U64(2)
+MIX = U64(0x9E3779B97F4A7C15)
 LOW48 = U64(2**48 - 1)
 
 
@@ -174,81 +176,143 @@ def _in_order(answers: pa.Table, column: str, by: str = "target") -> list[bytes]
     return [values[int(i)].as_py() for i in order]
 
 
-class _Block:
-    """What each step on a block works out anew from its texts and from the answers on words."""
-
-    def __init__(self, left: pa.Table, answers: pa.Table, hot: float, targets: int):
-        """A history of more than `hot` tokens is salted."""
-        rows = unpacked(left.column("payload"))
-        docs, self.train = _pairs_of(rows)
-        self.ids = rows.column("c0")
-        self.words, _, inverse = _distinct(docs, self.train)
-        self.starts = np.cumsum([0, *map(len, docs)])
-        self.token = inverse[: self.starts[-1]]
-        self.count = np.concatenate([_wide(x) for x in _in_order(answers, "counts")])
-        history = np.empty_like(self.token)
-        history[1:] = self.token[:-1]
-        history[self.starts[:-1]] = np.searchsorted(self.words, START)
-        # distinct pairs, in order of the hashes of history and word, as places among the words
-        keys, self.pair = np.unique(history * len(self.words) + self.token, return_inverse=True)
-        self.h, self.w = np.divmod(keys, len(self.words))
-        self.hot = self.count > hot
-        h, w = self.words[self.h], self.words[self.w]
-        salts = np.maximum(np.ceil(self.count / hot), 1).astype(U64)[self.h]
-        route = mixed(h + mixed(w) % salts * U64(0x9E3779B97F4A7C15)) % U64(targets)
-        # the pairs of one table partition together: a pair is kept with its history, or by itself if the history is hot
+@dataclass
+class Learnt:
+    """What is known of the corpus so far; histories of more than `hot` tokens are salted. `factors`: by level, from pairs on."""
+
+    shares: Shares
+    hot: float
+    targets: int
+    factors: list[np.ndarray]
+
+
+class _Level:
+    """A block's distinct n-grams of one length, as places of their histories and words, and where each is kept."""
+
+    def __init__(self, below: _Level | None, block: _Block, learnt: Learnt):
+        words, starts = block.words, block.starts[:-1]
+        before = block.token if below is None else below.gram
+        history = np.empty_like(before)
+        history[1:] = before[:-1]
+        history[starts] = np.searchsorted(words, START) if below is None else len(below.h)
+        keys, first, self.gram = np.unique(history * len(words) + block.token, return_index=True, return_inverse=True)
+        self.h, self.w = np.divmod(keys, len(words))
+        #: of each n-gram the one with a shorter history: a word, or an n-gram of the level below
+        self.lower = before[first]
+        # of each history its hash and its count
+        marks = words if below is None else np.append(below.hashes, mixed(START + U64(below.n)))
+        counts = block.count if below is None else np.append(below.count, block.n_train)
+        self.n = 1 if below is None else below.n + 1
+        self.history = marks[self.h]
+        self.hashes = mixed(self.history * MIX + words[self.w] + U64(self.n))
+        self.hot = counts[self.h] > learnt.hot
+        salts = np.maximum(np.ceil(counts / learnt.hot), 1).astype(U64)[self.h]
+        # n-grams are kept with their history, or with a share of its successors if it is hot
+        route = mixed(self.history + mixed(words[self.w]) % salts * MIX) % U64(learnt.targets)
         self.order = np.argsort(route, kind="stable")
         route = route[self.order].astype(np.int64)
-        self.at = np.searchsorted(route, np.arange(targets + 1))
+        self.at = np.searchsorted(route, np.arange(learnt.targets + 1))
         own = self.h[self.order]
         self.begins = np.ones(len(own), bool)
         self.begins[1:] = (own[1:] != own[:-1]) | (route[1:] != route[:-1])
 
-    def pair_counts(self) -> np.ndarray:
-        return np.bincount(self.pair, np.repeat(self.train, np.diff(self.starts)), len(self.h)).astype(np.int64)
+    def answered(self, answers: pa.Table, salted: pa.Table, lower: np.ndarray, factor: np.ndarray) -> None:
+        """Counts, and probabilities from those with shorter histories."""
+        self.count = np.empty(len(self.h), np.int64)
+        self.count[self.order] = np.concatenate([_wide(x) for x in _in_order(answers, "counts")])
+        sums = np.concatenate([_unpack_sums(x) for x in _in_order(answers, "sums")])
+        first = self.order[self.begins]
+        own = np.flatnonzero(self.hot[first])
+        if len(own):
+            h = salted.column("h").to_numpy().view(U64)
+            order = np.argsort(h)
+            parts = np.stack(salted.column("s").to_pylist())
+            sums[own] = parts[order[np.searchsorted(h[order], self.history[first[own]])]]
+        divisor, weight = _backoff(sums, factor)
+        group = np.empty(len(self.h), np.int64)
+        group[self.order] = np.cumsum(self.begins) - 1
+        seen = factor[np.minimum(self.count, TRUSTED + 1)] * self.count / np.maximum(divisor, 1e-300)[group]
+        self.p = np.where(self.count > 0, seen, weight[group] * lower[self.lower])
+
+
+def _backoff(sums: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Divisor of each history's counts, and its backoff weight."""
+    total, lower, by_count, successors = sums[:, 0], sums[:, 1], sums[:, 2 : 2 + TRUSTED], sums[:, -1]
+    freed = by_count @ ((1 - factor[1:-1]) * np.arange(1, TRUSTED + 1))
+    divisor = np.where(freed > 1e-9 * total, total, total + 1)
+    rest = np.where(freed > 1e-9 * total, freed, 1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        weight = np.where(successors > 0, rest / divisor / np.maximum(1 - lower, 1e-300), 1.0)
+    return divisor, weight
+
 
+class _Block:
+    """What each step on a block works out anew from its texts and from the answers so far, level by level up to `levels`."""
 
-def _ask_pairs(targets: int, hot: float):
-    def ask(left: pa.Table, answers: pa.Table) -> pa.Table:
-        names, kinds = ["target", "block", "histories", "hot", "sizes", "words", "word_counts", "counts"], [pa.int32(), pa.int32()] + [pa.binary()] * 6
+    def __init__(self, left: pa.Table, right: pa.Table, learnt: Learnt, levels: int):
+        rows = unpacked(left.column("payload"))
+        docs, self.train = _pairs_of(rows)
+        self.ids, self.n_train = rows.column("c0"), int(self.train.sum())
+        self.words, _, inverse = _distinct(docs, self.train)
+        self.starts = np.cumsum([0, *map(len, docs)])
+        self.token = inverse[: self.starts[-1]]
+        answers = lambda level, salted: right.filter(pa.compute.and_(pa.compute.equal(right.column("level"), level), pa.compute.equal(right.column("salted"), salted)))
+        self.count = np.concatenate([_wide(x) for x in _in_order(answers(0, False), "counts")])
+        self.n_train = int(self.count[np.searchsorted(self.words, START)])
+        self.level, lower = None, np.where(self.count > 0, learnt.shares.p(self.count), learnt.shares.unknown)
+        for n in range(1, levels + 1):
+            self.level, self.lower = _Level(self.level, self, learnt), lower
+            if n <= len(learnt.factors):
+                self.level.answered(answers(n, False), answers(n, True), lower, learnt.factors[n - 1])
+                lower = self.level.p
+
+    def training_counts(self) -> np.ndarray:
+        return np.bincount(self.level.gram, np.repeat(self.train, np.diff(self.starts)), len(self.level.h)).astype(np.int64)
+
+
+def _ask(n: int, learnt: Learnt):
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, kinds = ["target", "block", "histories", "hot", "sizes", "words", "lower", "counts"], [pa.int32(), pa.int32()] + [pa.binary()] * 6
         if not left.num_rows:
             return _rows(names, kinds, [])
-        b = _Block(left, answers, hot, targets)
-        counts, block, out = b.pair_counts(), left.column("block")[0].as_py(), []
-        for t in range(targets):
-            own = b.order[b.at[t] : b.at[t + 1]]
+        b = _Block(left, right, learnt, n)
+        counts, block, out, level = b.training_counts(), left.column("block")[0].as_py(), [], b.level
+        for t in range(learnt.targets):
+            own = level.order[level.at[t] : level.at[t + 1]]
             if not len(own):
                 continue
-            begins = np.flatnonzero(b.begins[b.at[t] : b.at[t + 1]])
-            first = b.h[own[begins]]
+            begins = np.flatnonzero(level.begins[level.at[t] : level.at[t + 1]])
+            first = own[begins]
             sizes = np.diff(np.append(begins, len(own)))
-            low = (b.words[b.w[own]] & LOW48).view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits tell apart the successors of one history
-            out.append((t, block, packed(b.words[first]), packed(b.hot[first]), _narrow(sizes), packed(low), _narrow(b.count[b.w[own]]), _narrow(counts[own])))
+            low = (b.words[level.w[own]] & LOW48).view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits tell apart the successors of one history
+            lower = _narrow(b.count[level.w[own]]) if n == 1 else packed(b.lower[level.lower[own]])  # words' counts are less to send
+            out.append((t, block, packed(level.history[first]), packed(level.hot[first]), _narrow(sizes), packed(low), lower, _narrow(counts[own])))
         return _rows(names, kinds, out)
 
     return ask
 
 
-def _answer_pairs(shares: Shares):
+def _answer(n: int, shares: Shares):
     def answer(asked: pa.Table) -> pa.Table:
         """
-        To each block the counts of its pairs, and for each history it asked about: the successors' training total, by
-        count up to TRUSTED the number of successors (what discounts need), and the sum of their P(w); of salted ones only
+        To each block the counts of its n-grams, and for each history it asked about: the successors' training total, by
+        count up to TRUSTED the number of successors (what discounts need), and the sum of their P(w|h'); of salted ones only
         this partition's part, and which they are. In the row of block -1: the parts of all salted histories.
         """
-        histories, words, word_counts, counts, lengths, groups, hot = [], [], [], [], [], [], []
+        histories, words, lowers, counts, lengths, groups, hot = [], [], [], [], [], [], []
         for i in range(asked.num_rows):
             first, sizes = np.frombuffer(asked.column("histories")[i].as_buffer(), U64), _wide(asked.column("sizes")[i].as_py())
             low = np.zeros((int(sizes.sum()), 8), np.uint8)
             low[:, :6] = np.frombuffer(asked.column("words")[i].as_buffer(), np.uint8).reshape(-1, 6)
             histories.append(np.repeat(first, sizes))
             words.append(low.view(U64).ravel())
-            word_counts.append(_wide(asked.column("word_counts")[i].as_py()))
+            lower = asked.column("lower")[i]
+            lowers.append(shares.p(_wide(lower.as_py())) if n == 1 else np.frombuffer(lower.as_buffer(), np.float64))
             counts.append(_wide(asked.column("counts")[i].as_py()))
             lengths.append(len(low))
             groups.append(first)
             hot.append(first[np.frombuffer(asked.column("hot")[i].as_buffer(), bool)])
-        h, w, n, c = map(np.concatenate, (histories, words, word_counts, counts))
+        h, w, p, c = map(np.concatenate, (histories, words, lowers, counts))
         order = np.lexsort((w, h))
         h, w = h[order], w[order]
         new = np.ones(len(h), bool)
@@ -257,7 +321,7 @@ def _answer_pairs(shares: Shares):
         total = np.add.reduceat(c[order], at)
         back = np.empty(len(h), np.int64)
         back[order] = total[np.cumsum(new) - 1]
-        h, low, seen = h[at], shares.p(n[order][at]), total > 0
+        h, low, seen = h[at], p[order][at], total > 0
         own, inverse = np.unique(h, return_inverse=True)
         cols = [np.bincount(inverse, total, len(own)), np.bincount(inverse, low * seen, len(own))]
         cols += [np.bincount(inverse, (total == r).astype(float), len(own)) for r in range(1, TRUSTED + 1)]
@@ -273,51 +337,28 @@ def _answer_pairs(shares: Shares):
     return answer
 
 
-def _score(shares: Shares, factor: np.ndarray, hot: float, targets: int):
-    def backoff(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Divisor of each history's counts, and its backoff weight."""
-        total, lower, by_count, successors = sums[:, 0], sums[:, 1], sums[:, 2 : 2 + TRUSTED], sums[:, -1]
-        freed = by_count @ ((1 - factor[1:-1]) * np.arange(1, TRUSTED + 1))
-        divisor = np.where(freed > 1e-9 * total, total, total + 1)
-        rest = np.where(freed > 1e-9 * total, freed, 1.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            weight = np.where(successors > 0, rest / divisor / np.maximum(1 - lower, 1e-300), 1.0)
-        return divisor, weight
-
-    def score(left: pa.Table, words: pa.Table, pairs: pa.Table, salted: pa.Table) -> pa.Table:
-        b = _Block(left, words, hot, targets)
-        count = np.concatenate([_wide(x) for x in _in_order(pairs, "counts")])
-        sums = np.concatenate([_unpack_sums(x) for x in _in_order(pairs, "sums")])
-        first = b.h[b.order[b.begins]]
-        own = np.flatnonzero(b.hot[first])
-        if len(own):
-            h = salted.column("h").to_numpy().view(U64)
-            order = np.argsort(h)
-            parts = np.stack(salted.column("s").to_pylist())
-            sums[own] = parts[order[np.searchsorted(h[order], b.words[first[own]])]]
-        divisor, weight = backoff(sums)
-        group = np.cumsum(b.begins) - 1
-        n = b.count
-        lower = np.where(n > 0, shares.p(n), shares.unknown)
-        seen = factor[np.minimum(count, TRUSTED + 1)] * count / np.maximum(divisor, 1e-300)[group]
-        log_p = np.empty(len(b.h))
-        log_p[b.order] = np.log10(np.where(count > 0, seen, weight[group] * lower[b.w[b.order]]))
-        base = np.log10((n + 0.1) / (shares.total + 0.1 * (shares.vocabulary + 1)))
-        at = b.starts[:-1]
-        by_token, known = log_p[b.pair], (n > 0)[b.token]
-        return pa.table(
-            [b.ids, pa.array(~b.train), pa.array(np.diff(b.starts)), pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array([shares.total] * len(at), pa.int64()), pa.array(np.add.reduceat(base[b.token], at)), pa.array(np.add.reduceat(by_token, at))],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+def _score(learnt: Learnt):
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _SCORED.empty_table()
+        b, shares = _Block(left, right, learnt, len(learnt.factors)), learnt.shares
+        base = np.log10((b.count + 0.1) / (shares.total + 0.1 * (shares.vocabulary + 1)))
+        at, known, own = b.starts[:-1], (b.count > 0)[b.token], np.log10(b.level.p)
+        columns = [b.ids, ~b.train, np.diff(b.starts), np.add.reduceat(known.astype(np.int64), at), np.full(len(at), shares.total), np.add.reduceat(base[b.token], at), np.add.reduceat(own[b.level.gram], at)]
+        return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(columns, _SCORED, strict=True)], schema=_SCORED)
 
     return score
 
 
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def katz_scores(docs: DataFrame, train_modulus: int = TRAIN_MODULUS, salt_over: float | None = None) -> DataFrame:
-    """Learns from the rows with fold(train_modulus) > 0 and scores all. Histories of more than `salt_over` tokens are salted. See SCHEMA."""
+def katz_scores(docs: DataFrame, train_modulus: int = TRAIN_MODULUS, salt_over: float | None = None, order: int = 2) -> DataFrame:
+    """
+    Learns n-grams of up to `order` (2 at least) words from the rows with fold(train_modulus) > 0 and scores all. Histories
+    of more than `salt_over` tokens are salted. See SCHEMA.
+    """
     plain = id_and_text(docs)
     plain = plain.withColumn("held_out", fold(train_modulus) == 0)
     n_blocks = block_count(plain)
@@ -328,24 +369,23 @@ def katz_scores(docs: DataFrame, train_modulus: int = TRAIN_MODULUS, salt_over:
     facts = words.where("block < 0")
     total, distinct = facts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     shares = Shares.of(total, distinct, _of_counts(facts))
-    hot = max(shares.total / (4 * targets), 1000) if salt_over is None else salt_over
-    words = words.where("block >= 0").select("block", "target", "counts")
-    asked = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_ask_pairs(targets, hot), "target int, block int, histories binary, hot binary, sizes binary, words binary, word_counts binary, counts binary")
-    pairs = stored(asked.repartition(targets, "target").groupBy("target").applyInArrow(_answer_pairs(shares), "block int, target int, counts binary, sums binary, salted binary, histogram binary"), "pairs")
-    factor = discounts(_of_counts(pairs.where("block < 0")))
-    salted = _histories(pairs.where("block >= 0")).join(stored(_salted_sums(pairs.where("block < 0")), "salted"), "h")
-    none = lambda *names: [F.lit(None).cast(kind).alias(n) for n, kind in names]
-    answers = words.select("block", F.lit(0).alias("kind"), "target", "counts", *none(("sums", "binary"), ("h", "long"), ("s", "array<double>")))
-    answers = answers.unionByName(pairs.where("block >= 0").select("block", F.lit(1).alias("kind"), "target", "counts", "sums", *none(("h", "long"), ("s", "array<double>"))))
-    answers = answers.unionByName(salted.select("block", F.lit(2).alias("kind"), *none(("target", "int"), ("counts", "binary"), ("sums", "binary")), "h", "s"))
-    score = _score(shares, factor, hot, targets)
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
-        return score(left, *[right.filter(pa.compute.equal(right.column("kind"), k)) for k in range(3)])
-
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, SCHEMA)
+    learnt = Learnt(shares, max(shares.total / (4 * targets), 1000) if salt_over is None else salt_over, targets, [])
+    answers = _told(words.where("block >= 0"), 0, False)
+    for n in range(1, order):
+        asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask(n, learnt), "target int, block int, histories binary, hot binary, sizes binary, words binary, lower binary, counts binary")
+        grams = stored(asked.repartition(targets, "target").groupBy("target").applyInArrow(_answer(n, shares), "block int, target int, counts binary, sums binary, salted binary, histogram binary"), f"grams-{n + 1}")
+        own, others = grams.where("block < 0"), grams.where("block >= 0")
+        salted = _histories(others).join(stored(_salted_sums(own), "salted"), "h")
+        answers = answers.unionByName(_told(others.drop("salted"), n, False)).unionByName(_told(salted, n, True))
+        learnt = Learnt(shares, learnt.hot, targets, [*learnt.factors, discounts(_of_counts(own))])
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(learnt), SCHEMA)
+
+
+def _told(answers: DataFrame, level: int, salted: bool) -> DataFrame:
+    """Answers of any kind as rows of one shape."""
+    kinds = {"target": "int", "counts": "binary", "sums": "binary", "h": "long", "s": "array<double>"}
+    columns = [F.col(c) if c in answers.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]
+    return answers.select("block", F.lit(level).alias("level"), F.lit(salted).alias("salted"), *columns)
 
 
 def _of_counts(own: DataFrame) -> dict[int, int]:

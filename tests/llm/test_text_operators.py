@@ -78,16 +78,18 @@ def test_unigram_rows(spark):
     assert unigram_counts.piece_counts(docs_of(spark, []), unigram_counts.piece_path()).collect() == []
 
 
-def test_katz(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz(spark, order):
     draw = random.Random(3)
     rows = [(i, " ".join(draw.choice("the The a bb ccc d e f g h i j k".split()) + str(draw.randrange(4) * draw.randrange(9)) for _ in range(draw.randrange(40)))) for i in range(200)]
     rows += [(201, None), (202, ""), (203, "unheard of")]
-    want, cond, p, unk = katz(rows)
+    want, cond, p, unk = katz(rows, order=order)
     for salt in (None, 20):
-        for r in katz_lm.katz_scores(docs_of(spark, rows), salt_over=salt).collect():
+        for r in katz_lm.katz_scores(docs_of(spark, rows), salt_over=salt, order=order).collect():
             assert tuple(r)[1:5] == want[r.doc_id][:4] and r.base_score == pytest.approx(want[r.doc_id][4]) and r.score == pytest.approx(want[r.doc_id][5])
     assert sum(p.values()) + unk == pytest.approx(1)
     for h in ("<start>", "the0", "nowhere"):
+        h = ("<start>", h)[3 - order :]
         assert sum(map(cond(h), p)) + cond(h)("never") == pytest.approx(1)
     assert katz_lm.katz_scores(docs_of(spark, [])).collect() == []
     assert len(katz_lm.katz_scores(docs_of(spark, ODD)).collect()) == len(ODD)
