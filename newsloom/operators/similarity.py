@@ -71,16 +71,13 @@ def accepted(docs: DataFrame, hundredths: int = 70, standing: Column | None = No
     rows = docs.select("doc_id", "text", (F.coalesce(standing, F.lit(False)) if standing is not None else F.lit(False)).alias("standing"))
     member, classes = token_classes(rows, "standing")
     pairs = stored(similar_classes(classes, hundredths), "pairs")
-    kept = member.where("standing").select("class_id").distinct()
-    own = kept.select(F.col("class_id").alias("kept_id"), F.lit(True).alias("kept"))
-    links = pairs
-    for side in ("a", "b"):
-        links = links.join(own.withColumnsRenamed({"kept_id": side, "kept": f"kept_{side}"}), side, "left").na.fill(False, [f"kept_{side}"])
-    links = stored(links, "links")
-    # standing classes settle their neighbours, whatever the order of ids
-    gone = links.where("kept_a AND NOT kept_b").select(F.col("b").alias("class_id")).unionByName(links.where("kept_b AND NOT kept_a").select(F.col("a").alias("class_id")))
-    rejected = stored(gone.distinct(), "rejected")
-    out, open_ = rejected, _without(links.where("NOT kept_a AND NOT kept_b").select("a", "b"), rejected)
+    kept = stored(member.where("standing").select("class_id").distinct(), "kept") if standing is not None else classes.select("class_id").limit(0)
+    out, open_ = kept.limit(0), pairs
+    if standing is not None:
+        # standing classes settle their neighbours, whatever the order of ids
+        own = kept.select(F.col("class_id").alias("a"))
+        out = stored(_both_ways(pairs).join(own, "a", "left_semi").select(F.col("b").alias("class_id")).distinct().join(kept, "class_id", "left_anti"), "rejected")
+        open_ = _without(_without(pairs, out), kept)
     while not (open_ := stored(open_, "open")).isEmpty():
         first = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         rejected = stored(open_.join(first, "a").select(F.col("b").alias("class_id")).distinct(), "rejected")
@@ -98,18 +95,23 @@ def _without(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def recent_duplicates(docs: DataFrame, days: int = 7, hundredths: int = 70) -> DataFrame:
     """
-    doc_id, is_duplicate: whether a row that came up to `days` days before is alike. `docs`: doc_id, ts, text. Instead of
-    pairing rows, each class receives the times of its neighbours, dealt by spans of `days`, and a window looks back for the
-    last of them; so its partitions hold no more than what one class and its neighbours had in two spans.
+    doc_id, is_duplicate: whether a row that came up to `days` days before is alike. `docs`: doc_id, ts, text. Rows are not
+    paired. Of each class and hour only the first and last times of rows alike to it are kept: the first tells what came
+    earlier in the same hour, the last what came late enough in the hour `days` before, and between the two any hour with
+    such rows will do. So a window's partition has two spans of `days` in hours, however many rows a class has.
     """
     member, classes = token_classes(docs.select("doc_id", "text", F.col("ts").cast("timestamp").alias("ts")), "ts")
-    member = stored(member, "members")
+    hour, span = 3_600_000_000, 24 * days
+    member = stored(member.select("doc_id", "class_id", F.unix_micros("ts").alias("at")).withColumn("hour", F.floor(F.col("at") / hour)), "members")
     pairs = stored(_both_ways(similar_classes(classes, hundredths)), "pairs")
-    span = days * 86_400 * 1_000_000
-    at, before = F.unix_micros("ts"), member.groupBy("class_id", F.unix_micros("ts").alias("at")).agg(F.count("*").alias("n"))
-    near = before.select(F.col("class_id").alias("b"), "at").join(pairs, "b").select(F.col("a").alias("class_id"), "at").unionByName(before.select("class_id", "at")).distinct()
-    events = near.select("class_id", F.explode(F.array(F.floor(F.col("at") / span), F.floor(F.col("at") / span) + 1)).alias("span"), "at", F.lit(None).cast("long").alias("doc_id"))
-    probes = member.select("class_id", F.floor(at / span).alias("span"), at.alias("at"), "doc_id")
-    seen = F.max(F.when(F.col("doc_id").isNull(), F.col("at"))).over(Window.partitionBy("class_id", "span").orderBy("at").rangeBetween(-span, -1))
-    found = events.unionByName(probes).withColumn("last", seen).where(F.col("doc_id").isNotNull()).select("doc_id", F.col("last").isNotNull().alias("is_duplicate"))
+    own = member.groupBy("class_id", "hour").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    near = own.withColumnRenamed("class_id", "b").join(pairs, "b").select(F.col("a").alias("class_id"), "hour", "first", "last")
+    near = own.unionByName(near).groupBy("class_id", "hour").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    here = F.floor(F.col("hour") / span)
+    spans = near.select("*", F.explode(F.array(here, here + 1)).alias("span"))
+    back = Window.partitionBy("class_id", "span").orderBy("hour")
+    seen = spans.withColumns({"between": F.count("*").over(back.rangeBetween(1 - span, -1)) > 0, "late": F.max("last").over(back.rangeBetween(-span, -span))})
+    seen = stored(seen.where(F.col("span") == here).select("class_id", "hour", "first", "between", "late"), "seen")
+    earlier = (F.col("first") < F.col("at")) | F.col("between") | F.coalesce(F.col("late") >= F.col("at") - span * hour, F.lit(False))
+    found = member.join(seen, ["class_id", "hour"]).select("doc_id", earlier.alias("is_duplicate"))
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
