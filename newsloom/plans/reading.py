@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 from newsloom.operators.relational import first_by_key
 from newsloom.operators.similarity import recent_duplicates
+from newsloom.operators.storage import spread
 from newsloom.sources.tables import table
 
+from . import sqltext as Q
 from .countries import countries, sql_values
 from .crosswalk import AS_OF, articles, jobs
 from .feeds import TOKENS_SQL
@@ -17,7 +19,7 @@ from .registry import query
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def _digest(parts):
@@ -38,22 +40,31 @@ def blank_line_paragraphs(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.or_placeholder(T.paragraphs(text)).alias("p")).select("page_id", *_digest("p"))
 
 
-@query("t6_packed_sentences")
+@query("t6_packed_sentences", f"""
+SELECT doc_id, {Q.digest('p')} FROM (SELECT doc_id, CASE WHEN len(p) > 1 OR length(text) <= 600 THEN p ELSE {Q.parts(Q.packed('list_transform(s, lambda x: [x])', 450))} END AS p
+FROM (SELECT doc_id, text, {Q.parts(Q.at_blank_lines('text'))} AS p, {Q.at_ends('text', '.!?।')} AS s FROM documents))""")
 def packed_sentences(spark, sf):
-    """An ordered fold within a text; tests hold it against a loop."""
+    """An ordered fold within a text; tests hold it against a loop, too."""
     return _docs(spark, sf).select("doc_id", T.packed_sentences(F.col("text"), 600, 450).alias("p")).select("doc_id", *_digest("p"))
 
 
-@query("t10_enriched_body")
+@query("t10_enriched_body", f"""
+SELECT doc_id, length(b)::BIGINT AS n, sha256(b) AS text_sha256 FROM (SELECT doc_id, array_to_string({Q.uncontained('p')}, chr(10) || chr(10)) AS b FROM (
+SELECT doc_id, {Q.parts('flatten(list_transform(g, lambda t: ' + Q.at_blank_lines(Q.trim('t')) + '))')} AS p FROM (SELECT doc_id, CASE WHEN length({Q.trim('text')}) >= 2400 THEN [text]
+ELSE ['From ' || source || chr(10) || chr(10) || text, text, lang, source || chr(10) || chr(10) || 'and more'] END AS g FROM documents)))""")
 def enriched_body(spark, sf):
-    """Texts put together, with contained paragraphs left out; tests hold it against a loop."""
+    """Texts put together, with contained paragraphs left out; tests hold it against a loop, too."""
     body = T.enriched_body(F.col("text"), F.concat(F.lit("From "), "source", F.lit("\n\n"), "text"), F.col("lang"), F.concat("source", F.lit("\n\nand more")))
     return _docs(spark, sf).select("doc_id", F.length(body).cast("long").alias("n"), F.sha2(body, 256).alias("text_sha256"))
 
 
-@query("t11_article_paragraphs")
+@query("t11_article_paragraphs", rf"""
+SELECT doc_id, {Q.digest('p')} FROM (SELECT doc_id, {Q.distinct("CASE WHEN len(body) = 0 OR length(array_to_string(body, ' ')) < 900 THEN list_concat(body, rest) ELSE body END")} AS p FROM (
+SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN {Q.parts('string_split(text, chr(10))')} ELSE [] END AS body,
+  {Q.parts(r"string_split(regexp_replace(regexp_replace(f, '\n\s*\n', chr(1), 'g'), '([.!?।])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))")} AS rest
+FROM (SELECT *, CASE WHEN doc_id % 2 = 0 AND {Q.trim('text')} <> '' THEN text || chr(10) || chr(10) ELSE '' END || source || ' said so. Then More.' AS f FROM documents)))""")
 def article_paragraphs(spark, sf):
-    """A page's paragraphs, with fallbacks where the body is short; tests hold it against a loop."""
+    """A page's paragraphs, with fallbacks where the body is short; tests hold it against a loop, too."""
     body = F.when(F.col("doc_id") % 3 != 0, T.body_paragraphs(T.body_json(T.paragraphs(F.col("text"), "\n"))))
     medium = F.when(F.col("doc_id") % 2 == 0, F.col("text"))
     parts = T.article_paragraphs(body, medium, F.lit(" "), F.concat("source", F.lit(" said so. Then More.")))
@@ -223,4 +234,4 @@ SELECT doc_id, doc_id IN (SELECT doc_id FROM d) AS is_duplicate FROM documents""
 def recently_seen(spark, sf, days: int = 7):
     """Texts alike to one that came in the seven days before; a document an hour."""
     ts = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(F.col("doc_id") % 4999).cast("int"))
-    return recent_duplicates(_docs(spark, sf).select("doc_id", ts.alias("ts"), "text"), days)
+    return recent_duplicates(table(spark, sf, "documents").select("doc_id", ts.alias("ts"), "text"), days)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
+from newsloom.operators.storage import spread
 from newsloom.sources.tables import table
 
+from . import sqltext as Q
 from .crosswalk import AS_OF, articles
 from .registry import query
 
@@ -16,7 +18,7 @@ def _sql_rules(rules: dict[str, str], otherwise: str) -> str:
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -74,9 +76,9 @@ def paragraph_dedup(spark, sf):
     return _docs(spark, sf).select("doc_id", kept.alias("k")).select("doc_id", F.size("k").cast("long").alias("n"), F.sha2(F.array_join("k", "\n"), 256).alias("text_sha256"))
 
 
-@query("t9_paragraph_containment")
+@query("t9_paragraph_containment", f"SELECT doc_id, len({Q.uncontained('p')})::BIGINT AS n FROM (SELECT doc_id, {Q.parts('string_split(text, chr(10))')} AS p FROM documents)")
 def paragraph_containment(spark, sf):
-    """An ordered fold within a document; tests hold it against a loop."""
+    """An ordered fold within a document; tests hold it against a loop, too."""
     kept = T.uncontained_paragraphs(T.paragraphs(F.col("text"), "\n"))
     return _docs(spark, sf).select("doc_id", F.size(kept).cast("long").alias("n"))
 
@@ -161,9 +163,11 @@ def public_url(spark, sf):
     return articles(spark, sf).select("id", T.public_url("https://example.com//", F.col("id").cast("string")).alias("url"))
 
 
-@query("t27_script_chunks")
+@query("t27_script_chunks", rf"""
+SELECT doc_id, len(c)::BIGINT AS n_chunks, sha256(array_to_string(c, chr(10))) AS chunks_sha256 FROM (SELECT doc_id, CASE WHEN t = '' THEN ['Video update.'] ELSE {Q.packed('list_transform(' + Q.at_ends('t', '.!?') + ', lambda s: ' + Q.cut('s', 180) + ')', 180, 1)}[1:40] END AS c
+FROM (SELECT doc_id, {Q.trim(r"regexp_replace(text, '\s+', ' ', 'g')")} AS t FROM documents))""")
 def script_chunks(spark, sf):
-    """An ordered fold within a text; tests hold it against a loop."""
+    """An ordered fold within a text; tests hold it against a loop, too."""
     return _docs(spark, sf).select("doc_id", T.script_chunks(F.col("text"), 180).alias("c")).select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.sha2(F.array_join("c", "\n"), 256).alias("chunks_sha256"))
 
 
