@@ -60,6 +60,6 @@ def discard(*tables: DataFrame) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out where the input has fewer splits than there are cores, as one small file has; large inputs stay as they are."""
+    """Deals rows out where the input has less than half as many splits as there are cores, as one small file has; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
