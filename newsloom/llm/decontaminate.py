@@ -46,6 +46,8 @@ def with_prefix(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
     vocabulary = F.broadcast(vocabulary) if small else vocabulary
     spoken = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
     counts = spoken.join(vocabulary, "word", "left_semi").groupBy("word").count()
+    # as few as the vocabulary; or stored, so that the join splits words which many windows have
+    counts = F.broadcast(counts) if small else stored(counts, "counts")
     places = windows.select("window", "items", F.posexplode("window").alias("offset", "word"))
     ranked = places.join(counts, "word", "left").groupBy("window", "items").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "word", "offset")).alias("least"))
     return ranked.select(F.col("least.word").alias("prefix"), F.col("least.offset").alias("offset"), "window", "items")
