@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, release_memory
+from .common import id_and_text, release_memory, spread
 
 #: Words in each of two caches, and the most characters of a word that is kept there.
 CACHE, CACHED_LENGTH = 300_000, 32
@@ -146,7 +146,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([bpe.decode(x.tolist()) for x in each], pa.string())], names=["doc_id", "ids", "decoded"])
         release_memory()
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return spread(id_and_text(docs)).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def word_bpe_path() -> str:

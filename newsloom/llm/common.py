@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.operators.storage import discard, shared_dir, stored  # noqa: F401  the operators take them from here
+from newsloom.operators.storage import discard, shared_dir, spread, stored  # noqa: F401  the operators take them from here
 
 U64 = np.uint64
 #: Raw megabytes of text that one block holds, on average, while texts have up to GROWS_MB in all.

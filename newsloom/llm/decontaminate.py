@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread, stored
 
 WINDOW = 10
 #: The most benchmark text whose windows are broadcast; a window takes some ten times its share of it.
@@ -58,7 +58,7 @@ def hits(docs: DataFrame, bench: DataFrame, width: int = WINDOW, broadcast_bytes
     doc_id, text_hash, n_words, copies, found array<struct<start,length,items>>: one row for each distinct (doc_id, text),
     how many rows have it, and the places (from 1) where windows occur.
     """
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    docs = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
     small = (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= broadcast_bytes
     windows = stored(with_prefix(windows_of(bench, width), docs, small), "windows")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fold, stored
+from .common import discard, fold, spread, stored
 
 ORDERS = (1, 2, 3, 4)
 #: Weight of each length's shared n-grams in the blend.
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang, score = shared.value.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return spread(docs.select("doc_id", "held_out", "text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, test_modulus: int = TEST_MODULUS) -> DataFrame:

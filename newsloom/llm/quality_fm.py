@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, release_memory, stored
+from .common import fold, release_memory, spread, stored
 
 WORD_PLACES = 1 << 14
 BINS = 10
@@ -205,6 +205,6 @@ def quality(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = (), ma
 
 
 def op2_quality_fm(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars"))
     out = docs.select("doc_id", (fold(TEST_MODULUS) == 0).alias("held_out"), quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).alias("score"))
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= KEEP, 1).otherwise(0).alias("predicted"))

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import id_and_text, spread
 
 MARK = "▁"
 #: The characters with Unicode's White_Space property, as the tokenizers library splits at them.
@@ -114,7 +114,7 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
                 scores.append(float(both[1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "n_words", "n_tokens", "best_score"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_words long, n_tokens long, best_score double")
+    return spread(id_and_text(docs)).mapInArrow(run, "doc_id long, n_words long, n_tokens long, best_score double")
 
 
 def piece_path() -> str:
