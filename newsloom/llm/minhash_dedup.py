@@ -5,8 +5,9 @@ estimates their similarity and screens the pairs that bands of MinHash values pr
 
 Documents with equal sets form a class, and only one of them takes part: the least by doc_id (nulls last), then by the row's
 hash, which is its id in all that follows.
-1. Stars: each member of a bucket meets the bucket's least id, its hub. Where the screen passes, both full sets are asked
-   for from the packed blocks; the outcome is the link, and the set's difference from the hub's set.
+1. Stars: each member of a bucket meets the bucket's least id, its hub. Where the screen does not rule out a similarity of
+   NEAR, both full sets are asked for from the packed blocks; the outcome is the link, and the set's difference from the
+   hub's set. NEAR is below the threshold, as copies of one text are often less alike to each other than to that text.
 2. Hub tiles: members of one hub in different components are compared exactly from their differences, as
    |x & y| = |h| - |h - x| - |h - y| + |(x ^ h) & (y ^ h)|. A tile of at most 2 x TILE members emits links that join
    components, never all pairs.
@@ -41,8 +42,8 @@ BINS, SKETCH_BITS = 512, 1024
 DEVIATIONS = 5
 TILE = 512
 CHUNK = 64
-#: Similarity to reach, in hundredths.
-LIKE = 80
+#: Similarity to reach, and the one to a hub from which members are compared by their differences, in hundredths.
+LIKE, NEAR = 80, 30
 
 _draw = np.random.default_rng(20)
 _FACTORS = _draw.integers(0, 2**63, BANDS * BAND_ROWS).astype(U64) * U64(2) + U64(1)
@@ -266,7 +267,7 @@ def _clusters(docs: DataFrame, width: int, like: int) -> tuple[_Corpus, DataFram
     hubs = stored(entries.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "hubs")
     entries = stored(entries.join(hubs, "key").where(F.col("id") != F.col("hub")), "buckets")  # only buckets with company
     stars = entries.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(facts.alias("x"), F.col("a") == F.col("x.id")).join(facts.alias("y"), F.col("b") == F.col("y.id")).where(_screened("x", "y", like)).select("a", "b")
+    stars = stars.join(facts.alias("x"), F.col("a") == F.col("x.id")).join(facts.alias("y"), F.col("b") == F.col("y.id")).where(_screened("x", "y", min(like, NEAR))).select("a", "b")
     compared = stored(corpus.compared(stars), "stars")
     links = compared.where("alike").select("u", "v")
     comps = stored(components(links), "components")
