@@ -60,6 +60,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out where the input has less than half as many splits as there are cores, as one small file has; others stay as they are."""
+    """
+    Deals rows out where the input has less than half as many splits as there are cores, as one small file has; others stay
+    as they are, and so do inputs with shuffles of their own, which would have to run to tell.
+    """
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
