@@ -137,7 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, meta: Column, sample: int = SAMPLE,
     spark = docs.sparkSession
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels["quality"].cast("double").alias("q")).dropna().groupBy("id").agg((F.avg("q") >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # at most `sample` pairs of numbers: broadcast
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), meta.alias("meta")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), meta.alias("meta")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    # of rows with one id the least by text and metadata: `sample` bounds the rows, too
+    rows = found.groupBy("doc_id", "y").agg(F.min(F.struct("text", "meta")).alias("row")).select("doc_id", "row.text", "row.meta", "y")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

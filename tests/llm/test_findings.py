@@ -76,3 +76,18 @@ def test_unigram_counts_like_the_library(spark):
     for r in unigram_counts.op9_unigram_counts(spark, SF).collect():
         words = unigram_counts.WORDS.findall(texts[r.doc_id] or "")
         assert (r.n_words, r.n_tokens) == (len(words), sum(len(theirs.encode(unigram_counts.MARK + w).ids) for w in words))
+
+
+def test_quality_learns_each_id_once(spark, monkeypatch):
+    """The bound on labelled rows holds whatever the copies of one id, and the order of rows doesn't matter."""
+    from pyspark.sql import functions as F
+
+    from newsloom.llm import quality_fm
+
+    rows = [(1, f"copy {i % 3}") for i in range(5000)] + [(i, f"text {i}") for i in range(2, 39)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 39)], "doc_id long, quality int")
+    learnt = []
+    keep = quality_fm.stored
+    monkeypatch.setattr(quality_fm, "stored", lambda df, name: (learnt.append((keep(df, name))), learnt[-1])[1])
+    weights = [quality_fm.fit(docs_of(spark, r), labels, F.array(F.lit("m")), sample=s).all for r, s in ((rows, 20), (rows, 100), (rows[::-1], 100))]
+    assert [t.count() for t in learnt] == [20, 38, 38] and (weights[1] == weights[2]).all()
