@@ -102,13 +102,13 @@ class _Tree:
         self.tree, self.node, self.plane, self.place, self.hubs = tree, node, plane, place, hubs
 
     @classmethod
-    def fit(cls, x: np.ndarray, ids: np.ndarray, tree: int, node: int, n: int, margin: float, near: float, leaf: int) -> _Tree:
+    def fit(cls, x: np.ndarray, ids: np.ndarray, tree: int, node: int, n: int, margin: float, near: float, leaf: int, depth: int) -> _Tree:
         """`x`: the sample, `n`: the node's vectors. Without overlap (tree 0) the dense places get hubs."""
-        grown = cls(tree, node, np.full(2**DEPTH, -1, np.int8), np.zeros(2**DEPTH), {})
+        grown = cls(tree, node, np.full(2**depth, -1, np.int8), np.zeros(2**depth), {})
         open_ = [(1, np.arange(len(x)))]
         while open_:
             at, own = open_.pop()
-            if at >= 2**DEPTH or len(own) * n <= leaf * len(x) or len(own) < 2:
+            if at >= 2**depth or len(own) * n <= leaf * len(x) or len(own) < 2:
                 continue
             best = (math.inf,)
             for p, normal in enumerate(_planes(tree, node, at, x.shape[1])):
@@ -143,7 +143,7 @@ class _Tree:
             at, own = open_.pop()
             if not len(own):
                 continue
-            if at >= 2**DEPTH or self.plane[at] < 0:
+            if at >= len(self.plane) or self.plane[at] < 0:
                 rows.append(own)
                 places.append(np.full(len(own), at))
                 continue
@@ -169,6 +169,7 @@ class _Forest:
     def __init__(self, classes: DataFrame, single: bool, like: float, trees: int, leaf: int):
         self.classes, self.single, self.like, self.trees, self.leaf = classes, single, like, trees, leaf
         self.near = math.sqrt((1 + like) / 2) + ROUNDING  # the cosine of half the angle
+        self.used: list[DataFrame] = []  # tables that may go once what grown() gave has been written
 
     def grown(self, trees: list[int]) -> DataFrame:
         """id, leaf, ball: each vector in its leaves (hashes of tree and way); tree 0 has no overlap, and tells balls."""
@@ -177,11 +178,11 @@ class _Forest:
         while True:
             routed = self._round(open_, sizes)
             counts = stored(routed.where(~F.col("dense")).groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > self.leaf), "nodes")
-            discard(sizes)
-            large = counts.select(F.col("leaf"))
-            done = routed.join(large, "leaf", "left_anti").select("id", "tree", "leaf", "ball")
+            self.used += [sizes, routed]
+            done = routed.join(counts.select("leaf"), "leaf", "left_anti").select("id", "tree", "leaf", "ball")
             out = done if out is None else out.unionByName(done)
             if counts.isEmpty():
+                self.used.append(counts)
                 return out
             sizes = counts.select("tree", F.col("leaf").alias("node"), "n")
             sizes.stored_at = counts.stored_at
@@ -189,13 +190,13 @@ class _Forest:
 
     def _round(self, rows: DataFrame, sizes: DataFrame) -> DataFrame:
         """id, tree, leaf, dense, ball: where `rows` (id, tree, node, v) end by the trees that grow from their nodes."""
-        single, near, leaf, margin = self.single, self.near, self.leaf, partial(_margin, self.like)
+        single, near, leaf, depth, margin = self.single, self.near, self.leaf, DEPTH, partial(_margin, self.like)
 
         def fit(t: pa.Table) -> pa.Table:
             t = t.take(pa.array(np.argsort(t.column("id").to_numpy(), kind="stable")))
             x = _units(t.column("v"), single)
             tree, node, n = (t.column(c)[0].as_py() for c in ("tree", "node", "n"))
-            grown = _Tree.fit(x, t.column("id").to_numpy(), tree, node, n, margin(x.shape[1]), near, leaf)
+            grown = _Tree.fit(x, t.column("id").to_numpy(), tree, node, n, margin(x.shape[1]), near, leaf, depth)
             return pa.table([pa.array([tree], pa.int32()), pa.array([node], pa.int64()), pa.array([grown.dumped()], pa.binary())], names=["tree", "node", "model"])
 
         def route(grown: _Tree, ids: np.ndarray, v: pa.Array) -> list[pa.Array]:
@@ -335,6 +336,7 @@ def near_duplicates(embeddings: DataFrame, like: float = LIKE, key: str = "vec_i
     forest = _Forest(named.select("id", "n", "v"), single, like, trees, leaf)
     balls = stored(forest.grown([0]).where(F.col("ball").isNotNull()).select("id", "ball"), "balls")
     leaves = stored(forest.grown(list(range(1, trees + 1))).select("id", "leaf"), "leaves")
+    discard(*forest.used)
     found = stored(forest.compared(leaves, balls), "found")
 
     links = found.where(F.col("other").isNotNull()).select(F.col("id").alias("u"), F.col("other").alias("v")).unionByName(balls.select(F.col("id").alias("u"), F.col("ball").alias("v")))
