@@ -266,13 +266,16 @@ class _Forest:
         wide = rows.select("id", "n", "v", "ball", "leaves", F.explode("leaves").alias("leaf")).join(size, "leaf")
         wide = wide.withColumn("is_minor", ~(F.col("ball").eqNullSafe(F.col("major")) & F.col("major").isNotNull()))
         own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        columns = ["leaf", "id", "n", "v", "ball", "leaves", "is_minor"]
+        # a leaf that is one tile is sent once
+        wide = wide.withColumn("alone", F.col("tiles") * F.col("minor_tiles") == 1)
+        columns = ["leaf", "id", "n", "v", "ball", "leaves", "is_minor", "alone"]
         as_all = wide.select(*columns, F.lit(False).alias("ask"), own("tiles").alias("i"), F.explode(F.sequence(F.lit(0), F.col("minor_tiles") - 1)).alias("j"))
-        as_minor = wide.where("is_minor").select(*columns, F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), own("minor_tiles").alias("j"))
+        as_minor = wide.where("is_minor AND NOT alone").select(*columns, F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), own("minor_tiles").alias("j"))
 
         def compare(t: pa.Table) -> pa.Table:
             ask = t.column("ask").to_numpy(zero_copy_only=False).astype(bool)
-            a, b = t.filter(pa.array(ask)), t.filter(pa.array(~ask))
+            alone = t.column("alone")[0].as_py()
+            a, b = (t.filter(t.column("is_minor")), t) if alone else (t.filter(pa.array(ask)), t.filter(pa.array(~ask)))
             if not a.num_rows or not b.num_rows:
                 return pa.table([pa.array([], pa.int64())] * 3, names=["id", "gain", "other"])
             leaf = t.column("leaf")[0].as_py()
