@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feeds, health, lifecycle, publishing, reading, texts  # noqa: F401  they register their queries
+from . import feeds, health, job_log, lifecycle, publishing, reading, texts  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
