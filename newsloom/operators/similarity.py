@@ -8,28 +8,31 @@ from pyspark.sql.window import Window
 
 from newsloom.functions import text as T
 
+from .components import rejected
 from .storage import spread, stored
 
 
 def token_classes(docs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
     """
-    (doc_id, class_id, *more) of the rows with tokens and (class_id, tokens, n_rows): rows of equal token sets share a
-    class, named by its least id. Tokens are 64-bit hashes, sorted; classes are told apart by a digest of the words.
-    `docs` has doc_id, text and the columns `more`.
+    (doc_id, *more, key) of all rows and (class_id, key, least, tokens, n_rows): rows of equal token sets share a class. A class
+    is known by `key`, a digest of its words (null: no tokens, no class), and numbered by class_id in order of its least
+    doc_id, nulls last, and its key; so ids may be repeated or null, and several classes may have one id. Tokens are 64-bit
+    hashes, sorted. `docs` has doc_id, text and the columns `more`.
     """
     words = T.tokens(F.coalesce("text", F.lit("")))
-    rows = spread(docs.select("doc_id", "text", *more)).select("doc_id", *more, F.array_sort(words).alias("words")).where(F.size("words") > 0)
+    rows = spread(docs.select("doc_id", "text", *more)).select("doc_id", *more, F.array_sort(words).alias("words"))
+    some = F.size("words") > 0
     hashes = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
-    rows = stored(rows.select("doc_id", *more, F.sha2(F.array_join("words", " "), 256).alias("key"), hashes.alias("tokens")), "tokens")
-    classes = rows.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_rows"), F.first("tokens").alias("tokens"))
-    classes = stored(classes, "classes")
-    member = rows.select("doc_id", *more, "key").join(classes.select("key", "class_id"), "key").drop("key")
-    return member, classes.select("class_id", "tokens", "n_rows")
+    rows = stored(rows.select("doc_id", *more, F.when(some, F.sha2(F.array_join("words", " "), 256)).alias("key"), F.when(some, hashes).alias("tokens")), "tokens")
+    classes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows"), F.first("tokens").alias("tokens"))
+    # sorted by range, so that the numbers ascend
+    classes = stored(classes.orderBy(F.col("least").asc_nulls_last(), "key").withColumn("class_id", F.monotonically_increasing_id()), "classes")
+    return rows.select("doc_id", *more, "key"), classes
 
 
 def similar_classes(classes: DataFrame, hundredths: int = 70) -> DataFrame:
     """
-    (a, b), a < b: classes whose sets are alike. Tokens are ranked rare first; two such sets share one of their first
+    (a, b), a < b: classes whose sets are alike, by class_id. Tokens are ranked rare first; two such sets share one of their first
     n - ceil(n * hundredths / 100) + 1 tokens, their sizes are as near, and behind the first token they share enough others
     follow in both (positional bound). Candidates are confirmed on the whole sets. Both joins on a token read stored tables, so
     that Spark splits the tokens which many sets have.
@@ -53,38 +56,36 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, hundredths: int = 70) -> DataFrame:
-    """doc_id, class_id (null without tokens), n_links: how many other rows are alike, copies among them."""
-    member, classes = token_classes(docs)
+    """doc_id, class_id (the class's least doc_id; null without tokens), n_links: how many other rows are alike, copies among them. A row for each of `docs`."""
+    rows, classes = token_classes(docs)
     pairs = stored(similar_classes(classes, hundredths), "pairs")
     size = classes.select("class_id", "n_rows")
     links = _both_ways(pairs).join(size.withColumnRenamed("class_id", "b"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n_rows").alias("others"))
-    total = size.join(links, "class_id", "left").select("class_id", (F.col("n_rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return docs.select("doc_id").join(member, "doc_id", "left").join(total, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    total = classes.select("class_id", "key", "least", "n_rows").join(links, "class_id", "left").select("key", F.col("least").alias("class_id"), (F.col("n_rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(stored(total, "links"), "key", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def accepted(docs: DataFrame, hundredths: int = 70, standing: Column | None = None) -> DataFrame:
     """
-    doc_id, is_accepted: in order of doc_id a row is taken unless one taken before is alike. Rows that are `standing` were
-    taken before all others. Of a class only the first row can be taken. Each round takes the classes without open earlier
-    neighbours and settles theirs; what is settled leaves the links, and when none is left the rest is taken.
+    doc_id, is_accepted, a row for each of `docs`: in order of doc_id (nulls last) a row is taken unless one taken before is
+    alike. Rows that are `standing` were taken before all others. Of a class only rows with its least id can be taken; those with
+    one id and equal tokens are one item. Classes are settled by components (see `rejected`).
     """
-    rows = docs.select("doc_id", "text", (F.coalesce(standing, F.lit(False)) if standing is not None else F.lit(False)).alias("standing"))
-    member, classes = token_classes(rows, "standing")
+    flag = F.coalesce(standing, F.lit(False)) if standing is not None else F.lit(False)
+    rows, classes = token_classes(docs.select("doc_id", "text", flag.alias("standing")), "standing")
     pairs = stored(similar_classes(classes, hundredths), "pairs")
-    kept = stored(member.where("standing").select("class_id").distinct(), "kept") if standing is not None else classes.select("class_id").limit(0)
-    out, open_ = kept.limit(0), pairs
+    known, out = classes.select("class_id", "key", "least"), None
     if standing is not None:
         # standing classes settle their neighbours, whatever the order of ids
-        own = kept.select(F.col("class_id").alias("a"))
-        out = stored(_both_ways(pairs).join(own, "a", "left_semi").select(F.col("b").alias("class_id")).distinct().join(kept, "class_id", "left_anti"), "rejected")
-        open_ = _without(_without(pairs, out), kept)
-    while not (open_ := stored(open_, "open")).isEmpty():
-        first = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        rejected = stored(open_.join(first, "a").select(F.col("b").alias("class_id")).distinct(), "rejected")
-        out, open_ = out.unionByName(rejected), _without(open_, rejected)
-    settled = classes.select("class_id").join(out.distinct(), "class_id", "left_anti").join(kept, "class_id", "left_anti").select("class_id", F.lit(True).alias("free"))
-    of_class = member.join(settled, "class_id", "left").select("doc_id", (F.col("standing") | (F.coalesce("free", F.lit(False)) & (F.col("doc_id") == F.col("class_id")))).alias("is_accepted"))
-    return docs.select("doc_id").join(of_class, "doc_id", "left").select("doc_id", F.coalesce("is_accepted", F.lit(True)).alias("is_accepted"))
+        kept = rows.where("standing AND key IS NOT NULL").select("key").distinct().join(known, "key").select("class_id")
+        kept = stored(kept, "kept")
+        out = stored(_both_ways(pairs).join(kept.withColumnRenamed("class_id", "a"), "a", "left_semi").select(F.col("b").alias("class_id")).distinct().unionByName(kept).distinct(), "settled")
+        pairs = _without(pairs, out)
+    gone = rejected(pairs).select(F.col("id").alias("class_id"))
+    gone = (gone if out is None else gone.unionByName(out)).distinct()
+    free = stored(known.join(gone, "class_id", "left_anti").select("key", "least", F.lit(True).alias("free")), "free")
+    first = F.coalesce("free", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("least"))
+    return rows.join(free, "key", "left").select("doc_id", (F.col("key").isNull() | F.col("standing") | first).alias("is_accepted"))
 
 
 def _without(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -95,14 +96,17 @@ def _without(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def recent_duplicates(docs: DataFrame, days: int = 7, hundredths: int = 70) -> DataFrame:
     """
-    doc_id, is_duplicate: whether a row that came up to `days` days before is alike. `docs`: doc_id, ts, text. Rows are not
-    paired. Of each class and hour only the first and last times of rows alike to it are kept: the first tells what came
-    earlier in the same hour, the last what came late enough in the hour `days` before, and between the two any hour with
-    such rows will do. So a window's partition has two spans of `days` in hours, however many rows a class has.
+    doc_id, is_duplicate, a row for each of `docs`: whether a row that came up to `days` days before is alike. `docs`: doc_id, ts,
+    text; rows without a time are no duplicates, nor make others so. Rows are not paired. Of each class and hour only the
+    first and last times of rows alike to it are kept: the first tells what came earlier in the same hour, the last what came
+    late enough in the hour `days` before, and between the two any hour with such rows will do. So a window's partition has
+    two spans of `days` in hours, however many rows a class has.
     """
-    member, classes = token_classes(docs.select("doc_id", "text", F.col("ts").cast("timestamp").alias("ts")), "ts")
+    rows, classes = token_classes(docs.select("doc_id", "text", F.col("ts").cast("timestamp").alias("ts")), "ts")
     hour, span = 3_600_000_000, 24 * days
-    member = stored(member.select("doc_id", "class_id", F.unix_micros("ts").alias("at")).withColumn("hour", F.floor(F.col("at") / hour)), "members")
+    named = rows.join(classes.select("key", "class_id"), "key", "left").select("doc_id", "class_id", F.unix_micros("ts").alias("at"))
+    named = stored(named.withColumn("hour", F.floor(F.col("at") / hour)), "members")
+    member = named.where(F.col("class_id").isNotNull() & F.col("at").isNotNull())
     pairs = stored(_both_ways(similar_classes(classes, hundredths)), "pairs")
     own = member.groupBy("class_id", "hour").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     near = own.withColumnRenamed("class_id", "b").join(pairs, "b").select(F.col("a").alias("class_id"), "hour", "first", "last")
@@ -113,5 +117,4 @@ def recent_duplicates(docs: DataFrame, days: int = 7, hundredths: int = 70) -> D
     seen = spans.withColumns({"between": F.count("*").over(back.rangeBetween(1 - span, -1)) > 0, "late": F.max("last").over(back.rangeBetween(-span, -span))})
     seen = stored(seen.where(F.col("span") == here).select("class_id", "hour", "first", "between", "late"), "seen")
     earlier = (F.col("first") < F.col("at")) | F.col("between") | F.coalesce(F.col("late") >= F.col("at") - span * hour, F.lit(False))
-    found = member.join(seen, ["class_id", "hour"]).select("doc_id", earlier.alias("is_duplicate"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
+    return named.join(seen, ["class_id", "hour"], "left").select("doc_id", F.coalesce(earlier, F.lit(False)).alias("is_duplicate"))

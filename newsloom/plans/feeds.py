@@ -232,22 +232,22 @@ def auto_approve(spark, sf):
 
 TOKENS_SQL = """
 WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: length(x) > 4))) AS t FROM documents),
-c AS (SELECT t, min(doc_id) AS id, count(*) AS n FROM t WHERE len(t) > 0 GROUP BY t),
-e AS (SELECT id, len(t) AS n, unnest(t) AS w FROM c),
-l AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.w = b.w AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 100 >= (a.n + b.n - count(*)) * 70)
+c AS (SELECT t, min(doc_id) AS id, count(*) AS n, row_number() OVER (ORDER BY min(doc_id) NULLS LAST, sha256(array_to_string(t, ' '))) AS k FROM t WHERE len(t) > 0 GROUP BY t),
+e AS (SELECT k, len(t) AS n, unnest(t) AS w FROM c),
+l AS (SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.w = b.w AND a.k <> b.k GROUP BY a.k, b.k, a.n, b.n HAVING count(*) * 100 >= (a.n + b.n - count(*)) * 70)
 """
 
 
-@query("j14_near_duplicates", TOKENS_SQL + "SELECT doc_id, c.id AS class_id, coalesce(c.n - 1 + coalesce(o.n, 0), 0)::BIGINT AS n_links FROM t LEFT JOIN c USING (t) LEFT JOIN (SELECT l.a AS id, sum(c.n) AS n FROM l JOIN c ON c.id = l.b GROUP BY l.a) o ON o.id = c.id")
+@query("j14_near_duplicates", TOKENS_SQL + "SELECT doc_id, c.id AS class_id, coalesce(c.n - 1 + coalesce(o.n, 0), 0)::BIGINT AS n_links FROM t LEFT JOIN c USING (t) LEFT JOIN (SELECT l.a AS k, sum(c.n) AS n FROM l JOIN c ON c.k = l.b GROUP BY l.a) o ON o.k = c.k")
 def near_duplicate_links(spark, sf):
     return near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query("x7_greedy_dedup", TOKENS_SQL.replace("WITH t AS", "WITH RECURSIVE t AS") + """
-, nb AS MATERIALIZED (SELECT c.id, row_number() OVER (ORDER BY c.id) AS k, coalesce(x.b, []) AS near FROM c LEFT JOIN (SELECT b AS id, list(a) AS b FROM l WHERE a < b GROUP BY b) x USING (id)),
-r(k, taken) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT nb.k, CASE WHEN list_has_any(taken, near) THEN taken ELSE list_append(taken, nb.id) END FROM r JOIN nb ON nb.k = r.k + 1),
-f AS (SELECT unnest(taken) AS id FROM (SELECT taken FROM r ORDER BY k DESC LIMIT 1))
-SELECT doc_id, c.id IS NULL OR (c.id = doc_id AND doc_id IN (SELECT id FROM f)) AS is_accepted FROM t LEFT JOIN c USING (t)""")
+, nb AS MATERIALIZED (SELECT c.k, coalesce(x.b, []) AS near FROM c LEFT JOIN (SELECT b AS k, list(a) AS b FROM l WHERE a < b GROUP BY b) x USING (k)),
+r(k, taken) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT nb.k, CASE WHEN list_has_any(taken, near) THEN taken ELSE list_append(taken, nb.k) END FROM r JOIN nb ON nb.k = r.k + 1),
+f AS (SELECT unnest(taken) AS k FROM (SELECT taken FROM r ORDER BY k DESC LIMIT 1))
+SELECT doc_id, c.k IS NULL OR (c.id IS NOT DISTINCT FROM doc_id AND c.k IN (SELECT k FROM f)) AS is_accepted FROM t LEFT JOIN c USING (t)""")
 def greedy_dedup(spark, sf):
     """Sequential acceptance; tests hold it against a loop, too."""
     return accepted(table(spark, sf, "documents").select("doc_id", "text"))

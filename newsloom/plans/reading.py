@@ -227,10 +227,10 @@ def spaced_series(spark, sf, n: int = 38):
 
 
 @query("x3_recent_duplicates", TOKENS_SQL + """
-, p AS (SELECT doc_id, c.id AS class, TIMESTAMP '2024-01-01' + to_hours((doc_id % 4999)::INT) AS ts FROM t JOIN c USING (t)),
-s AS (SELECT a, b FROM l UNION ALL SELECT id, id FROM c),
-d AS (SELECT DISTINCT x.doc_id FROM p x JOIN s ON s.a = x.class JOIN p y ON y.class = s.b AND y.ts < x.ts AND y.ts >= x.ts - INTERVAL 7 DAY)
-SELECT doc_id, doc_id IN (SELECT doc_id FROM d) AS is_duplicate FROM documents""")
+, p AS (SELECT doc_id, c.k AS class, TIMESTAMP '2024-01-01' + to_hours((doc_id % 4999)::INT) AS ts FROM t JOIN c USING (t)),
+s AS (SELECT a, b FROM l UNION ALL SELECT k, k FROM c),
+d AS (SELECT DISTINCT x.class, x.ts FROM p x JOIN s ON s.a = x.class JOIN p y ON y.class = s.b AND y.ts < x.ts AND y.ts >= x.ts - INTERVAL 7 DAY)
+SELECT t.doc_id, d.class IS NOT NULL AS is_duplicate FROM t LEFT JOIN c USING (t) LEFT JOIN d ON d.class = c.k AND d.ts = TIMESTAMP '2024-01-01' + to_hours((t.doc_id % 4999)::INT)""")
 def recently_seen(spark, sf, days: int = 7):
     """Texts alike to one that came in the seven days before; a document an hour."""
     ts = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(F.col("doc_id") % 4999).cast("int"))
