@@ -50,12 +50,16 @@ def _greedy(t: pa.Table) -> pa.Table:
 def rejected(links: DataFrame, most: int = MOST) -> DataFrame:
     """
     (id) of the nodes that are not taken when nodes, in their order, are taken unless a neighbour taken before is there.
-    `links`: a, b; a < b. A component is settled in one task. One with more links than `most` is settled up to the node
-    that about so many of its links lead to or stay below, which settles the neighbours of what was taken, too; the rest
-    falls into components anew. So rounds grow with the links of the largest component by `most`, not with its length.
+    `links`: a, b; a < b. Up to `most` links are settled in one task, and of more each component in one. A component with more
+    links than `most` is settled up to the node that about so many of its links lead to or stay below, which settles the
+    neighbours of what was taken, too; the rest falls into components anew. So rounds grow with the links of the largest
+    component by `most`, not with its length.
     """
     open_, out = stored(links.select("a", "b").distinct(), "open"), None
-    while not open_.isEmpty():
+    while n := open_.count():
+        if n <= most:
+            found = stored(open_.withColumn("all", F.pmod("a", F.lit(1))).groupBy("all").applyInArrow(_greedy, "id long"), "rejected")
+            return found if out is None else out.unionByName(found)
         united = stored(components(open_), "united")
         of = stored(open_.join(united.withColumnRenamed("id", "a"), "a"), "open")
         large = stored(of.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most), "large")
