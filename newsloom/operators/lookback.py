@@ -79,10 +79,10 @@ class LookBack:
                 if day.startswith("day=") and date.fromisoformat(day.removeprefix("day=")) < before:
                     deleted(self.spark, f"{self.path}/{name}/{day}")
 
-    def repeated(self, rows: DataFrame, key: str, without: str | None = None) -> DataFrame:
+    def repeated(self, rows: DataFrame, key: str, without: str | None = None, ties: bool = False) -> DataFrame:
         """
-        `key` and is_repeat, a row for each of `rows` (key, at, text): whether a text in the index that came before it, up to
-        `days` days, is alike. What the batch `without` wrote doesn't count.
+        `key` and is_repeat, a row for each of `rows` (key, at, text): whether a text in the index that came before it (with `ties`
+        also at the same time), up to `days` days, is alike. What the batch `without` wrote doesn't count.
         """
         keyed = stored(self._keyed(rows, key), "keyed")
         first, last = keyed.where(F.col("key").isNotNull()).agg(F.min("day"), F.max("day")).first()
@@ -107,5 +107,7 @@ class LookBack:
         times = times.groupBy("a", F.floor(F.col("t.first") / HOUR).alias("hour")).agg(F.min("t.first").alias("first"), F.max("t.last").alias("last"))
         times = stored(times.groupBy(F.col("a").alias("key")).agg(F.collect_list(F.struct("first", "last")).alias("times")), "times")
         span = F.lit(self.days * 24 * HOUR)
-        before = F.exists("times", lambda t: (t["first"] < F.col("at")) & (t["last"] >= F.col("at") - span))
+        discard(own, pairs, alike)
+        earlier = (lambda t: t["first"] <= F.col("at")) if ties else (lambda t: t["first"] < F.col("at"))
+        before = F.exists("times", lambda t: earlier(t) & (t["last"] >= F.col("at") - span))
         return keyed.join(times, "key", "left").select(key, F.coalesce(before, F.lit(False)).alias("is_repeat"))

@@ -169,3 +169,25 @@ def test_rolling_inventory_streams_as_it_counts_tables(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("rolled").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("rolled").collect())) == sorted(map(tuple, rolling_inventory(events, "event_type").collect()))
+
+
+def test_faults_are_kept_and_dead_sources_skipped(spark, tmp_path):
+    from newsloom.streaming.feeds import dead_sources, revive, source_states
+
+    feed, out = Feed(spark, tmp_path), str(tmp_path / "out")
+    bad = {"source_id": "gone", "error": "getaddrinfo ENOTFOUND feeds.example", "item_pos": 0}
+    slow = {"source_id": "slow", "error": "timeout of 8000ms", "item_pos": 0}
+    feed.drop(item(1), item(2, source="slow"), bad, slow, {"source_id": "s", "content": "x", "item_pos": 3}, more='{"title": "half\n')
+    assert feed.run(as_of=datetime(2024, 1, 1)) == [1, 2]
+    held = {(r.source_id, r.fault, r.line) for r in spark.read.parquet(f"{out}-quarantine").collect()}
+    assert {(s, f) for s, f, _ in held} == {("gone", "fetch failed: " + bad["error"]), ("slow", "fetch failed: timeout of 8000ms"), ("s", "neither title nor link"), (None, "not an item in JSON")}
+    assert '{"title": "half' in {line for _, _, line in held}
+    states = {r.source_id: (r.last_fetched_at, r.n_items, r.n_faults, r.last_error, r.is_dead) for r in source_states(spark, out).collect()}
+    assert states == {"s": (datetime(2024, 1, 1), 1, 1, None, False), "slow": (datetime(2024, 1, 1), 1, 1, slow["error"], False), "gone": (None, 0, 1, bad["error"], True)}
+    feed.drop(item(5, source="gone"), item(6, source="slow"))
+    assert feed.run(as_of=datetime(2024, 1, 2)) == [1, 2, 6] and [r.source_id for r in dead_sources(spark, out).collect()] == ["gone"]
+    assert spark.read.parquet(f"{out}-quarantine").where("fault = 'source is off'").count() == 1
+    assert {r.source_id: r.last_fetched_at for r in source_states(spark, out).collect()} == {"s": datetime(2024, 1, 1), "slow": datetime(2024, 1, 2), "gone": None}
+    revive(spark, out, "gone")
+    feed.drop(item(7, source="gone"))
+    assert feed.run(as_of=datetime(2024, 1, 3)) == [1, 2, 6, 7] and dead_sources(spark, out).count() == 0
