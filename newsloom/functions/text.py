@@ -124,13 +124,14 @@ def paragraph_key(p: Column) -> Column:
 
 
 def distinct_paragraphs(parts: Column) -> Column:
-    """The first of each key stays; parts with an empty key go."""
-    keyed = F.transform(parts, lambda p: F.struct(paragraph_key(p).alias("key"), p.alias("p")))
-    start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("out"))
-    add = lambda acc, x: F.when((x["key"] == "") | F.array_contains(acc["keys"], x["key"]), acc).otherwise(
-        F.struct(F.concat(acc["keys"], F.array(x["key"])).alias("keys"), F.concat(acc["out"], F.array(x["p"])).alias("out"))
-    )
-    return F.aggregate(keyed, start, add, lambda acc: acc["out"])
+    """
+    The first of each key stays; parts with an empty key go. Sorted by key and place, a key's first part is the one that follows
+    another key, so a text of n parts takes n log n steps.
+    """
+    keyed = F.array_sort(F.transform(parts, lambda p, i: F.struct(paragraph_key(p).alias("key"), i.alias("i"), p.alias("p"))))
+    first = lambda x: F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: (F.get(x, i - 1)["key"] != "") & ((i == 1) | (F.get(x, i - 2)["key"] != F.get(x, i - 1)["key"])))
+    kept = lambda x: F.when(F.size(x) > 0, F.transform(F.array_sort(F.transform(first(x), lambda i: F.struct(F.get(x, i - 1)["i"].alias("i"), F.get(x, i - 1)["p"].alias("p")))), lambda y: y["p"])).otherwise(F.array().cast("array<string>"))
+    return F.element_at(F.transform(F.array(keyed), kept), 1)
 
 
 def uncontained_paragraphs(parts: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
+from newsloom.operators.lookback import LookBack
 from newsloom.operators.relational import first_by_key
 from newsloom.operators.similarity import recent_duplicates
-from newsloom.operators.storage import spread
+from newsloom.operators.storage import shared_dir, spread
 from newsloom.sources.tables import table
 
 from . import sqltext as Q
@@ -15,7 +18,7 @@ from .countries import countries, sql_values
 from .crosswalk import AS_OF, articles, jobs
 from .feeds import TOKENS_SQL
 from .health import HEALTH_SQL, content_health
-from .registry import query
+from .registry import SQL, query
 
 
 def _docs(spark, sf):
@@ -117,10 +120,13 @@ def locale_language(spark, sf):
     return _docs(spark, sf).select("doc_id", T.locale_language(locale, stored).alias("language"))
 
 
-@query("u6_country_languages", f"SELECT code, array_to_string(list_sort(list_distinct(list_filter(list_concat(['en', language], extra), lambda x: list_contains({_CODES}, x)))), ',') AS languages FROM {sql_values()}")
+@query("u6_country_languages", f"""
+WITH s AS (SELECT source, min(lang) AS own, list(DISTINCT lang) AS extra FROM documents GROUP BY source)
+SELECT source, array_to_string(list_sort(list_distinct(list_filter(list_concat(['en', own], extra), lambda x: list_contains({_CODES}, x)))), ',') AS languages FROM s""")
 def country_languages(spark, sf):
-    """The languages that a country's readers are offered."""
-    return countries(spark).select("code", F.array_join(F.array_sort(T.country_languages(F.col("language"), F.col("extra"))), ",").alias("languages"))
+    """The languages that a source's readers are offered: the default, its first and all further ones, as far as they are supported."""
+    s = _docs(spark, sf).groupBy("source").agg(F.min("lang").alias("own"), F.collect_set("lang").alias("extra"))
+    return s.select("source", F.array_join(F.array_sort(T.country_languages(F.col("own"), F.col("extra"))), ",").alias("languages"))
 
 
 @query("j19_default_language", f"""
@@ -135,13 +141,13 @@ def default_language(spark, sf):
     return out.select("code", T.default_language(F.col("preferred"), F.col("yes"), F.col("default_yes")).alias("language"))
 
 
-@query("f14_same_region", f"WITH c AS (SELECT * FROM {sql_values()}) SELECT a.code, b.slug AS neighbour, row_number() OVER (PARTITION BY a.code ORDER BY b.place) AS rank FROM c a JOIN c b ON a.region = b.region AND a.slug <> b.slug QUALIFY rank <= 8")
-def same_region(spark, sf):
-    """Other countries of a country's region, the first eight."""
-    c = countries(spark)
-    other = c.select("region", F.col("slug").alias("neighbour"), F.col("place").alias("at"))
-    pairs = c.select("code", "slug", "region").join(other, "region").where(F.col("slug") != F.col("neighbour"))
-    return first_by_key(pairs, ["code"], ["at"], 8, "rank").select("code", "neighbour", "rank")
+@query("f14_same_region", "SELECT a.n_name AS nation, b.n_name AS neighbour, row_number() OVER (PARTITION BY a.n_nationkey ORDER BY b.n_nationkey) AS rank FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey QUALIFY rank <= 8")
+def same_region(spark, sf, most: int = 8):
+    """Other nations of a nation's region, the first eight: of a region only one more than that can be among them."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("nation"), F.col("n_regionkey").alias("region"))
+    first = first_by_key(n.select("region", F.col("id").alias("other"), F.col("nation").alias("neighbour")), ["region"], ["other"], most + 1)
+    pairs = n.join(first, "region").where(F.col("id") != F.col("other"))
+    return first_by_key(pairs, ["id"], ["other"], most, "rank").select("nation", "neighbour", "rank")
 
 
 @query("l6_languages_in_order", HEALTH_SQL + "SELECT category, string_agg(language, ',' ORDER BY language) AS languages FROM h WHERE below_min GROUP BY category")
@@ -218,12 +224,15 @@ def country_age(spark, sf):
     return _aged(spark, sf, just_now=-(2**31))
 
 
-@query("d6_spaced_series", "SELECT i::BIGINT AS place, strftime(TIMESTAMP '2001-08-02' - to_hours(3 * i::INT), '%Y-%m-%d %H:%M:%S') AS published FROM range(0, 38) t(i)")
-def spaced_series(spark, sf, n: int = 38):
-    """Descending times, three hours apart."""
-    step = F.make_dt_interval(hours=F.lit(3))
-    times = F.sequence(F.lit(AS_OF), F.lit(AS_OF) - F.make_dt_interval(hours=F.lit(3 * (n - 1))), -step)
-    return spark.range(1).select(F.posexplode(times).alias("place", "ts")).select(F.col("place").cast("long").alias("place"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("published"))
+@query("d6_spaced_series", "SELECT o_orderkey AS id, row_number() OVER w - 1 AS place, strftime(TIMESTAMP '2001-08-02' - to_hours((3 * (row_number() OVER w - 1))::INT), '%Y-%m-%d %H:%M:%S') AS published FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def spaced_series(spark, sf, hours: int = 3):
+    """An author's articles at descending times, three hours apart."""
+    from pyspark.sql.window import Window
+
+    place = (F.row_number().over(Window.partitionBy("author_id").orderBy("id")) - 1).cast("long")
+    rows = articles(spark, sf).select("id", "author_id").withColumn("place", place)
+    at = F.lit(AS_OF) - F.make_dt_interval(hours=(F.col("place") * hours).cast("int"))
+    return rows.select("id", "place", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 
 @query("x3_recent_duplicates", TOKENS_SQL + """
@@ -235,3 +244,13 @@ def recently_seen(spark, sf, days: int = 7):
     """Texts alike to one that came in the seven days before; a document an hour."""
     ts = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(F.col("doc_id") % 4999).cast("int"))
     return recent_duplicates(table(spark, sf, "documents").select("doc_id", ts.alias("ts"), "text"), days)
+
+
+@query("x3_lookback_index", SQL["x3_recent_duplicates"])
+def seen_by_index(spark, sf, days: int = 7):
+    """The same by the persisted index that ingestion uses: all texts are kept in it, then all are looked up."""
+    ts = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(F.col("doc_id") % 4999).cast("int"))
+    rows = table(spark, sf, "documents").select("doc_id", ts.alias("at"), "text")
+    index = LookBack(spark, f"{shared_dir(spark)}/newsloom-index-{uuid.uuid4().hex}", days)
+    index.add(rows, "000")
+    return index.repeated(rows, "doc_id").select("doc_id", F.col("is_repeat").alias("is_duplicate"))
