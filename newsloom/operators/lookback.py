@@ -63,7 +63,8 @@ class LookBack:
         classes = hours.groupBy("key", "day").agg(F.first("tokens").alias("tokens"), F.collect_list(F.struct("first", "last")).alias("hours"))
         classes = stored(classes.withColumn("n", F.size("tokens")).withColumn("batch", F.lit(batch)), "classes")
         for name, table in (("classes", classes.select("key", "n", "tokens", "hours", "day", "batch")), ("postings", self._prefix(classes, "day", "batch").select("token", "at", "n", "key", "day", "batch"))):
-            table.write.mode("append").partitionBy("day", "batch").parquet(f"{self.path}/{name}")
+            # a day's rows in as few files as their size allows; large days are split
+            table.hint("rebalance", "day").write.mode("append").partitionBy("day", "batch").parquet(f"{self.path}/{name}")
         discard(classes)
 
     def remove(self, batch: str) -> None:
