@@ -15,7 +15,7 @@ from .registry import query
 LANGUAGES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-def _languages(spark):
+def languages(spark):
     return spark.createDataFrame([(x,) for x in LANGUAGES], "language string")
 
 
@@ -41,7 +41,7 @@ h AS (SELECT category, language, coalesce(r, 0) AS count_recent, coalesce(t, 0)
 @query("a2_content_health", HEALTH_SQL + "SELECT * FROM h")
 def content_health(spark, sf, hours: int = 720, least: int = 20):
     since = F.lit(AS_OF) - F.make_dt_interval(hours=F.lit(hours))
-    return dense_counts(categorised(spark, sf).where(F.col("status") == "F"), categories(spark, sf).select("category"), _languages(spark), since, least)
+    return dense_counts(categorised(spark, sf).where(F.col("status") == "F"), categories(spark, sf).select("category"), languages(spark), since, least)
 
 
 @query("a15_low_inventory", HEALTH_SQL + "SELECT category, count(*) FILTER (WHERE below_min) AS n_low, count(*) AS n_pairs FROM h GROUP BY category")
