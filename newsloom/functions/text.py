@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,14 +135,48 @@ def distinct_paragraphs(parts: Column) -> Column:
     return F.element_at(F.transform(F.array(keyed), kept), 1)
 
 
-def uncontained_paragraphs(parts: Column) -> Column:
-    """A part goes where its key equals, holds or is held by the key of one that stayed."""
+def _apart(keys) -> list[int]:
+    """Places of the keys that stay: an automaton of all keys finds those that one holds, in time of its length and of what is found."""
+    import ahocorasick
+
+    first: dict[str, int] = {}
+    for i, k in enumerate(keys):
+        if k:
+            first.setdefault(k, i)
+    if not first:
+        return []
+    known = ahocorasick.Automaton()
+    for k, i in first.items():
+        known.add_word(k, i)
+    known.make_automaton()
+    gone, kept = set(), set()
+    for k, i in first.items():
+        if i in gone:
+            continue
+        held = {j for _, j in known.iter(k)}
+        if held.isdisjoint(kept):
+            kept.add(i)
+            gone |= held  # those that come later; i itself is done
+    return sorted(kept)
+
+
+def uncontained_paragraphs(parts: Column, short: int = 64) -> Column:
+    """
+    A part goes where its key equals, holds or is held by the key of one that stayed. Up to `short` parts each is held against those
+    that stayed; more go to tasks' Python as keys, where the work grows with the text and not with the square of its parts.
+    """
+
+    def apart(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: None if k is None else _apart(k))
+
+    many = F.size(parts) > short
+    places = F.pandas_udf(apart, "array<int>")(F.when(many, F.transform(parts, lambda p: paragraph_key(p))))
     keyed = F.transform(parts, lambda p: F.struct(paragraph_key(p).alias("key"), trimmed(p).alias("p")))
     start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("out"))
     add = lambda acc, x: F.when((x["key"] == "") | F.exists(acc["keys"], lambda k: F.contains(k, x["key"]) | F.contains(x["key"], k)), acc).otherwise(
         F.struct(F.concat(acc["keys"], F.array(x["key"])).alias("keys"), F.concat(acc["out"], F.array(x["p"])).alias("out"))
     )
-    return F.aggregate(keyed, start, add, lambda acc: acc["out"])
+    return F.when(many, F.transform(places, lambda i: trimmed(F.get(parts, i)))).otherwise(F.aggregate(keyed, start, add, lambda acc: acc["out"]))
 
 
 def enriched_body(long: Column, medium: Column, short: Column, summary: Column, enough: int = 2400) -> Column:

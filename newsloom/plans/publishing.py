@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.operators.relational import after_attempt, first_by_key, prefix_taken, publishable, requeued, upserted
+from newsloom.operators.storage import stored
 from newsloom.sources.tables import FEED_ITEM, ingested, table
+from newsloom.sources.web_feeds import feed_rows
 
 from .crosswalk import AS_OF, articles, jobs, moment, users
 from .registry import query
@@ -253,6 +255,30 @@ def feed_items(spark, sf):
     return ingested(items).select("source_url", "content_hash", "source_title", moment("published_at").alias("published"), "image_url")
 
 
+@query("s4_web_feeds", f"""
+SELECT feed, row_number() OVER (PARTITION BY feed ORDER BY page_id) - 1 AS item_pos, url AS source_url, sha256(url) AS content_hash, coalesce(nullif(trim({_TITLE}), ''), 'Untitled') AS source_title,
+  strftime(TIMESTAMP '2024-01-02 03:04:05' + to_hours(page_id::INT), '%Y-%m-%d %H:%M:%S') AS published,
+  CASE WHEN page_id % 4 = 0 THEN 'm.png' WHEN page_id % 4 = 1 THEN 't.png' WHEN page_id % 4 = 2 AND feed % 2 = 0 THEN 'e.png' ELSE nullif(regexp_extract(html, '(?i)<img[^>]+src=["'']([^"'']+)["'']', 1), '') END AS image_url
+FROM (SELECT *, page_id // 25 AS feed FROM pages)""")
+def web_feeds(spark, sf):
+    """Pages as feeds of 25 items in XML, every second one Atom, stored as a crawl leaves them, and read into the canonical columns."""
+    k, rss = F.col("page_id") % 4, F.floor(F.col("page_id") / 25) % 2 == 0
+    at = F.lit("2024-01-02 03:04:05").cast("timestamp") + F.make_dt_interval(hours=F.col("page_id").cast("int"))
+    title, url, html = (T.escaped_html(c) for c in (_title(), F.col("url"), F.col("html")))
+    image = F.when(k == 0, '<media:content url="m.png" type="image/png"/>').when(k == 1, '<media:thumbnail url="t.png"/>').otherwise("")
+    enclosure = F.when(k == 2, '<enclosure url="e.png" type="image/png"/>').otherwise("")
+    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><pubDate>"), F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.lit("</pubDate><description>"), html, F.lit("</description>"), image, enclosure, F.lit("</item>"))
+    entry = F.concat(F.lit('<entry><title type="text">'), title, F.lit('</title><link href="'), url, F.lit('"/><updated>'), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('</updated><content type="html">'), html, F.lit("</content>"), image, F.lit("</entry>"))
+    feeds = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 25).alias("drop")).agg(F.array_sort(F.collect_list(F.struct("page_id", F.when(rss, item).otherwise(entry).alias("x")))).alias("i"))
+    inner = F.array_join(F.transform("i", lambda x: x["x"]), "")
+    media = 'xmlns:media="http://search.yahoo.com/mrss/"'
+    whole = F.when(F.col("drop") % 2 == 0, F.concat(F.lit(f'<rss version="2.0" {media}><channel><title>Daily</title>'), inner, F.lit("</channel></rss>"))).otherwise(F.concat(F.lit(f'<feed xmlns="http://www.w3.org/2005/Atom" {media}><title>Daily</title>'), inner, F.lit("</feed>")))
+    crawl = stored(feeds.select("drop", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), whole).alias("document"), F.lit("s").alias("source_id"), F.lit("Daily").alias("source_name")), "crawl")
+    lines = feed_rows(crawl).where("fault IS NULL")
+    items = ingested(lines.withColumn("source_id", F.col("drop").cast("string")))
+    return items.select(F.col("source_id").cast("long").alias("feed"), "item_pos", "source_url", "content_hash", "source_title", moment("published_at").alias("published"), "image_url")
+
+
 @query("s6_source_isolation", "SELECT user_id AS source_id, count(*) FILTER (WHERE event_id % 9 <> 0) AS n_items, count(*) FILTER (WHERE event_id % 9 = 0) AS n_bad FROM events WHERE user_id % 3 <> 0 GROUP BY user_id")
 def source_isolation(spark, sf):
     """Of active sources; a malformed payload is counted against its source and stops no other."""
