@@ -10,7 +10,9 @@ The windows are broadcast only while the benchmark has at most BROADCAST_BYTES o
 are joined by shuffles, whose hot words Spark's skew join splits, and candidates meet the texts by their key.
 
 Words are runs of a-z, 0-9 and characters beyond ASCII, A-Z in lower case. Null and empty texts have none and are clean;
-repeated rows (equal doc_id and text) are searched as one and give a row each; items with equal windows all count.
+repeated rows (equal doc_id and text) are searched as one and give a row each; items with equal windows all count. Items without an id
+count as one item, which no list of ids shows. Without documents there are no rows, without items no hits; further columns are left out
+(the stage keeps them). Texts of any length are searched whole: a row for each of their words.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ def windows_of(bench: DataFrame, width: int) -> DataFrame:
     items = bench.select(bench["item_id"].cast("string").alias("item"), words_of(bench["text"].cast("string")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
     each = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.lit(width)))).alias("window"))
-    return each.groupBy("window").agg(F.collect_set("item").alias("items"))
+    # structs, as a set of plain values leaves null out
+    return each.groupBy("window").agg(F.transform(F.collect_set(F.struct("item")), lambda x: x["item"]).alias("items"))
 
 
 def with_prefix(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:

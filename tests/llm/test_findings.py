@@ -91,3 +91,11 @@ def test_quality_learns_each_id_once(spark, monkeypatch):
     monkeypatch.setattr(quality_fm, "stored", lambda df, name: (learnt.append((keep(df, name))), learnt[-1])[1])
     weights = [quality_fm.fit(docs_of(spark, r), labels, F.array(F.lit("m")), sample=s).all for r, s in ((rows, 20), (rows, 100), (rows[::-1], 100))]
     assert [t.count() for t in learnt] == [20, 38, 38] and (weights[1] == weights[2]).all()
+
+
+def test_items_without_an_id_count_as_one(spark):
+    bench = spark.createDataFrame([(None, "one two"), (None, "two three"), (4, "one two"), (5, None), (None, None)], "item_id long, text string")
+    rows = [(1, "one two three"), (2, "two three"), (3, "one"), (None, "one two")]
+    for most in (decontaminate.BROADCAST_BYTES, 0):
+        got = {r.doc_id: (r.n_hit, r.n_items, r["items"]) for r in decontaminate.report(decontaminate.hits(docs_of(spark, rows), bench, broadcast_bytes=most)).collect()}
+        assert got == {1: (3, 2, ["4", None]), 2: (2, 1, [None]), 3: (0, 0, []), None: (2, 2, ["4", None])}
