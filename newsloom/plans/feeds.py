@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from newsloom.operators.deep_pages import Pages, after
 from newsloom.operators.relational import auto_approved, filled, first_by_key, page, searched, where_given
 from newsloom.operators.similarity import accepted, near_duplicates
+from newsloom.operators.storage import shared_dir
+from newsloom.operators.text_index import TextIndex
 from newsloom.sources.tables import table
 
 from .crosswalk import AS_OF, articles, categories, categorised, day, jobs, users
-from .registry import query
+from .registry import SQL, query
+
 
 def newest(ts: str = "published_at", key: str = "id"):
     return [F.col(ts).desc_nulls_first(), F.col(key)]
@@ -34,6 +40,24 @@ def job_page(spark, sf):
     return page(where_given(jobs(spark, sf), status="R", platform=None), order, 2, 20, None).select("article_id", "number", "status")
 
 
+_JOB_ORDER = [("executed_at", True), ("article_id", False), ("number", False), ("tag_id", False), ("source_id", False)]
+
+
+@query("l2_deep_page", "SELECT l_orderkey AS article_id, l_linenumber AS number, l_returnflag AS status FROM lineitem WHERE l_returnflag = 'R' ORDER BY l_shipdate DESC NULLS FIRST, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 20 OFFSET 1180")
+def deep_job_page(spark, sf):
+    """The sixtieth page of jobs, from ranges of the order."""
+    rows = where_given(jobs(spark, sf), status="R").select("article_id", "number", "tag_id", "source_id", "executed_at", "status")
+    return Pages(rows, _JOB_ORDER).page(60, 20).select("article_id", "number", "status")
+
+
+@query("l1_page_after", "SELECT o_orderkey AS id, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS published FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey LIMIT 100 OFFSET 100")
+def page_after(spark, sf):
+    """The page that follows the first hundred articles, by the key of the last of them."""
+    rows, order = where_given(articles(spark, sf), status="F"), [("published_at", True), ("id", False)]
+    last = rows.orderBy(*newest()).offset(99).limit(1).select("published_at", "id").first()
+    return after(rows, order, last, 100).select("id", "status", day("published_at").alias("published"))
+
+
 @query("l3_top_latest", "SELECT o_orderkey AS id, o_custkey AS author_id FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey LIMIT 5")
 def top_latest(spark, sf):
     return articles(spark, sf).where(F.col("status") == "F").orderBy(*newest()).limit(5).select("id", "author_id")
@@ -126,6 +150,14 @@ def text_search(spark, sf):
     return searched(table(spark, sf, "part"), " Red ", ["p_name", "p_brand", "p_type"]).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
 
 
+@query("f6_index_search", SQL["f6_text_search"])
+def index_search(spark, sf):
+    """The same by an index of trigrams."""
+    index = TextIndex(spark, f"{shared_dir(spark)}/newsloom-trigrams-{uuid.uuid4().hex}", "id", ["name", "brand", "type"])
+    index.build(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type")))
+    return index.search(" Red ").select("id", "name")
+
+
 @query("f7_prefix", "SELECT p_partkey AS id FROM part WHERE starts_with(p_name, 'small')")
 def prefix(spark, sf):
     return table(spark, sf, "part").where(F.startswith("p_name", F.lit("small"))).select(F.col("p_partkey").alias("id"))
