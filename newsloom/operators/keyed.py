@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .relational import updated
-from .storage import deleted, discard, exists, folders, stored
+from .storage import deleted, discard, folders, stored
 
 
 def _overwrite(rows: DataFrame, path: str, *by: str) -> None:
@@ -48,7 +48,8 @@ class Keyed:
         return sorted(r.part for r in self._keys(rows).select(self._part().alias("part")).distinct().collect())
 
     def _read(self, parts: Sequence[int]) -> DataFrame:
-        paths = [p for p in (f"{self.path}/part={k}" for k in parts) if exists(self.spark, p)]
+        there = set(folders(self.spark, self.path))
+        paths = [f"{self.path}/part={k}" for k in parts if f"part={k}" in there]
         reader = self.spark.read.schema(self.schema)
         return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 

@@ -67,10 +67,16 @@ def updated(table: DataFrame, condition: Column, **values) -> DataFrame:
 
 
 def auto_approved(risks: DataFrame, rules: DataFrame) -> DataFrame:
-    """Risks that some active rule approves; a rule without category holds for all. Rules are an editor's short list."""
-    r = rules.where("is_active AND auto_approve").select(F.col("category").alias("rule_category"), "max_score", "min_confidence")
-    on = (F.coalesce("rule_category", F.lit("")).isin("") | (F.col("rule_category") == F.col("category"))) & (F.col("score") <= F.col("max_score")) & (F.col("confidence") >= F.col("min_confidence"))
-    return risks.join(r, on, "left_semi")
+    """
+    Risks that some active rule approves; a rule without category holds for all. Rules are an editor's short list: those of a category are
+    one row, joined by it, and the general ones are a single row.
+    """
+    active, limits = rules.where("is_active AND auto_approve"), F.collect_list(F.struct("max_score", "min_confidence"))
+    own = active.where(F.col("category") != "").groupBy(F.col("category").alias("_category")).agg(limits.alias("_own"))
+    general = active.where(F.coalesce("category", F.lit("")) == "").agg(limits.alias("_general"))
+    met = lambda rs: F.coalesce(F.exists(rs, lambda x: (F.col("score") <= x["max_score"]) & (F.col("confidence") >= x["min_confidence"])), F.lit(False))
+    found = risks.join(own, risks["category"] == F.col("_category"), "left").crossJoin(general)
+    return found.where(met("_own") | met("_general")).drop("_category", "_own", "_general")
 
 
 def publishable(risks: DataFrame, rules: DataFrame, key: str, forced: Column, flag: bool) -> DataFrame:
