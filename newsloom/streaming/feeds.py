@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import is_dead_source
 from newsloom.operators.lookback import LookBack
 from newsloom.operators.relational import first_by_key
+from newsloom.operators.seen import SeenKeys
 from newsloom.operators.similarity import accepted
 from newsloom.operators.storage import deleted, discard, exists, folders, stored
 from newsloom.sources.tables import BROKEN, feed_items, feed_lines, ingested
@@ -31,7 +32,8 @@ def ingest(
     last fetched, its faults so far and its last error. A source whose error says that it is dead is off: what a later batch brings
     of it goes to the quarantine, too, until revive() lets it in again.
 
-    What was taken is kept in a look-back index (`<target>-index`), of which a batch reads `look_back_days` and a day.
+    What was taken is kept in a look-back index (`<target>-index`), of which a batch reads `look_back_days` and a day. Its hashes and links
+    are kept in folders by key (`<target>-seen`), of which a batch reads those that its own items fall into.
 
     Each micro-batch writes a folder of its own, named by its number, in all tables. A batch run again writes the same
     folders again, so no item is lost or taken twice.
@@ -113,14 +115,13 @@ def _take(spark: SparkSession, items: DataFrame, name: str, target: str, per_cat
         items = items.unionByName(spark.read.schema(items.schema).parquet(f"{waiting}/batch={before}").withColumn("batch_rank", F.lit(0)))
     fresh = first_by_key(items, ["content_hash"], ORDER)
     fresh = first_by_key(fresh, ["source_url"], ORDER)
-    known = None
-    if _last(spark, target, name) is not None:
-        known = spark.read.option("basePath", target).parquet(target).where(F.col("batch") < name)
-        # two narrow columns of the history, each read once
-        for key in ("content_hash", "source_url"):
-            fresh = fresh.join(known.select(key), key, "left_anti")
+    arrived = stored(fresh, "arrived")
+    seen = {key: SeenKeys(spark, f"{target}-seen/{key}") for key in ("content_hash", "source_url")}
+    fresh = arrived
+    for key, table in seen.items():
+        fresh = fresh.join(table.near(arrived, key, name), key, "left_anti")
     fresh = stored(fresh.orderBy(*ORDER).withColumn("at", F.monotonically_increasing_id()), "fresh")
-    used = [fresh]
+    used = [arrived, fresh]
     now = F.lit(at).cast("timestamp")
     index = LookBack(spark, f"{target}-index", look_back_days) if look_back_days is not None else None
     if index:
@@ -133,6 +134,8 @@ def _take(spark: SparkSession, items: DataFrame, name: str, target: str, per_cat
     if index:
         index.add(chosen.select(now.alias("at"), F.col("body").alias("text")), name)
         index.expire((at - timedelta(days=look_back_days + 1)).date())
+    for key, table in seen.items():
+        table.add(chosen, key, name)
     chosen.drop("at", "batch_rank").withColumn("fetched_at", now).write.mode("overwrite").parquet(f"{target}/batch={name}")
     fresh.join(chosen.select("at"), "at", "left_anti").drop("at").write.mode("overwrite").parquet(f"{waiting}/batch={name}")
     discard(*used, chosen)
