@@ -67,16 +67,18 @@ class SeenKeys:
     def add(self, rows: DataFrame, key: str, batch: str) -> None:
         """Keeps the keys of `rows`, in the name of `batch`."""
         new = stored(self._keys(rows, key).distinct(), "keys")
-        total, had = self._count(batch) + new.count(), self._parts()
+        had = self._parts()
         parts = had or self.first_parts
+        sizes = {r.part: r.n for r in new.groupBy(self._part(parts).alias("part")).agg(F.count("*").alias("n")).collect()}
+        total, mine = self._count(batch) + sum(sizes.values()), sorted(sizes)
         while total > parts * self.per_part:
-            parts *= 2
+            parts, mine = parts * 2, None
+        mine = self._parts_of(new, parts) if mine is None else mine
         if had and parts != had:
-            self._write(self._read(had).where(_before(batch)), parts, f"{_MERGED}{batch}", "overwrite")
+            self._write(self._read(had).where(_before(batch)).select("key").distinct(), parts, f"{_MERGED}{batch}", "overwrite")
             for name in folders(self.spark, self.path):
                 if name.startswith("parts=") and name != f"parts={parts}":
                     deleted(self.spark, f"{self.path}/{name}")
-        mine = self._parts_of(new, parts)
         for k in mine:
             deleted(self.spark, f"{self._root(parts)}/part={k}/batch={batch}")
         self._merge(parts, mine, batch)
@@ -85,7 +87,7 @@ class SeenKeys:
         discard(new)
 
     def _write(self, keys: DataFrame, parts: int, batch: str, mode: str) -> None:
-        rows = keys.select("key").distinct().withColumns({"part": self._part(parts), "batch": F.lit(batch)})
+        rows = keys.withColumns({"part": self._part(parts), "batch": F.lit(batch)})
         rows.hint("rebalance", "part").write.mode(mode).partitionBy("part", "batch").parquet(self._root(parts))
 
     def _merge(self, parts: int, which: list[int], batch: str) -> None:
@@ -95,7 +97,7 @@ class SeenKeys:
         full = [k for k, names in own.items() if len(names) >= self.most_batches]
         if not full:
             return
-        self._write(self._read(parts, full).where(_before(batch)), parts, into, "append")
+        self._write(self._read(parts, full).where(_before(batch)).select("key").distinct(), parts, into, "append")
         for k in full:
             for name in own[k]:
                 deleted(self.spark, f"{root}/part={k}/{name}")

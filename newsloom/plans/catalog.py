@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changes, feeds, health, job_log, lifecycle, publishing, reading, texts  # noqa: F401  they register their queries
+from . import changes, feeds, health, job_log, lifecycle, over_time, publishing, reading, texts  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
