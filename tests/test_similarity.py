@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from newsloom.operators import components as C
+from newsloom.operators import similarity
 from newsloom.operators.similarity import accepted
 from newsloom.plans import catalog
 
@@ -70,3 +71,37 @@ def test_a_chain_of_ten_thousand_in_few_rounds(spark, monkeypatch):
 def test_acceptance_of_a_chain_of_texts(spark):
     rows = [(i, " ".join(f"token{w}" for w in range(i, i + 8))) for i in range(60)]
     assert {r.doc_id for r in accepted(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.is_accepted} == set(range(0, 60, 2))
+
+
+def _sets(rows):
+    return {i: set(w for w in t.lower().split() if len(w) > 4) for i, t in rows}
+
+
+def test_near_copies_against_all_pairs(spark):
+    dice = random.Random(5)
+    rows = []
+    for g, size in enumerate((3, 6, 12, 40, 150)):
+        base = [f"group{g}word{i}" for i in range(size)]
+        rows += [(1000 * g + k, " ".join(w for w in base + [f"extra{dice.randrange(30)}" for _ in range(size // 5)] if dice.random() > 0.12)) for k in range(25)]
+    rows += [(9000 + n, " ".join(f"plain{i}" for i in range(n))) for n in range(1, 9)]
+    rows = [r for r in rows if _sets([r])[r[0]]]
+    sets = _sets(rows)
+    alike = lambda x, y: len(x & y) * 100 >= len(x | y) * 70
+    want = {i: sum(alike(s, sets[j]) for j in sets if j != i) for i, s in sets.items()}
+    got = {r.doc_id: r.n_links for r in similarity.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(want.values()) > 500
+
+
+def test_sets_that_share_a_few_rare_tokens_are_no_candidates(spark, monkeypatch):
+    counts, own = {}, similarity.stored
+
+    def counted(df, name, **options):
+        out = own(df, name, **options)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "stored", counted)
+    rows = [(k, " ".join([f"shared{k // 20}first", f"shared{k // 20}second", *[f"single{k}word{i}" for i in range(60)]])) for k in range(200)]
+    rows += [(500 + k, " ".join([f"copied{i}" for i in range(60)] + [f"changed{k}"])) for k in range(30)]
+    out = similarity.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert counts["candidates"] == 30 * 29 // 2 and sum(r.n_links for r in out.collect()) == 30 * 29
