@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from newsloom.operators import lookback
 from newsloom.operators.lookback import LookBack
 from newsloom.operators.similarity import recent_duplicates
 from newsloom.sources.tables import table
@@ -41,3 +42,21 @@ def test_a_batch_reads_eight_days(spark, tmp_path):
     assert got == [(1, True), (2, False), (3, False), (4, False), (4, True)]
     assert index.repeated(spark.createDataFrame([], "id long, at timestamp, text string"), "id").collect() == []
     assert not any(r.is_repeat for r in index.repeated(spark.createDataFrame(asked, "id long, at timestamp, text string"), "id", without="000").collect())
+
+
+def test_texts_of_other_weeks_are_not_paired(spark, tmp_path, monkeypatch):
+    counts, own = {}, lookback.stored
+
+    def counted(df, name, **options):
+        out = own(df, name, **options)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lookback, "stored", counted)
+    words = [f"subject{i}" for i in range(20)]
+    days = [(k, T0 + timedelta(days=10 * k), " ".join(words + [f"changed{k}"])) for k in range(12)] + [(50, T0 + timedelta(days=3), " ".join(words))]
+    rows, index = spark.createDataFrame(days, "id long, at timestamp, text string"), LookBack(spark, str(tmp_path / "index"))
+    index.add(rows, "000")
+    got = {r.id for r in index.repeated(rows, "id").collect() if r.is_repeat}
+    # day 10 looks back to day 3, and that to day 0
+    assert got == {50, 1} and counts["pairs"] == 2
