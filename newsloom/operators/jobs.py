@@ -62,7 +62,8 @@ def after(job: Job, t: int, kind: str, rules: Rules) -> Job:
     return {"started": Job("RUNNING", job.retries, t + rules.run_limit * SECOND), "sent": Job("SUCCESS", job.retries), "refused": Job("FAILED", job.retries)}.get(kind, job)
 
 
-_STATE = "struct<status:string,retries:int,due:bigint>"
+STATE = "struct<status:string,retries:int,due:bigint>"
+LOG = "array<struct<t:bigint,seq:bigint,kind:string>>"
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -84,13 +85,8 @@ def _elapsed(job: Column, t: Column, rules: Rules) -> Column:
     return _let(ran, lambda j: F.when((j["status"] == "FAILED") & (j["due"] <= t), _job("QUEUED", j["retries"])).otherwise(j))
 
 
-def job_states(events: DataFrame, keys: list[str], rules: Rules = Rules(), until: Column | None = None) -> DataFrame:
-    """
-    keys, status, retries, due: each job after all of its events, and after what time alone did up to `until`. `events`: keys,
-    at (timestamp), seq, kind. A job's events, as few as its attempts, are folded in its row.
-    """
-    of_job = F.array_sort(F.collect_list(F.struct(F.unix_micros("at").alias("t"), F.col("seq").cast("long").alias("seq"), "kind")))
-    rows = events.where(F.col("at").isNotNull() & F.col("kind").isNotNull()).groupBy(*keys).agg(of_job.alias("e"))
+def folded(job: Column, log: Column, rules: Rules, until: Column | None = None) -> Column:
+    """The state `job` (null: a new one) after the events of `log`, an array in their order, and after what time alone did up to `until` (microseconds)."""
 
     def step(job: Column, e: Column) -> Column:
         def come(j: Column) -> Column:
@@ -108,6 +104,16 @@ def job_states(events: DataFrame, keys: list[str], rules: Rules = Rules(), until
 
         return _let(_elapsed(job, e["t"], rules), come)
 
-    done = F.aggregate("e", _job("QUEUED", F.lit(0)).cast(_STATE), step)
-    done = done if until is None else _elapsed(done, F.unix_micros(until.cast("timestamp")), rules)
-    return rows.select(*keys, done.alias("job")).select(*keys, "job.status", "job.retries", F.timestamp_micros("job.due").alias("due"))
+    done = F.aggregate(log, F.coalesce(job, _job("QUEUED", F.lit(0)).cast(STATE)), step)
+    return done if until is None else _let(done, lambda j: _elapsed(j, until, rules))
+
+
+def job_states(events: DataFrame, keys: list[str], rules: Rules = Rules(), until: Column | None = None) -> DataFrame:
+    """
+    keys, status, retries, due: each job after all of its events, and after what time alone did up to `until`. `events`: keys,
+    at (timestamp), seq, kind. A job's events, as few as its attempts, are folded in its row.
+    """
+    of_job = F.array_sort(F.collect_list(F.struct(F.unix_micros("at").alias("t"), F.col("seq").cast("long").alias("seq"), "kind")))
+    rows = events.where(F.col("at").isNotNull() & F.col("kind").isNotNull()).groupBy(*keys).agg(of_job.alias("e"))
+    job = folded(F.lit(None).cast(STATE), F.col("e"), rules, None if until is None else F.unix_micros(until.cast("timestamp")))
+    return rows.select(*keys, job.alias("job")).select(*keys, "job.status", "job.retries", F.timestamp_micros("job.due").alias("due"))
