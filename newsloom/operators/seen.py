@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import deleted, discard, exists, folders, stored
+from .storage import deleted, discard, exists, folders, found, stored
 
 _MERGED = "merged-"
 _SCHEMA = "key string, part int, batch string"
@@ -50,9 +50,11 @@ class SeenKeys:
 
     def _read(self, parts: int | None, which: list[int] | None = None) -> DataFrame:
         there = [n for n in folders(self.spark, self._root(parts)) if n.startswith("part=")] if parts else []
-        wanted = [n for n in there if which is None or int(n.removeprefix("part=")) in set(which)]
-        reader = self.spark.read.schema(_SCHEMA)
-        return reader.option("basePath", self._root(parts)).parquet(*[f"{self._root(parts)}/{n}" for n in wanted]) if wanted else self.spark.createDataFrame([], _SCHEMA)
+        wanted = there if which is None else sorted({f"part={k}" for k in which} & set(there))
+        reader = self.spark.read.schema(_SCHEMA).option("basePath", self._root(parts))
+        if wanted and len(wanted) == len(there):
+            return reader.parquet(self._root(parts))  # one path to look into, not thousands
+        return reader.parquet(*[f"{self._root(parts)}/{n}" for n in wanted]) if wanted else self.spark.createDataFrame([], _SCHEMA)
 
     def near(self, rows: DataFrame, key: str, before: str) -> DataFrame:
         """Column `key`: all keys of earlier batches in the folders that the keys of `rows` fall into, to be joined by the caller."""
@@ -64,27 +66,31 @@ class SeenKeys:
         """The rows whose key no earlier batch has added; those without a key, too. `rows` are read twice."""
         return rows.join(self.near(rows, key, before), key, "left_anti")
 
-    def add(self, rows: DataFrame, key: str, batch: str) -> None:
-        """Keeps the keys of `rows`, in the name of `batch`."""
-        new = stored(self._keys(rows, key).distinct(), "keys")
+    def add(self, rows: DataFrame, key: str, batch: str, once: bool = False) -> None:
+        """Keeps the keys of `rows`, in the name of `batch`. `once`: `rows` have each key once and are cheap to read again."""
+        new = self._keys(rows, key) if once else stored(self._keys(rows, key).distinct(), "keys")
         had = self._parts()
         parts = had or self.first_parts
         sizes = {r.part: r.n for r in new.groupBy(self._part(parts).alias("part")).agg(F.count("*").alias("n")).collect()}
-        total, mine = self._count(batch) + sum(sizes.values()), sorted(sizes)
+        before, batches = self._count(batch)
+        total, mine = before + sum(sizes.values()), sorted(sizes)
         while total > parts * self.per_part:
             parts, mine = parts * 2, None
-        mine = self._parts_of(new, parts) if mine is None else mine
         if had and parts != had:
-            self._write(self._read(had).where(_before(batch)).select("key").distinct(), parts, f"{_MERGED}{batch}", "overwrite")
+            # a key that stands there twice may do so on
+            self._write(self._read(had).where(_before(batch)).select("key"), parts, f"{_MERGED}{batch}", "overwrite")
             for name in folders(self.spark, self.path):
                 if name.startswith("parts=") and name != f"parts={parts}":
                     deleted(self.spark, f"{self.path}/{name}")
-        for k in mine:
-            deleted(self.spark, f"{self._root(parts)}/part={k}/batch={batch}")
-        self._merge(parts, mine, batch)
+            batches = 1
+        for at in found(self.spark, f"{self._root(parts)}/part=*/batch={batch}"):
+            deleted(self.spark, at)
+        if batches >= self.most_batches:  # no folder has more
+            self._merge(parts, self._parts_of(new, parts) if mine is None else mine, batch)
         self._write(new, parts, batch, "append")
-        self._note(batch, total)
-        discard(new)
+        self._note(batch, total, batches + 1)
+        if not once:
+            discard(new)
 
     def _write(self, keys: DataFrame, parts: int, batch: str, mode: str) -> None:
         rows = keys.withColumns({"part": self._part(parts), "batch": F.lit(batch)})
@@ -102,15 +108,19 @@ class SeenKeys:
             for name in own[k]:
                 deleted(self.spark, f"{root}/part={k}/{name}")
 
-    def _count(self, before: str) -> int:
+    def _count(self, before: str) -> tuple[int, int]:
+        """The number of keys before a batch, and a number of batches that no folder exceeds."""
         names = [n.removeprefix("batch=") for n in folders(self.spark, f"{self.path}/counts") if n.startswith("batch=")]
         last = max((n for n in names if n < before and exists(self.spark, f"{self.path}/counts/batch={n}/_SUCCESS")), default=None)
-        return 0 if last is None else self.spark.read.schema("n long").parquet(f"{self.path}/counts/batch={last}").first().n
+        if last is None:
+            return 0, 0
+        note = self.spark.read.schema("n long, batches int").parquet(f"{self.path}/counts/batch={last}").first()
+        return note.n, self.most_batches if note.batches is None else note.batches
 
-    def _note(self, batch: str, n: int) -> None:
+    def _note(self, batch: str, n: int, batches: int) -> None:
         """The number of keys up to a batch; the one before stays, in case this batch runs again."""
         at = f"{self.path}/counts"
         older = sorted(x for x in folders(self.spark, at) if x.startswith("batch=") and x < f"batch={batch}")
-        self.spark.range(1).select(F.lit(n).cast("long").alias("n")).write.mode("overwrite").parquet(f"{at}/batch={batch}")
+        self.spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(batches).cast("int").alias("batches")).write.mode("overwrite").parquet(f"{at}/batch={batch}")
         for x in older[:-1]:
             deleted(self.spark, f"{at}/{x}")

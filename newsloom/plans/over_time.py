@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators.relational import first_by_key
 from newsloom.operators.seen import SeenKeys
-from newsloom.operators.storage import discard, shared_dir, stored
+from newsloom.operators.storage import deleted, folders, shared_dir, stored
 from newsloom.sources.tables import table
 
 from .registry import query
@@ -42,12 +42,16 @@ def digest_stream(spark, sf):
 def seen_keys(spark, sf):
     """Line items come year by year; of each key the first is taken, once over all years."""
     rows = table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("batch"), F.concat_ws("/", "l_partkey", "l_suppkey").alias("source_key"), F.col("l_orderkey").alias("article_id"), "l_linenumber").where("batch IS NOT NULL AND l_partkey IS NOT NULL AND l_suppkey IS NOT NULL")
-    seen, taken = SeenKeys(spark, f"{shared_dir(spark)}/newsloom-seen-{uuid.uuid4().hex}"), None
-    for year in sorted(r.batch for r in rows.select("batch").distinct().collect()):
-        came = stored(first_by_key(rows.where(F.col("batch") == year), ["source_key"], ["article_id", "l_linenumber"]), "came")
-        fresh = stored(seen.unseen(came, "source_key", f"{year}"), "taken")
-        seen.add(fresh, "source_key", f"{year}")
-        discard(came)
+    at = f"{shared_dir(spark)}/newsloom-seen-{uuid.uuid4().hex}"
+    # dealt to the years once, so that a year reads its own lines
+    rows.write.option("compression", "zstd").partitionBy("batch").parquet(f"{at}/came")
+    came, seen, taken = spark.read.schema(rows.schema).parquet(f"{at}/came"), SeenKeys(spark, f"{at}/keys"), None
+    for year in sorted(int(n.removeprefix("batch=")) for n in folders(spark, f"{at}/came") if n.startswith("batch=")):
+        of_year = came.where(F.col("batch") == year)
+        firsts = first_by_key(of_year, ["source_key"], ["article_id", "l_linenumber"])
+        fresh = stored(firsts.join(seen.near(of_year, "source_key", f"{year}"), "source_key", "left_anti"), "taken")
+        seen.add(fresh, "source_key", f"{year}", once=True)
         taken = fresh if taken is None else taken.unionByName(fresh)
     none = rows.limit(0) if taken is None else taken
+    deleted(spark, at)
     return none.select("batch", "source_key", "article_id")

@@ -3,6 +3,7 @@
 import os
 import random
 
+from newsloom.operators import seen as module
 from newsloom.operators.seen import SeenKeys
 from newsloom.operators.storage import folders
 
@@ -62,3 +63,15 @@ def test_nothing_is_there_yet(spark, tmp_path):
     assert seen.unseen(_rows(spark, ["a", None]), "k", "0000").count() == 2
     seen.add(_rows(spark, []), "k", "0000")
     assert seen.unseen(_rows(spark, ["a"]), "k", "0001").count() == 1
+
+
+def test_a_batch_in_all_folders_costs_no_call_for_each(spark, tmp_path, monkeypatch):
+    seen, calls = SeenKeys(spark, str(tmp_path / "seen"), first_parts=32), []
+    monkeypatch.setattr(module, "folders", lambda *a: calls.append(a) or folders(*a))
+    monkeypatch.setattr(module, "stored", None)  # keys that are told apart already are not copied
+    for n in range(3):
+        keys = [f"k{n}-{k}" for k in range(500)]
+        assert seen.unseen(_rows(spark, keys), "k", f"{n:04d}").count() == 500
+        seen.add(_rows(spark, keys), "k", f"{n:04d}", once=True)
+    assert len(folders(spark, f"{seen.path}/parts=32")) > 32 and len(calls) < 32
+    assert seen.unseen(_rows(spark, ["k0-1", "k2-499", "new"]), "k", "0003").count() == 1
