@@ -43,3 +43,26 @@ def test_posts_that_come_late(spark, tmp_path):
     assert closed > cut and got == plain(articles, posts, closed + timedelta(minutes=1))
     run()  # nothing came
     assert {tuple(r) for r in digests(spark, str(tmp_path / "out"), MOST).collect()} == got
+
+
+def test_before_1970_and_run_again(spark, tmp_path):
+    """A stream's own watermark begins at 1970 and takes what is older for late."""
+    start = datetime(1960, 1, 1)
+    for part in (range(20), range(20, 40)):
+        spark.createDataFrame([(k, start + timedelta(hours=k)) for k in part], "id long, published_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "articles"))
+        spark.createDataFrame([(k, start + timedelta(hours=k, minutes=30)) for k in part if k % 2 == 0], "article_id long, posted_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "posts"))
+
+    def run():
+        a, p = (spark.readStream.schema(s).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)) for n, s in (("articles", "id long, published_at timestamp"), ("posts", "article_id long, posted_at timestamp")))
+        run_digests(spark, a, p, str(tmp_path / "out"), str(tmp_path / "at"), HOURS, EVERY)
+        return sorted((r.digest_at, r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    got = run()
+    last = max((p for p in (tmp_path / "at" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    (last.parent / f".{last.name}.crc").unlink()
+    last.unlink()  # as if the run had died before its commit
+    mark = start + timedelta(hours=38, minutes=30) - timedelta(hours=1)
+    digests_ = [start + timedelta(hours=h) for h in range(0, 60, EVERY) if start + timedelta(hours=h) <= mark]
+    # an even article is posted half an hour after it came: only a digest at its own hour has it
+    want = sorted((d, k) for d in digests_ for k in range(40) if timedelta(0) <= d - start - timedelta(hours=k) <= timedelta(hours=HOURS) and (k % 2 or d == start + timedelta(hours=k)))
+    assert len(want) > 50 and got == want and run() == want
