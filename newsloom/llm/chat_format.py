@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import discard, stored
 
 def escape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l")), F.lit(">"), F.lit("\\g"))
@@ -40,29 +40,32 @@ def paths(nodes: DataFrame) -> DataFrame:
     """
     tree, path (ids from root to leaf), path_score. Round k joins what each leaf has reached with the table of ancestors
     2^k steps up, and that table with itself, so a path of n nodes takes log2(n) rounds and n rows; texts take no part.
+    Both are rows of one table, so a round is one join and one write, and the table before it goes. Joins are by merging:
+    stored tables are so small as Parquet that Spark would broadcast them through the driver at a multiple of that size.
     Inside, trees are wrapped in structs, which are never null, so that rows without a tree's name are one tree.
     """
-    links = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.min(F.coalesce("score", F.lit(0.0))).alias("score"))
+    links = nodes.where(F.col("node").isNotNull()).groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.min(F.coalesce("score", F.lit(0.0))).alias("score"))
     links = stored(links.withColumn("tree", F.struct("tree")), "nodes")
-    above = links.select(F.col("tree").alias("tree"), F.col("node").alias("parent"))
-    jumps = links.where(F.col("parent") != F.col("node")).select("tree", "node", "parent").join(above, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up"))
-    jumps = stored(jumps, "jumps")
-    inner = jumps.select("tree", F.col("up").alias("node")).distinct()
-    reached = stored(links.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("height")), "reached")
-    largest = links.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    below = links.where(F.col("parent") != F.col("node")).select("tree", F.col("node").alias("start"), F.col("parent").alias("node"))
+    inner = below.select("tree", "node").distinct()
+    leaves = links.join(inner.hint("merge"), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("start"), "node", "score", F.lit(0).alias("height"), F.lit(True).alias("leaf"))
+    jumps = below.join(links.select("tree", "node", "score").hint("merge"), ["tree", "node"]).select("tree", "start", "node", "score", F.lit(1).alias("height"), F.lit(False).alias("leaf"))
+    reached = stored(leaves.unionByName(jumps), "reached")
+    discard(links)
+    most = reached.where(~F.col("leaf")).groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     step = 1
-    while step < largest:
-        further = reached.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + step).alias("height"))
-        reached = stored(reached.unionByName(further), "reached")
-        twice = jumps.select("tree", F.col("node").alias("low"), F.col("up").alias("node")).join(jumps, ["tree", "node"]).select("tree", F.col("low").alias("node"), "up")
-        jumps = stored(twice, "jumps")
+    while step <= most:
+        jumps = reached.where(~F.col("leaf")).select("tree", F.col("start").alias("node"), F.col("node").alias("up"), F.col("score").alias("up_score"))
+        further = reached.join(jumps.hint("merge"), ["tree", "node"]).select("tree", "start", F.col("up").alias("node"), F.col("up_score").alias("score"), (F.col("height") + step).alias("height"), "leaf")
+        before, reached = reached, stored(reached.where("leaf").unionByName(further), "reached")
+        discard(before)
         step *= 2
-        if jumps.isEmpty():
+        if step <= most and reached.where(~F.col("leaf")).isEmpty():
             break
-    # what still has ancestors so far up hangs on a cycle
-    endless = jumps.select("tree", F.col("node").alias("leaf")) if step >= largest else jumps.select("tree", F.col("node").alias("leaf")).limit(0)
-    rows = reached.join(endless, ["tree", "leaf"], "left_anti").join(links.select("tree", "node", "score"), ["tree", "node"])
-    found = rows.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("at"), "node"))).alias("steps"), F.sum("score").alias("path_score"))
+    # what still has ancestors so far up hangs on a cycle: no path has more steps than its tree has links
+    endless = reached.where(~F.col("leaf")).select("tree", "start")
+    rows = reached.where("leaf").join(endless.hint("merge"), ["tree", "start"], "left_anti")
+    found = rows.groupBy("tree", "start").agg(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("at"), "node"))).alias("steps"), F.sum("score").alias("path_score"))
     return found.select("tree.tree", F.transform("steps", lambda x: x["node"]).alias("path"), "path_score")
 
 
@@ -77,7 +80,7 @@ def formatted(nodes: DataFrame, chosen: DataFrame, trained: str = "assistant") -
     """tree, rank, formatted string, loss array<struct<start,length>> (0-based code points)."""
     steps = chosen.select(F.col("tree").alias("s_tree"), "rank", F.posexplode("path").alias("at", "step"))
     first = nodes.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("turn")).select("tree", "node", "turn.*")
-    rows = steps.join(first, F.col("s_tree").eqNullSafe(F.col("tree")) & (F.col("step") == F.col("node")))
+    rows = steps.join(first.hint("merge"), F.col("s_tree").eqNullSafe(F.col("tree")) & (F.col("step") == F.col("node")))
     head, body = F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">\n")), escape(F.col("text"))
     turn = F.struct("at", head.alias("head"), body.alias("body"), (F.coalesce("role", F.lit("")) == trained).alias("loss"))
     turns = rows.groupBy("tree", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
