@@ -10,14 +10,17 @@ SCHEMA = "id long, at timestamp, text string"
 
 
 def test_a_day_of_a_batch_is_one_file(spark, tmp_path):
-    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
-    before = spark.conf.get(coalesced)
-    spark.conf.set(coalesced, "false")  # as where partitions are too large to be put together
+    # as where partitions are too large to be put together, or to be broadcast
+    large = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in large}
+    for k, v in large.items():
+        spark.conf.set(k, v)
     try:
-        rows = [(k, T0 + timedelta(hours=k), " ".join(f"subject{k % 150}word{i}" for i in range(12))) for k in range(240)]
+        rows = [(k, T0 + timedelta(hours=k % 240), " ".join(f"subject{k % 700}word{i}" for i in range(12))) for k in range(1200)]
         LookBack(spark, str(tmp_path / "index")).add(spark.createDataFrame(rows, SCHEMA), "000")
     finally:
-        spark.conf.set(coalesced, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     for name in ("classes", "postings"):
         assert [len(list(d.rglob("*.parquet"))) for d in (tmp_path / "index" / name).iterdir() if d.name.startswith("day=")] == [1] * 10
 
